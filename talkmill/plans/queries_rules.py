@@ -24,8 +24,10 @@ _WORD_LIST = """list_transform(range(len(string_split(text, ' '))), lambda i:
 
 _TEXT_SIGNALS = r"""
  letters AS (SELECT *, regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g') AS core,
-   regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS toks,
-   regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM base),
+   list_filter(string_split_regex(regexp_replace(text, '([^\p{L}\p{N}_\s])', ' \1 ', 'g'), '\s+'),
+     lambda x: x <> '') AS toks,
+   list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '),
+     lambda x: x <> '') AS ws FROM base),
  grams AS (
    SELECT id, n, i, list_slice(ws, i, i + n - 1) AS g FROM (
      SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
