@@ -31,6 +31,8 @@ BROADCAST_CUTS = 1_000_000
 
 BLOCK = "_blk"
 
+_EVEN: set[tuple] = set()
+
 
 def split_hot(df: DataFrame, key: Sequence[str], order: str,
               rows: int = ROWS_PER_BLOCK) -> tuple[DataFrame, str | None]:
@@ -41,9 +43,14 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str,
     rows equal in ``order`` always share a block.
     """
     key = list(key)
+    # Only "no key is hot" is remembered: were it outdated, the plan would still be right.
+    seen = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), *key, rows)
+    if seen in _EVEN:
+        return df, None
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
     found = sizes.agg(F.count(F.lit(1)).alias("keys"), F.max("_n").alias("largest")).head()
     if not found["keys"]:
+        _EVEN.add(seen)
         return df, None
     pieces = min(MAX_BLOCKS, max(2, math.ceil(2 * found["largest"] / rows)))
     hot = df.join(sizes.select(*key), key, "left_semi")
