@@ -390,7 +390,7 @@ def trimmed_cues(spark, sf_dir):
 
 
 PLACED = B.SEG + """
-, clip AS (SELECT session_id, seq, start_s, (dur_ms * (80 + seq % 60) / 100e0) / 1000 AS duration,
+, clip AS (SELECT session_id, seq, start_s, (dur_ms * (80 + seq % 60) / 99.7e0) / 1000 AS duration,
     row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM seg),
 placed AS (
   SELECT session_id, seq, rn, start_s, duration, start_s AS actual FROM clip WHERE rn = 1
@@ -403,7 +403,7 @@ placed AS (
 
 def clips(spark, sf_dir):
     seg, blk = B.segments(spark, sf_dir)
-    made = F.col("dur_ms") * (80 + F.col("seq") % 60) / 100.0 / 1000
+    made = F.col("dur_ms") * (80 + F.col("seq") % 60) / 99.7 / 1000
     return seg.withColumn("duration", made), blk
 
 
@@ -419,7 +419,7 @@ def timeline_placement(spark, sf_dir):
 
 
 FITTED = B.SEG + """
-, raw AS (SELECT *, (dur_ms * (80 + seq % 60) / 100e0) / 1000 AS raw_s, end_s - start_s AS src,
+, raw AS (SELECT *, (dur_ms * (80 + seq % 60) / 99.7e0) / 1000 AS raw_s, end_s - start_s AS src,
     0.8e0 + (seq % 5) / 10e0 AS asked FROM seg),
 f0 AS (SELECT *, greatest(0.85e0, least(1.2e0, asked)) AS rate0, raw_s / src AS ratio FROM raw),
 f1 AS (SELECT *, least(ratio, 1.2e0 / greatest(rate0, 1e-3)) AS factor FROM f0),
