@@ -286,9 +286,9 @@ def live_events(spark, sf_dir):
     kinds = F.array(
         F.struct(F.lit("ASR_PARTIAL").alias("event_type"), F.lit(0.4).alias("late")),
         F.struct(F.lit("TRANSLATION_FINAL").alias("event_type"),
-                 (1.5 + F.col("seq") % 7 * 0.237).alias("late")),
+                 (1.5 + F.col("seq") % 7 * 0.23717).alias("late")),
         F.struct(F.lit("TTS_AUDIO").alias("event_type"),
-                 (2.25 + F.col("seq") % 5 * 0.513).alias("late")),
+                 (2.25 + F.col("seq") % 5 * 0.51319).alias("late")),
         F.struct(F.lit("WARNING").alias("event_type"), F.lit(0.0).alias("late")))
     rows = seg.select("session_id", "seq", "end_s", F.posexplode(kinds).alias("k", "e"))
     kept = (F.col("k") < 3) | (F.col("seq") % 9 == 0)
@@ -302,7 +302,7 @@ def live_events(spark, sf_dir):
 LIVE = B.SEG + """
 , live AS (SELECT session_id, seq * 4 + k AS sequence_id, ['ASR_PARTIAL','TRANSLATION_FINAL',
     'TTS_AUDIO','WARNING'][k + 1] AS event_type, end_s, end_s + CASE k WHEN 0 THEN 0.4e0
-    WHEN 1 THEN 1.5e0 + seq % 7 * 0.237e0 WHEN 2 THEN 2.25e0 + seq % 5 * 0.513e0 ELSE 0 END AS at_s,
+    WHEN 1 THEN 1.5e0 + seq % 7 * 0.23717e0 WHEN 2 THEN 2.25e0 + seq % 5 * 0.51319e0 ELSE 0 END AS at_s,
     CASE WHEN k = 3 THEN 'code_' || seq % 4 END AS code
   FROM seg, (SELECT unnest(range(4)) AS k) WHERE k < 3 OR seq % 9 = 0)
 """

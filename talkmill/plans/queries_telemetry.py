@@ -69,7 +69,7 @@ def nearest_rank(spark, sf_dir):
 @query("e03_counters_and_gauges", f"""
 WITH {B.EVT}
 SELECT user_id, event_type, CAST(sum(json_extract_string(props, '$.k')::BIGINT) AS BIGINT) AS total,
-  arg_max(value, us * 10000000 + event_id) AS gauge FROM evt GROUP BY user_id, event_type""")
+  arg_max(value, {{'u': us, 'e': event_id}}) AS gauge FROM evt GROUP BY user_id, event_type""")
 def counters_and_gauges(spark, sf_dir):
     e = B.event_rows(spark, sf_dir)
     by = ["user_id", "event_type"]
@@ -121,11 +121,11 @@ def rejection_counts(spark, sf_dir):
 
 @query("e08_stage_seconds", f"""
 WITH {B.EVT}
-SELECT user_id, event_type AS stage, round(sum(seconds), 3) AS seconds FROM evt GROUP BY ALL""")
+SELECT user_id, event_type AS stage, round(sum(seconds), 6) AS seconds FROM evt GROUP BY ALL""")
 def stage_seconds(spark, sf_dir):
     e = B.event_rows(spark, sf_dir)
     return e.groupBy("user_id", F.col("event_type").alias("stage")).agg(
-        F.round(F.sum("seconds"), 3).alias("seconds"))
+        F.round(F.sum("seconds"), 6).alias("seconds"))
 
 
 @query("e09_language_observations", f"""
@@ -530,13 +530,13 @@ def recent_history(spark, sf_dir):
 @query("h08_sliding_latency", f"""
 WITH {B.EVT}, k AS (SELECT *, unnest(range(0, 12)) AS i FROM evt)
 SELECT (us // 3600000000 - i) * 3600 AS window_start, event_type AS stage, count(*) AS n,
-  round(avg(seconds), 4) AS mean, max(seconds) AS worst FROM k GROUP BY ALL""")
+  round(avg(seconds), 10) AS mean, max(seconds) AS worst FROM k GROUP BY ALL""")
 def sliding_latency(spark, sf_dir):
     """Twelve-hour windows sliding by one hour."""
     e = B.event_rows(spark, sf_dir)
     return e.groupBy(F.window("ts", "12 hours", "1 hour"),
                      F.col("event_type").alias("stage")).agg(
-        F.count("*").alias("n"), F.round(F.avg("seconds"), 4).alias("mean"),
+        F.count("*").alias("n"), F.round(F.avg("seconds"), 10).alias("mean"),
         F.max("seconds").alias("worst")).select(
         F.unix_seconds("window.start").alias("window_start"), "stage", "n", "mean", "worst")
 
