@@ -136,7 +136,7 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Flattened event envelopes (JSON text) -> fixed fields and the rest as JSON text."""
     text = F.col(value)
     fixed = F.from_json(text, EVENT_SCHEMA.replace("event_type", "event"))
-    rest = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: ~k.isin(
+    rest = F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, v: ~k.isin(
         "session_id", "sequence_id", "event", "timestamp"))
     return lines.select(fixed.alias("e"), F.to_json(rest).alias("payload")).select(
         "e.session_id", "e.sequence_id", F.col("e.event").alias("event_type"),

@@ -134,17 +134,19 @@ def markdown_table(results: DataFrame, component: str, order: list[str]) -> Data
 # -- event log, jobs, metrics ----------------------------------------------------------------
 
 def envelopes(events: DataFrame) -> DataFrame:
-    """Event rows -> flattened JSON envelopes, payload keys next to the fixed ones."""
-    head = F.create_map(
-        F.lit("event"), F.col("event_type"), F.lit("session_id"),
-        F.col("session_id").cast("string"), F.lit("sequence_id"),
-        F.col("sequence_id").cast("string"),
-        F.lit("timestamp"), (F.unix_micros("ts") / 1e6).cast("string"))
-    body = F.coalesce(F.from_json("payload", "map<string,string>"),
-                      F.create_map().cast("map<string,string>"))
-    extra = F.map_filter(body, lambda k, v: ~F.map_contains_key(head, k))
-    return events.select("session_id", "sequence_id",
-                         F.to_json(F.map_concat(head, extra)).alias("value"))
+    """Event rows -> flattened JSON envelopes.
+
+    The payload object is spliced in as text after the fixed fields, so its values keep
+    their types and win over a fixed field of the same name.
+    """
+    head = F.to_json(F.struct(
+        F.col("event_type").alias("event"), "session_id", "sequence_id",
+        (F.unix_micros("ts") / 1e6).alias("timestamp")))
+    body = F.regexp_extract(F.coalesce("payload", F.lit("{}")), r"(?s)^\s*\{(.*)\}\s*$", 1)
+    open_head = F.left(head, F.char_length(head) - 1)
+    value = F.concat(open_head, F.when(F.trim(body) == "", "").otherwise(
+        F.concat(F.lit(","), body)), F.lit("}"))
+    return events.select("session_id", "sequence_id", value.alias("value"))
 
 
 def write_events(events: DataFrame, path: str) -> None:
