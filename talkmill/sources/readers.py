@@ -100,7 +100,10 @@ def audit_verdict(name: Column, size: Column, head: Column, max_bytes: int) -> C
 
 
 def audit_media(spark: SparkSession, root: str, max_bytes: int = 2048 << 20) -> DataFrame:
-    """Audit a media folder: container type by content against the extension."""
+    """Audit a media folder: container type by content against the extension.
+
+    Spark's file scan leaves out files of zero bytes, so those have no row here.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
     head = F.substring("content", 1, 12)
     return files.select("path", "length", container_type(head).alias("container"),
