@@ -9,8 +9,9 @@ from talkmill import dims
 from talkmill.functions import text as X
 from talkmill.operators.ordered import Scan, scan, split_hot
 
-#: Terms that may travel to every task as one array; beyond it terms are joined by text.
-ARRAY_TERMS = 2000
+#: Placed terms (over all languages) that may travel to every task; beyond it terms are
+#: joined by text.
+ARRAY_TERMS = 5000
 
 
 # -- glossary --------------------------------------------------------------------------------
@@ -45,45 +46,65 @@ def attach_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: s
     """Add ``terms``: the applicable glossary terms that occur in ``haystack``, longest
     first, each with ``place``, its index among all applicable terms of that language.
 
-    A small glossary goes to every task as one array.  A large one is joined: every line
-    offers its substrings of the term lengths, so a term meets only lines that hold it.
+    A small glossary goes to every task as one map of placed terms per language.  A large
+    one is joined: every line offers the substrings that can begin a term.
     """
+    size = terms.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(
+        "source_language").alias("langs")).head()
+    if size["n"] * (size["langs"] + 2) > limit:
+        return _join_terms(lines, terms, key, haystack, language)
     term = F.struct(*[F.col(c) for c in (
         "source", "target", "romanized", "source_language", "part", "idx")])
-    if len(terms.limit(limit + 1).take(limit + 1)) <= limit:
-        ordered = terms.agg(F.array_sort(F.collect_list(_rank(term))).alias("all")).scalar()
-        fits = lambda t: (t["source_language"].isNull() | F.col(language).isNull()
-                          | (t["source_language"] == F.col(language)))
-        placed = lines.withColumn("_all", ordered).withColumn("_all", F.filter("_all", fits))
-        found = F.filter(F.transform("_all", lambda t, i: F.struct(
-            i.cast("bigint").alias("place"), t["source"].alias("source"),
-            t["target"].alias("target"), t["romanized"].alias("romanized"))),
-            lambda t: F.contains(F.col(haystack), t["source"]))
-        return placed.withColumn("terms", found).drop("_all")
-
-    sized = terms.withColumn("_t", _rank(term)).withColumn("_len", F.char_length("source"))
-    lengths = sized.agg(F.sort_array(F.collect_set("_len"))).scalar()
-    tags = lines.select(language).distinct()
-    placed = (tags.withColumnRenamed(language, "_lang").join(
-        sized, F.col("source_language").isNull() | F.col("_lang").isNull()
-        | (F.col("source_language") == F.col("_lang"))))
-    placed = placed.withColumn("_lang", F.coalesce("_lang", F.lit("")))
-    # Places per language: the hot "key" is a language, so it is split like any other.
-    ranked = placed.select("_lang", "_t", "source", "target", "romanized",
-                           F.col("_t.n").alias("_n"))
-    ranked, blk = split_hot(ranked, ["_lang"], "_n")
-    ranked = scan(ranked, ["_lang"], ["_t"], blk, place=Scan("number"))
+    ordered = F.array_sort(F.collect_list(_rank(term)))
+    placed = lambda all_, keep: F.transform(F.filter(all_, keep), lambda t, i: F.struct(
+        i.cast("bigint").alias("place"), t["source"].alias("source"),
+        t["target"].alias("target"), t["romanized"].alias("romanized")))
+    free = lambda t: t["source_language"].isNull()
+    tags = F.filter(F.collect_set("source_language"), lambda x: x.isNotNull())
+    lists = terms.agg(ordered.alias("all"), tags.alias("tags")).select(F.struct(
+        placed(F.col("all"), lambda t: F.lit(True)).alias("any"),
+        placed(F.col("all"), free).alias("other"),
+        F.map_from_arrays("tags", F.transform("tags", lambda tag: placed(
+            F.col("all"), lambda t: free(t) | (t["source_language"] == tag)))).alias("own")))
+    held = lines.withColumn("_g", lists.scalar())
+    mine = F.when(F.col(language).isNull(), F.col("_g.any")).otherwise(
+        F.coalesce(F.try_element_at("_g.own", F.col(language)), F.col("_g.other")))
+    return held.withColumn("terms", F.filter(
+        mine, lambda t: F.contains(F.col(haystack), t["source"]))).drop("_g")
+
+
+def _join_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: str,
+                language: str) -> DataFrame:
+    """The join for large glossaries.
+
+    A term is found by its first 2^k characters, the largest such start it has; a line
+    offers its distinct substrings of those few lengths, and a hit is then checked whole.
+    """
+    sized = terms.withColumn("_t", _rank(F.struct(*[F.col(c) for c in (
+        "source", "target", "romanized", "source_language", "part", "idx")])))
+    tags = lines.select(F.col(language).alias("_lang")).distinct()
+    placed = tags.join(sized, F.col("source_language").isNull() | F.col("_lang").isNull()
+                       | (F.col("source_language") == F.col("_lang"))).select(
+        F.coalesce("_lang", F.lit("")).alias("_lang"), "_t", "source", "target", "romanized",
+        F.col("_t.n").alias("_n"))
+    # A language may hold most terms, so places are numbered like any hot key's rows.
+    placed, blk = split_hot(placed, ["_lang"], "_n")
+    ranked = scan(placed, ["_lang"], ["_t"], blk, place=Scan("number"))
+    power = lambda n: F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("int")
+    ranked = ranked.withColumn("_start", F.left("source", power(F.char_length("source"))))
+    lengths = sized.agg(F.collect_set(power(F.char_length("source")))).scalar()
     text = F.col(haystack)
     pieces = F.array_distinct(F.flatten(F.transform("_lengths", lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - n + 1)),
         lambda i: F.substring(text, i, n)))))
     offers = (lines.select(*key, F.coalesce(language, F.lit("")).alias("_lang"), haystack)
               .withColumn("_lengths", lengths)
-              .select(*key, "_lang", F.explode(pieces).alias("source")))
-    hits = offers.join(ranked, ["_lang", "source"]).groupBy(*key).agg(
+              .select(*key, "_lang", haystack, F.explode(pieces).alias("_start")))
+    hits = (offers.join(ranked, ["_lang", "_start"])
+            .where(F.contains(text, F.col("source"))).groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct(
             (F.col("place") - 1).alias("place"), "source", "target", "romanized")))
-        .alias("terms"))
+        .alias("terms")))
     empty = F.array().cast("array<struct<place:bigint,source:string,target:string,"
                            "romanized:string>>")
     return lines.join(hits, key, "left").withColumn("terms", F.coalesce("terms", empty))

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from talkmill.session import cut
 
@@ -202,43 +204,38 @@ def run_fold(df: DataFrame, fold: Fold, key: Sequence[str], order: Sequence[str]
              blk: str | None = None) -> DataFrame:
     """Fold every key in order; emitted rows carry the key columns.
 
+    Rows are shuffled by key, sorted by Spark (which spills) and folded as they stream by
+    in Arrow batches, so memory does not grow with a key.
+
     With blocks, all blocks first run at once from the initial state.  A block whose true
     incoming state (the end state of the block before it) differs from the one it used is
     run again, until nothing differs.  Each round is exact for at least one more block,
     and the rules here forget quickly, so few rounds are needed.
     """
     key, order = list(key), list(order)
-    fields = [f for f in df.schema.fields if f.name in key]
-    out_schema = T.StructType(fields + list(fold.schema.fields))
-    names = [f.name for f in fold.schema.fields]
-
+    out_schema = T.StructType([df.schema[k] for k in key] + list(fold.schema.fields))
     if blk is None:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            state, rows = _replay(fold, fold.initial(), pdf, order)
-            return _frame(pdf, key, names, rows + fold.finish(state))
-        return df.groupBy(*key).applyInPandas(whole, out_schema)
+        def whole(head: dict) -> _Replay:
+            return _Replay(fold, fold.initial(), {k: head[k] for k in key}, finish=True)
+        return _by_group(df, key, order, whole, out_schema)
 
     group = [*key, blk]
     data = cut(df)
-    state_schema = T.StructType([f for f in df.schema.fields if f.name in group]
+    state_schema = T.StructType([df.schema[k] for k in group]
                                 + [T.StructField("used", T.StringType()),
                                    T.StructField("reached", T.StringType())])
 
-    def advance(pdf: pd.DataFrame) -> pd.DataFrame:
-        used = pdf["_used"].iloc[0]
-        state, _ = _replay(fold, _load(fold, used), pdf, order)
-        head = {k: pdf[k].iloc[0] for k in group}
-        return pd.DataFrame([{**head, "used": used, "reached": _dump(state)}])
+    def advance(head: dict) -> _Replay:
+        return _Replay(fold, _load(fold, head["_used"]), {k: head[k] for k in group},
+                       used=head["_used"])
 
-    def settled(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = _replay(fold, _load(fold, pdf["_used"].iloc[0]), pdf, order)
-        if pdf["_last"].iloc[0]:
-            rows = rows + fold.finish(state)
-        return _frame(pdf, key, names, rows)
+    def settle(head: dict) -> _Replay:
+        return _Replay(fold, _load(fold, head["_used"]), {k: head[k] for k in key},
+                       finish=head["_last"])
 
     start = _dump(fold.initial())
-    states = cut(data.withColumn("_used", F.lit(start)).groupBy(*group)
-                 .applyInPandas(advance, state_schema))
+    states = cut(_by_group(data.withColumn("_used", F.lit(start)), group, order, advance,
+                           state_schema))
     chain = Window.partitionBy(*key).orderBy(blk)
     while True:
         wanted = states.withColumn(
@@ -246,12 +243,55 @@ def run_fold(df: DataFrame, fold: Fold, key: Sequence[str], order: Sequence[str]
         stale = wanted.where(F.col("wanted") != F.col("used"))
         if stale.isEmpty():
             break
-        again = (data.join(stale.select(*group, F.col("wanted").alias("_used")), group)
-                 .groupBy(*group).applyInPandas(advance, state_schema))
+        again = _by_group(data.join(stale.select(*group, F.col("wanted").alias("_used")), group),
+                          group, order, advance, state_schema)
         states = cut(states.join(stale.select(*group), group, "left_anti").unionByName(again))
     handed = states.select(*group, F.col("used").alias("_used"),
                            F.lead(blk).over(chain).isNull().alias("_last"))
-    return data.join(handed, group).groupBy(*group).applyInPandas(settled, out_schema)
+    return _by_group(data.join(handed, group), group, order, settle, out_schema)
+
+
+class _Replay:
+    """One group's run through a fold."""
+
+    def __init__(self, fold: Fold, state: dict, head: dict, finish: bool = False,
+                 used: str | None = None) -> None:
+        self.fold, self.state, self.head = fold, state, head
+        self.finish, self.used = finish, used
+
+    def row(self, row: dict) -> list[dict]:
+        self.state, rows = self.fold.step(self.state, row)
+        return [] if self.used is not None else [{**self.head, **r} for r in rows]
+
+    def end(self) -> list[dict]:
+        if self.used is not None:
+            return [{**self.head, "used": self.used, "reached": _dump(self.state)}]
+        return [{**self.head, **r} for r in self.fold.finish(self.state)] if self.finish else []
+
+
+def _by_group(df: DataFrame, group: list[str], order: list[str],
+              begin: Callable[[dict], _Replay], schema: T.StructType) -> DataFrame:
+    """Stream sorted groups through ``begin(first row)`` replays."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, replay, out = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                ident = tuple(row[g] for g in group)
+                if replay is None or ident != now:
+                    if replay is not None:
+                        out += replay.end()
+                    now, replay = ident, begin(row)
+                out += replay.row(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if replay is not None and (last := replay.end()):
+            yield pa.RecordBatch.from_pylist(last, schema=arrow)
+
+    return (df.repartition(*group).sortWithinPartitions(*group, *order)
+            .mapInArrow(run, schema))
 
 
 def _dump(state: dict) -> str:
@@ -262,15 +302,6 @@ def _load(fold: Fold, text: str) -> dict:
     return {**fold.initial(), **json.loads(text)}
 
 
-def _replay(fold: Fold, state: dict, pdf: pd.DataFrame, order: list[str]
-            ) -> tuple[dict, list[dict]]:
-    emitted: list[dict] = []
-    for row in plain_rows(pdf.sort_values(order, kind="stable")):
-        state, rows = fold.step(state, row)
-        emitted.extend(rows)
-    return state, emitted
-
-
 def plain_rows(pdf: pd.DataFrame) -> Iterable[dict]:
     """Rows as dicts of plain Python values, with None for missing ones."""
     names = list(pdf.columns)
@@ -280,11 +311,3 @@ def plain_rows(pdf: pd.DataFrame) -> Iterable[dict]:
         columns.append([None if isinstance(v, float) and math.isnan(v) else v for v in values])
     for values in zip(*columns, strict=True):
         yield dict(zip(names, values, strict=True))
-
-
-def _frame(pdf: pd.DataFrame, key: list[str], names: list[str], rows: list[dict]
-           ) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names, dtype=object)
-    for position, k in enumerate(key):
-        out.insert(position, k, pdf[k].iloc[0])
-    return out

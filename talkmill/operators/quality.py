@@ -89,14 +89,6 @@ def _word_grams(words: Column, n: int) -> Column:
         F.array().cast("array<string>"))
 
 
-def _char_grams(text: Column, n: int) -> Column:
-    chars = F.split(text, "")
-    return F.element_at(F.transform(F.array(F.filter(chars, lambda c: c != "")), lambda cs: F.when(
-        F.size(cs) >= n, F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1),
-                                     lambda i: F.array_join(F.slice(cs, i, n), ""))).otherwise(
-        F.array().cast("array<string>"))), 1)
-
-
 def tokenize_13a(text: Column) -> Column:
     """The standard evaluation tokens: punctuation apart, except inside numbers."""
     t = F.replace(text, F.lit("<skipped>"), F.lit(""))
@@ -141,12 +133,23 @@ def corpus_chrf(df: DataFrame, by: list[str], reference: str, hypothesis: str,
                 order: int = 6, beta: int = 2) -> DataFrame:
     """Corpus chrF per group: character n-grams without spaces, recall weighted."""
     squeeze = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), f"[{X.SPACE}]+", "")
-    n = df.withColumns({"_r": squeeze(F.col(reference)), "_h": squeeze(F.col(hypothesis))})
+    letters = lambda c: F.filter(F.split(squeeze(F.col(c)), ""), lambda x: x != "")
+    n = df.select(*by, letters(reference).alias("_r"), letters(hypothesis).alias("_h"))
+    n = n.withColumns({"_rg1": F.col("_r"), "_hg1": F.col("_h")})
+    # Grams of one length grow from those one shorter by one character.
+    for k in range(2, order + 1):
+        longer = {}
+        for side in "rh":
+            shorter, chars = F.col(f"_{side}g{k - 1}"), F.col(f"_{side}")
+            count = F.greatest(F.lit(0), F.size(chars) - (k - 1))
+            longer[f"_{side}g{k}"] = F.zip_with(
+                F.slice(shorter, F.lit(1), count), F.slice(chars, F.lit(k), count),
+                lambda a, b: F.concat(a, b))
+        n = n.withColumns(longer)
     stats: dict[str, Column] = {}
     for k in range(1, order + 1):
-        refs = F.greatest(F.lit(0), F.char_length("_r") - (k - 1)).cast("bigint")
-        hyps = F.greatest(F.lit(0), F.char_length("_h") - (k - 1)).cast("bigint")
-        stats[f"_m{k}"] = shared_grams(_char_grams(F.col("_h"), k), _char_grams(F.col("_r"), k))
+        refs, hyps = F.size(f"_rg{k}").cast("bigint"), F.size(f"_hg{k}").cast("bigint")
+        stats[f"_m{k}"] = shared_grams(F.col(f"_hg{k}"), F.col(f"_rg{k}"))
         stats[f"_h{k}"] = F.when(refs > 0, hyps).otherwise(0)
         stats[f"_r{k}"] = refs
     sums = n.select(*by, *[v.alias(k) for k, v in stats.items()]).groupBy(*by).agg(

@@ -30,7 +30,7 @@ def _streamed(spark, df, order: str, middle: int):
     """
     folder = f"{shared_folder(spark)}/feeds/{uuid.uuid4().hex}"
     for part in (F.col(order) < middle, F.col(order) >= middle):
-        df.where(part).repartition(4, "session_id").write.mode("append").parquet(folder)
+        df.where(part).repartition(2, "session_id").write.mode("append").parquet(folder)
     schema = spark.read.parquet(folder).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
