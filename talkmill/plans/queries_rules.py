@@ -28,10 +28,12 @@ _TEXT_SIGNALS = r"""
      lambda x: x <> '') AS toks,
    list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '),
      lambda x: x <> '') AS ws FROM base),
- grams AS (
-   SELECT id, n, i, list_slice(ws, i, i + n - 1) AS g FROM (
-     SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
-     FROM letters, (SELECT unnest(range(2, 9)) AS n) WHERE len(ws) >= 9)),
+ words AS (SELECT id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM letters WHERE len(ws) >= 9),
+ ahead AS (SELECT *, """ + ", ".join(f"lead(w, {k}) OVER x AS w{k}" for k in range(1, 8)) + r"""
+   FROM words WINDOW x AS (PARTITION BY id ORDER BY i)),
+ grams AS (""" + " UNION ALL ".join(
+    f"SELECT id, {n} AS n, i, w || " + " || ".join(f"' ' || w{k}" for k in range(1, n))
+    + f" AS g FROM ahead WHERE w{n - 1} IS NOT NULL" for n in range(2, 9)) + r"""),
  covered AS (
    SELECT id, count(DISTINCT p) AS cov FROM (
      SELECT id, unnest(range(i, i + n)) AS p FROM (
@@ -56,8 +58,10 @@ def density(spark, sf_dir):
 
 
 @query("b03_adjacent_repetition", f"""
-WITH base AS (SELECT doc_id AS id, text FROM documents), {_TEXT_SIGNALS}
-SELECT id AS doc_id, round(rep, 6) AS repetition FROM signals""")
+WITH base AS (SELECT doc_id AS id, text FROM documents), {_TEXT_SIGNALS.split(" words AS")[0].rstrip().rstrip(",")}
+SELECT id AS doc_id, round(CASE WHEN len(toks) < 4 THEN 0e0 ELSE len(list_filter(list_zip(
+  toks[1:len(toks)-1], toks[2:]), lambda p: p[1] = p[2])) / (len(toks) - 1)::DOUBLE END, 6) AS repetition
+FROM letters""")
 def repetition(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.round(X.adjacent_repetition("text"), 6).alias("repetition"))
