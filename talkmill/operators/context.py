@@ -41,6 +41,19 @@ def _rank(t: Column) -> Column:
                     t["source_language"].alias("source_language"))
 
 
+def per_language(terms: DataFrame, lines: DataFrame, language: str, name: str) -> DataFrame:
+    """Every term once per spoken language it applies to (``''`` stands for no language).
+
+    The languages in use are a short list, so terms are exploded over it; a term without a
+    language applies to all lines, and a line without one takes all terms.
+    """
+    spoken = lines.agg(F.collect_set(F.coalesce(language, F.lit("")))).scalar()
+    listed = terms.withColumn("_spoken", spoken)
+    return listed.withColumn(name, F.explode(F.filter("_spoken", lambda tag: (
+        (tag == "") | F.col("source_language").isNull()
+        | (tag == F.col("source_language")))))).drop("_spoken")
+
+
 def attach_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: str,
                  language: str, limit: int = ARRAY_TERMS) -> DataFrame:
     """Add ``terms``: the applicable glossary terms that occur in ``haystack``, longest
@@ -82,11 +95,8 @@ def _join_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: st
     """
     sized = terms.withColumn("_t", _rank(F.struct(*[F.col(c) for c in (
         "source", "target", "romanized", "source_language", "part", "idx")])))
-    tags = lines.select(F.col(language).alias("_lang")).distinct()
-    placed = tags.join(sized, F.col("source_language").isNull() | F.col("_lang").isNull()
-                       | (F.col("source_language") == F.col("_lang"))).select(
-        F.coalesce("_lang", F.lit("")).alias("_lang"), "_t", "source", "target", "romanized",
-        F.col("_t.n").alias("_n"))
+    placed = per_language(sized, lines, language, "_lang").select(
+        "_lang", "_t", "source", "target", "romanized", F.col("_t.n").alias("_n"))
     # A language may hold most terms, so places are numbered like any hot key's rows.
     placed, blk = split_hot(placed, ["_lang"], "_n")
     ranked = scan(placed, ["_lang"], ["_t"], blk, place=Scan("number"))

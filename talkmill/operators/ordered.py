@@ -175,7 +175,8 @@ def top_k(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int,
     """First ``k`` rows per key.  A salted first round keeps a hot key off one task:
     each of its shares sends at most ``k`` rows to the second round."""
     key = list(key)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     first = Window.partitionBy(*key, "_salt").orderBy(*order)
     second = Window.partitionBy(*key).orderBy(*order)
     return (salted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)

@@ -12,6 +12,7 @@ from talkmill.operators import intervals as I
 from talkmill.operators import ordered as O
 from talkmill.operators import rules as R
 from talkmill.operators import segmentation as S
+from talkmill.session import cut
 from talkmill.sources import writers as W
 
 
@@ -46,5 +47,11 @@ def lines_of(units: DataFrame, target: str, translator: Callable[[DataFrame], Da
     return R.validate_translations(told.unionByName(passed), policy).where("valid")
 
 
-def subtitles_of(lines: DataFrame, key: list[str], style: str = "srt") -> DataFrame:
-    return W.documents(W.subtitle_cues(lines, key, ["seq"], None), key, style)
+def subtitles_of(lines: DataFrame, key: list[str], style: str = "srt", hot: bool = False
+                 ) -> DataFrame:
+    """Subtitle documents.  ``hot`` says that some session was split before: the lines are
+    then fixed on disk and split again for the cue windows."""
+    blk = None
+    if hot:
+        lines, blk = O.split_hot(cut(lines), key, "start_s")
+    return W.documents(W.subtitle_cues(lines, key, ["seq"], blk), key, style)

@@ -96,10 +96,7 @@ SELECT language, count(*) AS n, max(place) AS last_place,
 def applicable(spark, sf_dir):
     """Terms of each language spoken in the sessions, longest first."""
     lines, _ = _lines(spark, sf_dir)
-    tags = lines.select("language").distinct()
-    terms = all_terms(spark, sf_dir)
-    fits = tags.join(terms, F.col("source_language").isNull()
-                     | (F.col("source_language") == F.col("language")))
+    fits = C.per_language(all_terms(spark, sf_dir), lines, "language", "language")
     ordered = fits.groupBy("language").agg(F.array_sort(F.collect_list(F.struct(
         (-F.char_length("source")).alias("n"), "part", "idx", "source"))).alias("t"))
     return ordered.select(

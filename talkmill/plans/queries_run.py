@@ -125,4 +125,4 @@ def file_run(spark, sf_dir):
         F.col("language").alias("source_language"), F.lit("en").alias("target_language"),
         F.col("text").alias("source_text"), F.col("text").alias("translation"))
     lines = RUN.lines_of(units, "en", lambda u: J.from_memory(u, nothing).drop("known"))
-    return RUN.subtitles_of(lines, KEY)
+    return RUN.subtitles_of(lines, KEY, hot=blk is not None)

@@ -71,6 +71,17 @@ def write_documents(docs: DataFrame, path: str, key: str, column: str = "documen
         "overwrite").partitionBy(key).text(path)
 
 
+def write_cues(cues: DataFrame, path: str, key: str, style: str, number: str = "cue") -> None:
+    """Write cues without building documents: for feeds of any length.
+
+    Cues are range-partitioned by (key, number), so a long feed becomes several part files
+    whose order is the cue order; a WebVTT reader adds the header line.
+    """
+    cues.select(key, number, cue_block(style, number).alias("value")).repartitionByRange(
+        key, number).sortWithinPartitions(key, number).drop(number).write.mode(
+        "overwrite").partitionBy(key).text(path)
+
+
 # -- flat reports --------------------------------------------------------------------------
 
 def flatten(df: DataFrame, skip: tuple[str, ...] = ("per_item",)) -> DataFrame:
