@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from talkmill.functions import text as X
 from talkmill.operators import context as C
+from talkmill.operators.ordered import Fold
 
 Translate = Callable[[list[str], list[str], list[str]], list[str]]
 
@@ -107,6 +108,55 @@ def learned_metric(pairs: DataFrame, by: list[str],
         F.round(F.avg("_score"), 4).alias("learned"))
 
 
+CONTEXT_SCHEMA = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("translated_text", T.StringType()),
+    T.StructField("previous", T.ArrayType(T.StringType())),
+    T.StructField("summary", T.StringType())])
+
+_WIDE = ((0x0900, 0x097F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))
+
+
+def _tokens(text: str) -> int:
+    wide = sum(any(a <= ord(c) <= b for a, b in _WIDE) for c in text)
+    return wide + (len(text) - wide) // 4 + 1
+
+
+def contextual_fold(factory: Callable[[], Callable[[str, list[tuple[str, str]], str], str]],
+                    max_segments: int = 8, max_tokens: int = 2048, summary_chars: int = 400
+                    ) -> Fold:
+    """Translate line by line when each line's context holds the translations before it.
+
+    ``model(text, previous pairs, summary) -> text``; only non-blank results enter the
+    context.  Sessions run side by side; inside one the model's own output decides what
+    comes next.  The context rules are those of ``context.rolling_context``.
+    """
+    loaded: list = []
+
+    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+        if not loaded:
+            loaded.append(factory())
+        text, pairs = row["source_text"], state["pairs"]
+        left = max_tokens - _tokens(text)
+        older, kept, dropped = pairs[:-max_segments], [], []
+        for pair in reversed(pairs[-max_segments:]):
+            cost = _tokens(pair[0]) + _tokens(pair[1])
+            if cost > left:
+                dropped.insert(0, pair)
+            else:
+                kept.insert(0, pair)
+                left -= cost
+        summary = " ".join(t.strip() for _, t in older + dropped if t.strip())
+        if len(summary) > summary_chars:
+            summary = "..." + summary[-summary_chars:]
+        said = loaded[0](text, [tuple(p) for p in kept], summary)
+        if said.strip():
+            pairs = [*pairs, [text, said]][-4 * max_segments:]
+        return {"pairs": pairs}, [{"seq": row["seq"], "translated_text": said,
+                                   "previous": [p[0] for p in kept], "summary": summary}]
+
+    return Fold(lambda: {"pairs": []}, step, CONTEXT_SCHEMA)
+
+
 def translate_lines(lines: DataFrame, terms: DataFrame, key: list[str],
                     translator: Callable[[DataFrame], DataFrame],
                     policy: str = "natural_english", rendering: str = "translate") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talkmill import dims
@@ -13,6 +15,7 @@ from talkmill.plans.queries_rules import JOBS, TRANS, jobs, translations
 from talkmill.plans.queries_telemetry import HIST, histograms
 from talkmill.plans.queries_quality import LIVE, live_events
 from talkmill.plans.registry import query
+from talkmill.session import shared_folder
 from talkmill.sources import readers as RD
 from talkmill.sources import writers as W
 
@@ -21,6 +24,51 @@ KEY = ["session_id"]
 
 # -- A: sources --------------------------------------------------------------------------
 
+@query("a01_manifest_items", """
+SELECT CASE WHEN item_id % 4 = 0 THEN 'list' ELSE 'wrapped' END AS shape, 'i' || item_id AS id,
+  CASE WHEN item_id % 3 = 0 THEN 'music' ELSE 'speech' END AS category, text AS reference_text
+FROM benchmark""")
+def manifest_items(spark, sf_dir):
+    """Manifests of both shapes written from the benchmark texts and read back."""
+    b = B.table(spark, sf_dir, "benchmark")
+    listed = F.col("item_id") % 4 == 0
+    item = F.struct(
+        F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"),
+        F.lit("a.wav").alias("audio"), F.lit("en").alias("source_language"),
+        F.lit("ja").alias("target_language"), F.col("text").alias("reference_text"),
+        F.when(F.col("item_id") % 3 == 0, "music").alias("category"))
+    rows = b.select(F.when(listed, "list").otherwise("wrapped").alias("shape"),
+                    F.floor(F.col("item_id") / 50).alias("file"), item.alias("r"))
+    made = rows.groupBy("shape", "file").agg(F.collect_list("r").alias("items")).select(
+        "shape", "file", F.when(F.col("shape") == "list", F.to_json("items")).otherwise(
+            F.to_json(F.struct(F.lit("v1").alias("version"), "items"))).alias("value"))
+    folder = f"{shared_folder(spark)}/manifests/{uuid.uuid4().hex}"
+    made.write.partitionBy("shape", "file").text(folder)
+    got = RD.read_manifests(spark, f"{folder}/shape=*/file=*")
+    return got.select(F.regexp_extract("manifest", "shape=([a-z]+)", 1).alias("shape"), "id",
+                      "category", "reference_text")
+
+
+@query("a06_report_results", """
+SELECT 'run ' || user_id % 8 AS title, event_type AS model, count(*)::VARCHAR AS items FROM events GROUP BY 1, 2""")
+def report_results(spark, sf_dir):
+    """Benchmark reports written per group of users and scanned again."""
+    e = B.table(spark, sf_dir, "events")
+    rows = e.groupBy((F.col("user_id") % 8).alias("run"), F.col("event_type").alias("model")
+                     ).agg(F.count("*").alias("items"))
+    result = F.struct(F.lit("asr").alias("component"), "model", "items",
+                      F.array(F.lit(1)).alias("per_item"), F.lit("x").alias("hypothesis"))
+    made = rows.groupBy("run").agg(F.collect_list(result).alias("results")).select(
+        "run", F.to_json(F.struct(
+            F.concat(F.lit("run "), F.col("run").cast("string")).alias("title"),
+            F.struct(F.lit("c").alias("cpu")).alias("environment"), "results")).alias("value"))
+    folder = f"{shared_folder(spark)}/reports/{uuid.uuid4().hex}"
+    made.write.partitionBy("run").text(folder)
+    got = RD.read_reports(spark, folder, "*.txt")
+    return got.select("title", F.col("result")["model"].alias("model"),
+                      F.col("result")["items"].alias("items"))
+
+
 @query("a02_content_versions", """
 SELECT doc_id, left(sha256(text), 12) AS version FROM documents""")
 def content_versions(spark, sf_dir):

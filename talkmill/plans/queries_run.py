@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkmill import dims
 from talkmill.operators import joins as J
 from talkmill.operators import models as M
+from talkmill.operators import ordered as O
 from talkmill.plans import bindings as B
 from talkmill.plans import file_run as RUN
 from talkmill.plans.queries_context import _PROTECT, all_terms
@@ -63,6 +64,51 @@ def model_scores(spark, sf_dir):
                          F.col("s")["SILENCE"].alias("silence"))
 
 
+def closeness():
+    return lambda sources, said, wanted: [
+        1.0 - abs(len(s) - len(w)) / max(1, len(s), len(w)) for s, w in zip(said, wanted)]
+
+
+@query("j06_learned_metric", f"""
+WITH {TRANS}
+SELECT source_language, round(avg(1 - abs(length(translated_text) - length(source_text))
+  / greatest(1, length(translated_text), length(source_text))::DOUBLE), 4) AS learned,
+  NULL::DOUBLE AS without_model FROM trans GROUP BY source_language""")
+def learned_metric(spark, sf_dir):
+    t, _ = translations(spark, sf_dir)
+    pairs = t.select("source_language", "source_text", F.col("translated_text")
+                     .alias("hypothesis"), F.col("source_text").alias("reference_translation"))
+    off = M.learned_metric(pairs, ["source_language"], None).withColumnRenamed(
+        "learned", "without_model")
+    return M.learned_metric(pairs, ["source_language"], closeness).join(off, "source_language")
+
+
+def remembering():
+    """A stand-in model whose answer depends on the context it is given."""
+    return lambda text, previous, summary: (
+        "" if text.startswith("L") else f"{len(previous)}/{len(summary)} {text}")
+
+
+@query("j07_contextual_translation", f"""
+WITH RECURSIVE {TRANS}, ln AS (SELECT session_id, seq, source_text AS x, row_number() OVER (
+    PARTITION BY session_id ORDER BY seq) AS rn FROM trans),
+ct AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS rn, 0::BIGINT AS seq, []::VARCHAR[] AS told, '' AS said FROM ln
+  UNION ALL
+  SELECT session_id, rn, seq, CASE WHEN said = '' THEN told ELSE list_append(told, said) END, said FROM (
+    SELECT *, CASE WHEN starts_with(x, 'L') THEN '' ELSE least(8, len(told)) || '/' || CASE
+        WHEN length(old) > 400 THEN 403 ELSE length(old) END || ' ' || x END AS said FROM (
+      SELECT c.session_id, l.rn, l.seq, l.x, c.told, array_to_string(list_transform(list_slice(
+        told, greatest(1, len(told) - 31), greatest(0, len(told) - 8)), lambda t: trim(t)), ' ') AS old
+      FROM ct c JOIN ln l ON l.session_id = c.session_id AND l.rn = c.rn + 1)))
+SELECT session_id, seq, said AS translated_text FROM ct WHERE rn > 0""")
+def contextual_translation(spark, sf_dir):
+    t, blk = translations(spark, sf_dir)
+    feed = t.select("session_id", "seq", *([blk] if blk else []), "source_text")
+    return O.run_fold(feed, M.contextual_fold(remembering, max_tokens=10**6), KEY, ["seq"],
+                      blk).select("session_id", "seq", "translated_text")
+
+
 _BACK = "list_reduce(st.m, lambda a, t: {'x': replace(a.x, 'VBX' || t.p || 'X', t.t)}, {'x': said}).x"
 
 

@@ -114,14 +114,15 @@ def audit_media(spark: SparkSession, root: str, max_bytes: int = 2048 << 20) ->
 REPORT_SCHEMA = "title string, environment map<string,string>, results array<map<string,string>>"
 
 
-def read_reports(spark: SparkSession, root: str) -> DataFrame:
+def read_reports(spark: SparkSession, root: str,
+                 names: str = "{benchmark,comparison}.json") -> DataFrame:
     """One row per result of every benchmark or comparison report under ``root``.
 
     Unreadable files are skipped; per-item data and hypotheses are dropped.
     """
     raw = (spark.read.schema(REPORT_SCHEMA + ", _bad string")
            .option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "{benchmark,comparison}.json")
+           .option("pathGlobFilter", names)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
            .json(root, multiLine=True).withColumn("path", F.col("_metadata.file_path")))
     good = raw.where(F.col("_bad").isNull())

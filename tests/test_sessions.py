@@ -186,3 +186,24 @@ def test_stream_reorder_equals_batch(spark, tmp_path):
     batch = O.run_fold(spark.createDataFrame(rows, schema), fold, ["k"], ["at", "seq"])
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(out) == key(batch)
+
+
+def test_contextual_fold_sees_the_rolling_context(spark):
+    """The sequential rule and the columns agree on what a line may see."""
+    from talkmill.operators import context as C
+    from talkmill.operators import models as M
+
+    rng = random.Random(8)
+    lines = [("s", i, " ".join("word" for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame(lines, "k string, seq long, source_text string")
+    limits = dict(max_segments=4, max_tokens=90, summary_chars=80)
+    told = O.run_fold(df, M.contextual_fold(
+        lambda: lambda text, previous, summary: "" if len(text) % 7 == 0 else "T " + text, **limits),
+        ["k"], ["seq"])
+    pairs = df.join(told.select("seq", "translated_text"), "seq").withColumn(
+        "speaker", F.lit(None).cast("int"))
+    want = C.rolling_context(pairs, ["k"], ["seq"], None,
+                             accepted=F.col("translated_text") != "", **limits).select(
+        "seq", F.transform("previous", lambda e: e["source"]).alias("p"), "summary")
+    key = lambda df: sorted((r[0], tuple(r[1]), r[2]) for r in df.collect())
+    assert key(told.select("seq", "previous", "summary")) == key(want)
