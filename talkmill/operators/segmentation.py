@@ -20,15 +20,13 @@ def with_profiles(df: DataFrame, profiles: DataFrame, latency: str = "balanced",
     tag = X.primary_language(F.col("language") if language is None else language)
     p = profiles.where(F.col("latency") == latency).drop("latency")
     names = [c for c in p.columns if c != "language"]
-    fallback = p.where(F.col("language") == "default").select(
-        F.struct(*names).alias("_default"), F.lit(1).alias("_one"))
+    fallback = p.where(F.col("language") == "default").agg(
+        F.first(F.struct(*names)).alias("d")).scalar()
     known = p.select(F.col("language").alias("_tag"), F.struct(*names).alias("_own"))
-    out = (df.withColumns({"_l": F.coalesce(tag, F.lit("")), "_one": F.lit(1)})
+    out = (df.withColumn("_l", F.coalesce(tag, F.lit("")))
            .join(F.broadcast(known), F.col("_l") == F.col("_tag"), "left")
-           .join(F.broadcast(fallback), "_one", "left"))
-    chosen = F.coalesce("_own", "_default")
-    return out.withColumn("_p", chosen).select(
-        *df.columns, *[F.col("_p")[n].alias(n) for n in names])
+           .withColumn("_p", F.coalesce("_own", fallback)))
+    return out.select(*df.columns, *[F.col("_p")[n].alias(n) for n in names])
 
 
 def pauses(segments: DataFrame, key: list[str], order: list[str], blk: str | None) -> DataFrame:
