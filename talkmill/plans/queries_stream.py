@@ -108,7 +108,11 @@ def event_stream(spark, sf_dir):
                       .alias("seconds"))
 
 
-@query("h08_stream_sliding_latency")
+@query("h08_stream_sliding_latency", f"""
+WITH {B.EVT}, k AS (SELECT *, unnest(range(0, 12)) AS i FROM evt),
+w AS (SELECT (us // 3600000000 - i) * 3600 AS window_start, event_type AS stage, count(*) AS n,
+  round(avg(seconds), 10) AS mean, max(seconds) AS worst FROM k GROUP BY ALL)
+SELECT * FROM w WHERE (window_start + 43200) * 1000 <= (SELECT max(us) FROM evt) // 1000 - 3600000""")
 def stream_sliding(spark, sf_dir):
     """Append mode: only windows the watermark has passed are written."""
     out = SJ.drain(SP.sliding_latency(event_stream(spark, sf_dir), "ts", "1 hour", "12 hours",
@@ -117,7 +121,12 @@ def stream_sliding(spark, sf_dir):
                       F.round("mean", 10).alias("mean"), "worst")
 
 
-@query("h09_stream_utterances")
+@query("h09_stream_utterances", f"""
+WITH {B.EVT}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 14400000000 THEN 0 ELSE 1 END AS o
+  FROM evt WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM g)
+SELECT user_id, min(us) AS start_us, count(*) AS n FROM s GROUP BY user_id, k
+HAVING max(us) + 14400000000 <= (SELECT max(us) FROM evt) - 600000000""")
 def stream_utterances(spark, sf_dir):
     out = SJ.drain(SP.utterances(event_stream(spark, sf_dir), "ts", ["user_id"], "4 hours"))
     return out.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
