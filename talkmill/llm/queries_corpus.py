@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm.copies import exact_copies
 from talkmill.llm.mixing import mix_sessions
+from talkmill.llm.overlap import overlapping_words
 from talkmill.llm.registry import query
+from talkmill.llm.secrets import scan_revisions
+from talkmill.session import shared_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,3 +83,82 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(rows["sequence_id"].alias("doc_id"), "size", "source_size", "target",
                     F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
                     F.col("first_place").cast("bigint")))
+
+
+@query("op6_secret_scan", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+r(rank, kind, pattern, grp, shortest) AS (VALUES
+  (1, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  (2, 'access', 'AKIA[A-Z0-9]+', 0, 18), (3, 'hex', '[0-9a-f]+', 0, 16)),
+m AS (
+  SELECT doc_id, 1 AS rank, 'assign' AS kind, 12 AS shortest,
+    string_split_regex(text, p) AS gaps, regexp_extract_all(text, p) AS matches,
+    regexp_extract_all(text, p, 2) AS measured
+  FROM d, (SELECT pattern AS p FROM r WHERE rank = 1)
+  UNION ALL SELECT doc_id, 2, 'access', 18, string_split_regex(text, 'AKIA[A-Z0-9]+'),
+    regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 3, 'hex', 16, string_split_regex(text, '[0-9a-f]+'),
+    regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+') FROM d),
+e AS (SELECT doc_id, rank, kind, shortest, unnest(range(len(matches))) AS i,
+    unnest(gaps[1:len(matches)]) AS gap, unnest(matches) AS hit, unnest(measured) AS measured
+  FROM m WHERE len(matches) > 0),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM e),
+f AS (SELECT doc_id, count(*) FILTER (WHERE rank = 1) AS n_assign,
+    count(*) FILTER (WHERE rank = 2) AS n_access, count(*) FILTER (WHERE rank = 3) AS n_hex,
+    string_agg(kind || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT, ','
+      ORDER BY stop - length(hit), rank) AS spans
+  FROM p WHERE length(measured) >= shortest GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
+  coalesce(spans, '') AS spans
+FROM documents LEFT JOIN f USING (doc_id)
+""")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a transcript with one revision; the ledger starts empty."""
+    revisions = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("session_id"), F.lit(1).alias("revision"), "text")
+    ledger = f"{shared_folder(spark)}/secret-ledgers/{uuid.uuid4().hex}"
+    return scan_revisions(revisions, ledger).select(
+        F.col("session_id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+        F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op8_benchmark_overlap", r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ig AS (SELECT DISTINCT item_id, least(len(w), 13) AS n,
+    array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 13, 0) + 1)) AS s
+    FROM iw WHERE len(w) > 0)),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dp AS (SELECT doc_id, w, unnest(range(len(w))) AS s FROM dw),
+dg AS (SELECT doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') AS gram
+  FROM dp, (SELECT DISTINCT n FROM ig) WHERE s + n <= len(w)),
+h AS (SELECT dg.doc_id, dg.s, dg.n, ig.item_id FROM dg JOIN ig USING (n, gram)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""")
+def op8_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_overlap(documents(spark, sf_dir), spark, sf_dir)
+
+
+def judged_overlap(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.col("item_id").alias("id"), F.col("text").alias("reference_text"))
+    found = overlapping_words(segments_of(docs), items)
+    return found.select(
+        F.col("sequence_id").alias("doc_id"), "n_words", "n_hit",
+        F.size("ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        .alias("contaminated"))
