@@ -36,9 +36,6 @@ def exact_copies(segments: DataFrame, tracked: int = TRACKED, frequent: int = FR
         "sequence_id",
         F.sha2(F.regexp_replace(whole(), r"[ \t-\r]+", ""), 256).alias("text_sha256"),
         F.char_length(whole()).alias("_chars")))
-    if rows.isEmpty():
-        return _settled(rows.withColumn("keep_id", F.col("sequence_id"))
-                        .withColumn("group_size", F.lit(1).cast("bigint")))
     winners = _frequent_winners(rows, tracked, frequent)
     marked = rows.join(F.broadcast(winners), "text_sha256", "left")
     copies = Window.partitionBy("text_sha256")
@@ -66,7 +63,8 @@ def _frequent_winners(rows: DataFrame, tracked: int, frequent: int) -> DataFrame
     keyed = rows.withColumn("_key", F.xxhash64("text_sha256"))
     sketches = (keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("_lane"))
                 .agg(F.expr(f"approx_top_k_accumulate(_key, {tracked})").alias("sketch")))
-    named = sketches.agg(F.expr(
+    # Grouped by a constant: without a key, tasks that have no sketch fail in the merge.
+    named = sketches.groupBy(F.lit(0).alias("_all")).agg(F.expr(
         f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {frequent})")
         .alias("top")).select(F.explode("top.item").alias("_key"))
     suspects = keyed.join(F.broadcast(named), "_key", "left_semi")

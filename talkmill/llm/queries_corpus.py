@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm.copies import exact_copies
+from talkmill.llm.lines import drop_repeated_lines
 from talkmill.llm.mixing import mix_sessions
 from talkmill.llm.overlap import overlapping_words
 from talkmill.llm.registry import query
 from talkmill.llm.secrets import scan_revisions
+from talkmill.llm.simhash import near_copies
 from talkmill.session import shared_folder
 
 
@@ -162,3 +164,27 @@ def judged_overlap(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
         F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
         .alias("contaminated"))
+
+
+@query("op7_line_dedup", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''),
+      '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), ''))
+    AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/line-runs/{uuid.uuid4().hex}"
+    return drop_repeated_lines(segments(spark, sf_dir), folder).select(
+        F.col("sequence_id").alias("doc_id"), "n_lines", "n_dropped",
+        F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_simhash_near_dedup")
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(segments(spark, sf_dir)).withColumnRenamed("sequence_id", "doc_id")
