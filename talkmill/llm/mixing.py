@@ -46,8 +46,9 @@ def session_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: f
     used_up = F.coalesce(F.sum(passes * F.col("source_size")).over(before), F.lit(0))
     levels = ranked.withColumn(
         "reached", (budget - used_up) / F.sum("weight").over(after))
-    # The first queue that is not dry when the budget ends gives the time; all dry: the last.
-    level = F.coalesce(F.min(F.when(F.col("reached") <= F.col("dry"), F.col("reached")))
+    # The first queue that is not dry when the budget ends gives the time, and later ones give
+    # earlier times; if all run dry, the last one does.
+    level = F.coalesce(F.max(F.when(F.col("reached") <= F.col("dry"), F.col("reached")))
                        .over(everything), F.max("dry").over(everything))
     return (levels.withColumn("level", level)
             .withColumn("target", F.least((passes * F.col("source_size")).cast("double"),

@@ -58,7 +58,7 @@ s4 AS (SELECT *, (1.5e0 * sum(source_size) OVER ()::DOUBLE
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
     / sum(weight) OVER (ORDER BY dry, p
         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS reached FROM s3),
-s5 AS (SELECT *, coalesce(min(CASE WHEN reached <= dry THEN reached END) OVER (),
+s5 AS (SELECT *, coalesce(max(CASE WHEN reached <= dry THEN reached END) OVER (),
     max(dry) OVER ()) AS level FROM s4),
 s AS (SELECT source, weight, source_size,
     least((2 * source_size)::DOUBLE, level * weight) AS target FROM s5),
