@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkmill.llm.bytenet import detect_language, learn_languages
 from talkmill.llm.queries_corpus import documents, segments_of
 from talkmill.llm.registry import query
+from talkmill.llm.repeats import drop_repeated_bytes
 from talkmill.llm.warc import read_archive, write_archive
 from talkmill.session import shared_folder
 
@@ -43,3 +44,11 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, folder).select(
         F.col("page_id").cast("bigint"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("bigint"))
+
+
+@query("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/repeats/{uuid.uuid4().hex}"
+    return drop_repeated_bytes(segments_of(documents(spark, sf_dir)), folder).select(
+        F.col("sequence_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"))
