@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm.bytenet import detect_language, learn_languages
+from talkmill.llm.fluency import judge_fluency
 from talkmill.llm.queries_corpus import documents, segments_of
 from talkmill.llm.registry import query
 from talkmill.llm.repeats import drop_repeated_bytes
@@ -52,3 +53,14 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(segments_of(documents(spark, sf_dir)), folder).select(
         F.col("sequence_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_quality_perplexity")
+def op3_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted text: documents labelled as of quality and not toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select(
+        F.col("doc_id").alias("sequence_id"))
+    return judge_fluency(segments_of(documents(spark, sf_dir)), trusted).select(
+        F.col("sequence_id").alias("doc_id"), F.nullif("language", F.lit("")).alias("lang"),
+        "perplexity", "threshold", "kept")
