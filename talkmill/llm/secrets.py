@@ -89,6 +89,8 @@ def base_findings(blobs: DataFrame) -> DataFrame:
               for kind in BASE]
     # One row per text without findings too: the ledger records that it was scanned.
     each = marked.select("blob", F.posexplode_outer(F.concat(*pieces)).alias("_i", "_p"))
+    # Rows that repeat an id and text are both scanned; they count once.
+    each = each.dropDuplicates(["blob", "_i"])
     along = Window.partitionBy("blob", "_p.rank").orderBy("_i")
     ends = each.withColumn(
         "_end", F.sum(F.col("_p.gap") + F.col("_p.size")).over(along))
