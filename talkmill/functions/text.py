@@ -128,7 +128,7 @@ def phrase_loop_score(c: Column | str) -> Column:
                               lambda ab, z: F.when(ab["a"]["g"] == z["g"], F.array(
                                   ab["a"]["i"], ab["b"]["i"], z["i"])))
             return F.array_distinct(F.flatten(F.array_compact(same)))
-        return F.element_at(F.transform(F.array(F.array_sort(grams)), lambda s: F.when(
+        return F.element_at(F.transform(F.array(F.sort_array(grams)), lambda s: F.when(
             F.size(s) >= 3, pick(s)).otherwise(none)), 1)
 
     def longer(w: Column, state: Column, n: Column) -> Column:

@@ -62,10 +62,12 @@ def attach_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: s
     A small glossary goes to every task as one map of placed terms per language.  A large
     one is joined: every line offers the substrings that can begin a term.
     """
+    # A blank language is none: all terms apply, in both plans.
+    lines = lines.withColumn("_tag", F.nullif(F.col(language), F.lit("")))
     size = terms.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(
         "source_language").alias("langs")).head()
     if size["n"] * (size["langs"] + 2) > limit:
-        return _join_terms(lines, terms, key, haystack, language)
+        return _join_terms(lines, terms, key, haystack, "_tag").drop("_tag")
     term = F.struct(*[F.col(c) for c in (
         "source", "target", "romanized", "source_language", "part", "idx")])
     ordered = F.array_sort(F.collect_list(_rank(term)))
@@ -80,10 +82,10 @@ def attach_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: s
         F.map_from_arrays("tags", F.transform("tags", lambda tag: placed(
             F.col("all"), lambda t: free(t) | (t["source_language"] == tag)))).alias("own")))
     held = lines.withColumn("_g", lists.scalar())
-    mine = F.when(F.col(language).isNull(), F.col("_g.any")).otherwise(
-        F.coalesce(F.try_element_at("_g.own", F.col(language)), F.col("_g.other")))
+    mine = F.when(F.col("_tag").isNull(), F.col("_g.any")).otherwise(
+        F.coalesce(F.try_element_at("_g.own", F.col("_tag")), F.col("_g.other")))
     return held.withColumn("terms", F.filter(
-        mine, lambda t: F.contains(F.col(haystack), t["source"]))).drop("_g")
+        mine, lambda t: F.contains(F.col(haystack), t["source"]))).drop("_g", "_tag")
 
 
 def _join_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: str,

@@ -164,7 +164,7 @@ def packing(max_seconds: float = 28.0, gap: float = 0.8, strict: bool = False,
         return [{"chunk": state["n"] + 1, "start_s": state["open"][0],
                  "end_s": state["open"][1]}]
 
-    return Fold(lambda: {"n": 0, "open": None}, step, CHUNK_SCHEMA, finish)
+    return Fold(lambda: {"n": 0, "open": None}, step, CHUNK_SCHEMA, finish, counters=("n",))
 
 
 def quietest(frames, lo: float, hi: float, frame: float = 0.1) -> float:

@@ -33,17 +33,28 @@ def usable(items: DataFrame) -> DataFrame:
     return items.where(full("reference_text") & full("reference_translation"))
 
 
+def one_per_key(rows: DataFrame, key: list[str], values: list[str], order: str | None = None
+                ) -> DataFrame:
+    """One row per key, so that a lookup never multiplies lines: the last by ``order``, or
+    where there is none the greatest values, so that reruns agree."""
+    held = F.struct(*values)
+    return rows.groupBy(*key).agg(F.max_by(held, F.col(order) if order else held).alias("_r")
+                                  ).select(*key, "_r.*")
+
+
 def route_provider(requests: DataFrame, overrides: DataFrame, default: str) -> DataFrame:
     """Explicit choice, else the override of the target language, else the default."""
-    o = overrides.select(F.col("language").alias("target_language"),
-                         F.col("provider").alias("_override"))
+    o = one_per_key(overrides.select(F.col("language").alias("target_language"),
+                                     F.col("provider").alias("_override")),
+                    ["target_language"], ["_override"])
     return requests.join(o, "target_language", "left").withColumn(
         "provider", F.coalesce("explicit", "_override", F.lit(default))).drop("_override")
 
 
 def route_by_language(requests: DataFrame, engines: DataFrame, fallback: str) -> DataFrame:
     """The primary engine when it lists the language or lists none, else the fallback."""
-    e = engines.select(F.col("name").alias("primary"), "languages")
+    e = one_per_key(engines.select(F.col("name").alias("primary"), "languages"),
+                    ["primary"], ["languages"])
     serves = (F.size("languages") == 0) | F.array_contains("languages", F.col("language"))
     return requests.join(e, "primary", "left").withColumn("engine", F.when(
         F.coalesce(serves, F.lit(False)), F.col("primary")).otherwise(fallback)
@@ -56,14 +67,15 @@ def supports(requests: DataFrame, engines: DataFrame) -> DataFrame:
     lists = (((F.size("sources") == 0) | F.array_contains("sources", F.col("source_language")))
              & ((F.size("targets") == 0) | F.array_contains("targets", F.col("target_language"))))
     ok = F.when(F.size("pairs") > 0, F.array_contains("pairs", pair)).otherwise(lists)
-    return (requests.join(engines.select("engine", "pairs", "sources", "targets"), "engine",
-                          "left")
+    engines = one_per_key(engines, ["engine"], ["pairs", "sources", "targets"])
+    return (requests.join(engines, "engine", "left")
             .withColumn("supported", F.coalesce(ok, F.lit(False)))
             .drop("pairs", "sources", "targets"))
 
 
 def voice_for(lines: DataFrame, voices: DataFrame, default: str) -> DataFrame:
-    v = voices.select("speaker", F.col("voice").alias("_voice"))
+    v = one_per_key(voices.select("speaker", F.col("voice").alias("_voice")),
+                    ["speaker"], ["_voice"])
     return lines.join(v, "speaker", "left").withColumn(
         "voice", F.coalesce("_voice", F.lit(default))).drop("_voice")
 
@@ -91,7 +103,7 @@ def pair_catalogue(pairs: DataFrame, languages: DataFrame) -> DataFrame:
 def from_memory(lines: DataFrame, memory: DataFrame) -> DataFrame:
     """Look lines up in a translation memory; unknown ones are marked with the target tag."""
     key = ["source_language", "target_language", "source_text"]
-    m = memory.select(*key, F.col("translation").alias("_found"))
+    m = one_per_key(memory.select(*key, F.col("translation").alias("_found")), key, ["_found"])
     marked = F.concat(F.lit("["), "target_language", F.lit("] "), "source_text")
     return lines.join(m, key, "left").withColumn(
         "translated_text", F.coalesce("_found", marked)).withColumn(

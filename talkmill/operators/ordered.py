@@ -33,8 +33,6 @@ BROADCAST_CUTS = 1_000_000
 
 BLOCK = "_blk"
 
-_EVEN: set[tuple] = set()
-
 
 def split_hot(df: DataFrame, key: Sequence[str], order: str,
               rows: int = ROWS_PER_BLOCK) -> tuple[DataFrame, str | None]:
@@ -45,14 +43,9 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str,
     rows equal in ``order`` always share a block.
     """
     key = list(key)
-    # Only "no key is hot" is remembered: were it outdated, the plan would still be right.
-    seen = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), *key, rows)
-    if seen in _EVEN:
-        return df, None
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
     found = sizes.agg(F.count(F.lit(1)).alias("keys"), F.max("_n").alias("largest")).head()
     if not found["keys"]:
-        _EVEN.add(seen)
         return df, None
     pieces = min(MAX_BLOCKS, max(2, math.ceil(2 * found["largest"] / rows)))
     hot = df.join(sizes.select(*key), key, "left_semi")
@@ -192,13 +185,17 @@ class Fold:
 
     ``step(state, row) -> (state, rows)`` and ``finish(state) -> rows`` are pure;
     ``state`` is a dict of plain values and stays small; ``row`` and the emitted rows are
-    dicts.  The same object drives batch groups and streaming state.
+    dicts.  The same object drives batch groups and streaming state.  ``counters`` names the
+    parts of the state that only count what was emitted and decide nothing.  ``quiet(state)
+    -> (state, rows)`` gives out what is pending when a stream's key pauses.
     """
 
     initial: Callable[[], dict]
     step: Callable[[dict, dict], tuple[dict, list[dict]]]
     schema: T.StructType
     finish: Callable[[dict], list[dict]] = lambda state: []
+    counters: tuple[str, ...] = ()
+    quiet: Callable[[dict], tuple[dict, list[dict]]] = lambda state: (state, [])
 
 
 def run_fold(df: DataFrame, fold: Fold, key: Sequence[str], order: Sequence[str],
@@ -210,8 +207,9 @@ def run_fold(df: DataFrame, fold: Fold, key: Sequence[str], order: Sequence[str]
 
     With blocks, all blocks first run at once from the initial state.  A block whose true
     incoming state (the end state of the block before it) differs from the one it used is
-    run again, until nothing differs.  Each round is exact for at least one more block,
-    and the rules here forget quickly, so few rounds are needed.
+    run again, until nothing differs.  Counters run from zero in every block and get the
+    sum of the blocks before as an offset at the end; without them the rules forget what
+    lies a pause or a limit back, so the rounds do not grow with the blocks.
     """
     key, order = list(key), list(order)
     out_schema = T.StructType([df.schema[k] for k in key] + list(fold.schema.fields))
@@ -224,17 +222,19 @@ def run_fold(df: DataFrame, fold: Fold, key: Sequence[str], order: Sequence[str]
     data = cut(df)
     state_schema = T.StructType([df.schema[k] for k in group]
                                 + [T.StructField("used", T.StringType()),
-                                   T.StructField("reached", T.StringType())])
+                                   T.StructField("reached", T.StringType()),
+                                   T.StructField("counted", T.ArrayType(T.LongType()))])
 
     def advance(head: dict) -> _Replay:
         return _Replay(fold, _load(fold, head["_used"]), {k: head[k] for k in group},
                        used=head["_used"])
 
     def settle(head: dict) -> _Replay:
-        return _Replay(fold, _load(fold, head["_used"]), {k: head[k] for k in key},
-                       finish=head["_last"])
+        state = _load(fold, head["_used"])
+        state.update(zip(fold.counters, head["_counted"] or (), strict=False))
+        return _Replay(fold, state, {k: head[k] for k in key}, finish=head["_last"])
 
-    start = _dump(fold.initial())
+    start = _dump(fold.initial(), fold.counters)
     states = cut(_by_group(data.withColumn("_used", F.lit(start)), group, order, advance,
                            state_schema))
     chain = Window.partitionBy(*key).orderBy(blk)
@@ -247,7 +247,10 @@ def run_fold(df: DataFrame, fold: Fold, key: Sequence[str], order: Sequence[str]
         again = _by_group(data.join(stale.select(*group, F.col("wanted").alias("_used")), group),
                           group, order, advance, state_schema)
         states = cut(states.join(stale.select(*group), group, "left_anti").unionByName(again))
-    handed = states.select(*group, F.col("used").alias("_used"),
+    earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
+    counted = F.array(*[F.coalesce(F.sum(F.col("counted")[i]).over(earlier), F.lit(0))
+                        for i in range(len(fold.counters))]).cast("array<bigint>")
+    handed = states.select(*group, F.col("used").alias("_used"), counted.alias("_counted"),
                            F.lead(blk).over(chain).isNull().alias("_last"))
     return _by_group(data.join(handed, group), group, order, settle, out_schema)
 
@@ -266,7 +269,9 @@ class _Replay:
 
     def end(self) -> list[dict]:
         if self.used is not None:
-            return [{**self.head, "used": self.used, "reached": _dump(self.state)}]
+            counters = self.fold.counters
+            return [{**self.head, "used": self.used, "reached": _dump(self.state, counters),
+                     "counted": [self.state[c] for c in counters]}]
         return [{**self.head, **r} for r in self.fold.finish(self.state)] if self.finish else []
 
 
@@ -295,8 +300,9 @@ def _by_group(df: DataFrame, group: list[str], order: list[str],
             .mapInArrow(run, schema))
 
 
-def _dump(state: dict) -> str:
-    return json.dumps(state, sort_keys=True, ensure_ascii=False)
+def _dump(state: dict, counters: Sequence[str] = ()) -> str:
+    return json.dumps({**state, **dict.fromkeys(counters, 0)}, sort_keys=True,
+                      ensure_ascii=False)
 
 
 def _load(fold: Fold, text: str) -> dict:

@@ -28,15 +28,17 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of two word arrays.
 
     Every distinct word of the pair becomes one character, so the built-in character
-    distance gives the word distance (up to a million distinct words per pair).
+    distance gives the word distance.  A pair of more distinct words than there are such
+    characters is an error.
     """
     def spell(words: Column, vocabulary: Column) -> Column:
         return F.array_join(F.transform(
             words, lambda w: _letter(F.array_position(vocabulary, w))), "")
 
     vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    return F.element_at(F.transform(F.array(vocabulary), lambda v: F.levenshtein(
-        spell(reference, v), spell(hypothesis, v))), 1)
+    return F.element_at(F.transform(F.array(vocabulary), lambda v: F.when(
+        F.size(v) > 0xFFFFF, F.raise_error("too many distinct words for a word distance")
+        .cast("int")).otherwise(F.levenshtein(spell(reference, v), spell(hypothesis, v)))), 1)
 
 
 def with_normal_forms(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -66,7 +68,7 @@ def shared_grams(left: Column, right: Column) -> Column:
     Both are sorted together with +1/-1 marks; the differences left per gram give
     ``|L| + |R| - 2 * shared``.
     """
-    marked = F.array_sort(F.concat(
+    marked = F.sort_array(F.concat(
         F.transform(left, lambda g: F.struct(g.alias("g"), F.lit(1).alias("d"))),
         F.transform(right, lambda g: F.struct(g.alias("g"), F.lit(-1).alias("d")))))
     start = F.struct(F.lit("").alias("g"), F.lit(0).alias("net"), F.lit(0).alias("gone"))

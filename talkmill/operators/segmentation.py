@@ -5,7 +5,7 @@ Each rule is one pure step shared by batch groups and streams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,8 +132,15 @@ def _unit_finish(state: dict) -> list[dict]:
              "language": state["language"], "reason": "end_of_file"}]
 
 
+def _unit_quiet(state: dict) -> tuple[dict, list[dict]]:
+    """A pause closes the pending unit; the session goes on."""
+    rows = [{**r, "reason": "silence"} for r in _unit_finish(state)]
+    return {**state, "units": state["units"] + len(rows), "text": ""}, rows
+
+
 UNITS = Fold(lambda: {"units": 0, "text": "", "start": 0.0, "end": 0.0, "speaker": None,
-                      "language": None, "last": None}, _unit_step, UNIT_SCHEMA, _unit_finish)
+                      "language": None, "last": None}, _unit_step, UNIT_SCHEMA, _unit_finish,
+             counters=("units",), quiet=_unit_quiet)
 
 
 # -- language hysteresis -----------------------------------------------------------------------
@@ -148,7 +155,8 @@ def language_fold(evidence: int = 3, min_confidence: float = 0.5, min_seconds: f
     """The first detection counts at once; a switch needs a streak of confident ones."""
     def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
         s = dict(state)
-        s["seconds"] += max(0.0, row.get("seconds") or 0.0)
+        # Only "long enough" matters, so more is not remembered.
+        s["seconds"] = min(min_seconds, s["seconds"] + max(0.0, row.get("seconds") or 0.0))
         seen, sure = row["detected"], row["probability"]
         switched = False
         if seen and seen != "auto" and (sure is None or sure >= min_confidence):
@@ -199,7 +207,8 @@ def _snapshot_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     return s, out
 
 
-SNAPSHOTS = Fold(lambda: {"seq": 0, "end": 0.0, "revision": 0}, _snapshot_step, STABLE_SCHEMA)
+SNAPSHOTS = Fold(lambda: {"seq": 0, "end": 0.0, "revision": 0}, _snapshot_step, STABLE_SCHEMA,
+                 counters=("seq", "revision"))
 
 DELTA_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("delta", T.StringType()),
@@ -236,7 +245,8 @@ def _delta_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
                 "revisions": s["revisions"]}]
 
 
-DELTAS = Fold(lambda: {"lines": {}, "end": 0.0, "revisions": 0}, _delta_step, DELTA_SCHEMA)
+DELTAS = Fold(lambda: {"lines": {}, "end": 0.0, "revisions": 0}, _delta_step, DELTA_SCHEMA,
+              counters=("revisions",))
 
 
 # -- gate windows filled by duration -----------------------------------------------------------
@@ -265,8 +275,26 @@ def filled_windows(seconds: float = 0.6) -> Fold:
     def finish(state: dict) -> list[dict]:
         return close(dict(state)) if state["held"] else []
 
+    def quiet(state: dict) -> tuple[dict, list[dict]]:
+        s = dict(state)
+        return (s, close(s)) if s["held"] else (s, [])
+
     return Fold(lambda: {"win": 0, "held": [], "filled": 0.0, "start": None}, step,
-                FILLED_SCHEMA, finish)
+                FILLED_SCHEMA, finish, counters=("win",), quiet=quiet)
+
+
+def gated(members: DataFrame, key: list[str], score: Column, least: float, payload: str
+          ) -> DataFrame:
+    """Hand each filled window's verdict to its chunks: ``passed`` where the window's
+    ``score`` (an aggregate of its chunks) reaches ``least``; other payloads are blanked.
+
+    A window is bounded by its duration, so a window function over (key, window) spreads a
+    session over its windows.
+    """
+    whole = Window.partitionBy(*key, "win")
+    judged = members.withColumn("passed", F.coalesce(score.over(whole) >= least, F.lit(False)))
+    return judged.withColumn(payload, F.when(F.col("passed"), F.col(payload)).otherwise(
+        F.lit("").cast(members.schema[payload].dataType)))
 
 
 # -- reorder buffer ----------------------------------------------------------------------------
@@ -326,7 +354,9 @@ def reorder(first: int = 1, gap_timeout: float = 5.0, capacity: int = 64) -> Fol
         return s, rows + drain(s, at)
 
     def finish(state: dict) -> list[dict]:
-        s = {**state, "held": dict(state["held"]), "failed": list(state["failed"])}
+        return release({**state, "held": dict(state["held"]), "failed": list(state["failed"])})
+
+    def release(s: dict) -> list[dict]:
         rows: list[dict] = []
         while s["held"]:
             at = max(s["held"].values())
@@ -339,8 +369,14 @@ def reorder(first: int = 1, gap_timeout: float = 5.0, capacity: int = 64) -> Fol
             rows += drain(s, at)
         return rows
 
+    def quiet(state: dict) -> tuple[dict, list[dict]]:
+        """A stream that pauses longer than the timeout gives up all holes and goes on."""
+        s = {**state, "held": dict(state["held"]), "failed": list(state["failed"])}
+        rows = release(s)
+        return s, rows
+
     return Fold(lambda: {"next": first, "held": {}, "failed": [], "place": 0}, step,
-                RELEASE_SCHEMA, finish)
+                RELEASE_SCHEMA, finish, counters=("place",), quiet=quiet)
 
 
 # -- warning throttle --------------------------------------------------------------------------
@@ -358,7 +394,7 @@ def throttle(seconds: float = 10.0) -> Fold:
             return {**state, "count": count}, []
         return {"count": count, "last": row["at"]}, [{"at": row["at"], "repeats": count}]
 
-    return Fold(lambda: {"count": 0, "last": None}, step, WARNING_SCHEMA)
+    return Fold(lambda: {"count": 0, "last": None}, step, WARNING_SCHEMA, counters=("count",))
 
 
 # -- cumulative text ---------------------------------------------------------------------------

@@ -57,7 +57,8 @@ def raw_segments(spark: SparkSession, sf_dir: str) -> Timed:
         .when((F.col("language") == "ko") & ended, F.concat(bare, F.lit("습니다")))
         .otherwise(F.trim("piece")))
     df = lines.select(
-        c.alias("session_id"), (t * PIECES_PER_TURN + j).alias("seq"), *keep,
+        c.alias("session_id"), F.when(j < PIECES_PER_TURN, t * PIECES_PER_TURN + j).otherwise(
+            F.raise_error("a turn has too many pieces").cast("bigint")).alias("seq"), *keep,
         F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1)
         .alias("speaker"),
         "role", "text", "language",

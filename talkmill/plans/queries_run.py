@@ -64,6 +64,20 @@ def model_scores(spark, sf_dir):
                          F.col("s")["SILENCE"].alias("silence"))
 
 
+@query("j04_batched_scores", """
+SELECT conv_id, turn, round(least(1e0, length(text) / 500e0), 6) AS dialogue, true AS same
+FROM conversations""")
+def batched_scores(spark, sf_dir):
+    """The number of items a model is given at once does not change their scores."""
+    c = B.table(spark, sf_dir, "conversations")
+    scored = c.select("conv_id", "turn", *[
+        M.score_with(lengths, batch=n)("text").alias(f"s{n}") for n in (1, 8, 1000)])
+    one, eight, many = (F.map_entries(f"s{n}") for n in (1, 8, 1000))
+    return scored.select("conv_id", "turn", F.round(F.col("s8")["DIALOGUE"], 6).alias("dialogue"),
+                         ((F.array_sort(one) == F.array_sort(eight))
+                          & (F.array_sort(eight) == F.array_sort(many))).alias("same"))
+
+
 def closeness():
     return lambda sources, said, wanted: [
         1.0 - abs(len(s) - len(w)) / max(1, len(s), len(w)) for s, w in zip(said, wanted)]

@@ -472,6 +472,28 @@ def filled_windows(spark, sf_dir):
         "win_start_s")
 
 
+@query("h04_gated_chunks", f"""
+WITH RECURSIVE {B.EVT}, ch AS (SELECT user_id, event_id AS seq, 100 + event_id % 4 * 50 AS ms,
+    value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM evt),
+fl AS (SELECT user_id, seq, rn, value, event_type, 1::BIGINT AS win, ms AS filled FROM ch WHERE rn = 1
+  UNION ALL
+  SELECT c.user_id, c.seq, c.rn, c.value, c.event_type,
+    CASE WHEN f.filled >= 600 THEN f.win + 1 ELSE f.win END,
+    CASE WHEN f.filled >= 600 THEN c.ms ELSE f.filled + c.ms END
+  FROM fl f JOIN ch c ON c.user_id = f.user_id AND c.rn = f.rn + 1),
+v AS (SELECT *, max(value) OVER (PARTITION BY user_id, win) >= 60 AS passed FROM fl)
+SELECT user_id, seq, win, passed, CASE WHEN passed THEN event_type ELSE '' END AS payload FROM v""")
+def gated_chunks(spark, sf_dir):
+    """One verdict per filled window, for all its chunks; refused payloads are blanked."""
+    c, blk = chunks(spark, sf_dir)
+    members = O.run_fold(c, S.filled_windows(0.6), ["user_id"], ["us", "seq"], blk)
+    payloads = B.event_rows(spark, sf_dir).select(
+        "user_id", F.col("event_id").alias("seq"), "value", F.col("event_type").alias("payload"))
+    return S.gated(members.join(payloads, ["user_id", "seq"]), ["user_id"],
+                   F.max("value"), 60.0, "payload").select(
+        "user_id", "seq", "win", "passed", "payload")
+
+
 def arrivals(spark, sf_dir):
     """Clips arrive disturbed: by up to four places, with losses and failures."""
     e, blk = B.user_events(spark, sf_dir)

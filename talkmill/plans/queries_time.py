@@ -91,12 +91,13 @@ def ground_truth(spark, sf_dir):
 
 # -- F1-F4: units ------------------------------------------------------------------------
 
-_PROFILE_ROWS = ", ".join(
+_profile_row = lambda p: (
     "('{language}', '{latency}', {pause_threshold_ms}, {minimum_stable_chars}, {max_chars}, "
     "{max_seconds}e0, {bias}, [{ends}]::VARCHAR[])".format(
         **p, bias=str(p["sentence_final_bias"]).lower(),
-        ends=", ".join(f"'{e}'" for e in p["endings"]))
-    for p in (dims.profile(a, b) for a in dims.PROFILES for b in dims.LATENCIES))
+        ends=", ".join(f"'{e}'" for e in p["endings"])))
+_PROFILE_ROWS = ", ".join(
+    _profile_row(dims.profile(a, b)) for a in dims.PROFILES for b in dims.LATENCIES)
 PROFILES = f"""profiles(language, latency, pause_threshold_ms, minimum_stable_chars, max_chars,
   max_seconds, bias, endings) AS (VALUES {_PROFILE_ROWS})"""
 
@@ -163,11 +164,11 @@ units AS (
 """
 
 
-def units(spark, sf_dir):
+def units(spark, sf_dir, extra=None):
     seg, blk = B.segments(spark, sf_dir)
     feed = S.with_profiles(
         seg.select("session_id", "seq", *([blk] if blk else []), "text", "start_s", "end_s",
-                   "speaker", "language"), dims.lang_profiles(spark))
+                   "speaker", "language"), dims.lang_profiles(spark, extra))
     return O.run_fold(feed, S.UNITS, KEY, ["seq"], blk)
 
 
@@ -180,6 +181,22 @@ def translation_units(spark, sf_dir):
 
 
 
+#: A user's profile in place of the built-in one of its language.
+OWN_PROFILE = {**dims.profile("en"), "max_chars": 60, "minimum_stable_chars": 25,
+               "pause_threshold_ms": 900}
+_OWN_UNITS = UNITS.replace(_profile_row(dims.profile("en")), _profile_row(OWN_PROFILE))
+
+
+@query("j05_registered_profile", f"""
+WITH RECURSIVE {_OWN_UNITS}
+SELECT session_id, unit, text, start_s, end_s, coalesce(speaker, -1) AS speaker, language, reason
+FROM units""")
+def registered_profile(spark, sf_dir):
+    """Units with a registered profile for English."""
+    return units(spark, sf_dir, [OWN_PROFILE]).withColumn(
+        "speaker", F.coalesce("speaker", F.lit(-1)))
+
+
 @query("f02_silence_flush", f"""
 WITH RECURSIVE {UNITS}
 SELECT session_id, unit, text, replace(reason, 'pause', 'silence') AS reason FROM units""")
@@ -368,13 +385,16 @@ g AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY session_id ORDER BY seq) AS B
 c AS (SELECT session_id, cue, min(t) AS a, max(t) AS z, string_agg(text, ' ' ORDER BY seq) AS text
   FROM g GROUP BY session_id, cue)
 SELECT session_id, cue, round(a, 3) AS start_s, round(least(greatest(z + 1.5e0, a + 1),
-    coalesce(lead(a) OVER (PARTITION BY session_id ORDER BY cue), 601.5e0)), 3) AS end_s,
-  regexp_replace(text, '\\s+([,.!?;:])', '\\1', 'g') AS text FROM c""")
+    coalesce(lead(a) OVER (PARTITION BY session_id ORDER BY cue), total + 1.5e0)), 3) AS end_s,
+  regexp_replace(text, '\\s+([,.!?;:])', '\\1', 'g') AS text
+FROM c JOIN (SELECT session_id, max(end_s) AS total FROM seg GROUP BY session_id) USING (session_id)""")
 def text_event_groups(spark, sf_dir):
     seg, blk = B.segments(spark, sf_dir)
     ev = seg.select("session_id", "seq", *([blk] if blk else []), F.col("start_s").alias("t"),
                     "text", (F.col("seq") % 11 == 5).alias("finished"))
-    return L.group_text_events(ev, KEY, ["seq"], blk, F.lit(600.0))
+    length = seg.groupBy("session_id").agg(F.max("end_s").alias("total"))
+    return L.group_text_events(ev.join(length, "session_id"), KEY, ["seq"], blk,
+                               F.col("total"))
 
 
 @query("f11_trimmed_cues", f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,31 @@ def local_session(cores: str | int = "*", app: str = "talkmill", **extra: str) -
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application, where they cannot import it.
+
+    Python workers find an installed package, or one on ``PYTHONPATH``, by themselves.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if root in on_path or "site-packages" in root or context.applicationId in _SHIPPED:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="talkmill-code-"), "talkmill.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a scratch one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +65,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="talkmill-ckpt-"))
         current = context.getCheckpointDir()
     return current

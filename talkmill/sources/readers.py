@@ -60,17 +60,21 @@ def read_corpus(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 
 def scan_media(spark: SparkSession, root: str, source: str, target: str,
-               suffixes: list[str] | None = None) -> DataFrame:
+               suffixes: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Media files under a folder as items: the file stem is the id.
 
     Only names are read; file contents stay on disk because the column is pruned.
+    ``limit`` keeps the first files in path order (Spark's bounded top-n).
     """
     wanted = [s[1:] for s in (suffixes or list(dims.MEDIA_TYPES))]
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return files.where(suffix.isin(wanted)).select(
+    files = files.where(suffix.isin(wanted))
+    if limit is not None:
+        files = files.orderBy("path").limit(limit)
+    return files.select(
         F.regexp_extract(name, r"^(.*)\.[^.]+$", 1).alias("id"), F.col("path").alias("audio"),
         F.lit(source).alias("source_language"), F.lit(target).alias("target_language"))
 
@@ -99,16 +103,29 @@ def audit_verdict(name: Column, size: Column, head: Column, max_bytes: int) -> C
             .when(size > max_bytes, "too_large").when(size == 0, "empty"))
 
 
-def audit_media(spark: SparkSession, root: str, max_bytes: int = 2048 << 20) -> DataFrame:
+#: The largest file whose content Spark's file source can hold in a row.
+LARGEST_ROW = (1 << 31) - 1
+
+
+def audit_media(spark: SparkSession, root: str, max_bytes: int = 2048 << 20,
+                largest_row: int = LARGEST_ROW) -> DataFrame:
     """Audit a media folder: container type by content against the extension.
 
-    Spark's file scan leaves out files of zero bytes, so those have no row here.
+    Files are listed first, which reads no content; those over the limit, or too large for
+    a row, are refused by their names and sizes alone and have no container.  Spark's file
+    scan leaves out files of zero bytes, so those have no row here.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    limit = min(max_bytes, largest_row)
     head = F.substring("content", 1, 12)
-    return files.select("path", "length", container_type(head).alias("container"),
-                        audit_verdict(F.col("path"), F.col("length"), head, max_bytes)
-                        .alias("error"))
+    read = files.where(F.col("length") <= limit).select(
+        "path", "length", container_type(head).alias("container"),
+        audit_verdict(F.col("path"), F.col("length"), head, max_bytes).alias("error"))
+    known = F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)).isin(list(dims.MEDIA_TYPES))
+    large = files.where(F.col("length") > limit).select(
+        "path", "length", F.lit(None).cast("string").alias("container"),
+        F.when(known, "too_large").otherwise("unsupported_type").alias("error"))
+    return read.unionByName(large)
 
 
 REPORT_SCHEMA = "title string, environment map<string,string>, results array<map<string,string>>"

@@ -1,8 +1,9 @@
 """Structured Streaming forms of the ordered rules.
 
 One stateful operator drives any :class:`~talkmill.operators.ordered.Fold`: the state of a
-key is a small JSON text, rows of a micro-batch are folded in order, and an event-time
-timer closes a key that went quiet.
+key is a small JSON text and rows of a micro-batch are folded in order.  An event-time timer
+gives out what is pending when a key pauses, without forgetting what was emitted; a second,
+later one ends the key and frees its state.
 """
 
 from __future__ import annotations
@@ -25,20 +26,32 @@ class FoldProcessor(StatefulProcessor):
     """Runs a fold per key.  Rows with a true ``end_of_session`` close the key."""
 
     def __init__(self, fold: Fold, key: Sequence[str], order: Sequence[str],
-                 event_time: str | None, quiet_ms: int | None, ttl_ms: int | None) -> None:
+                 event_time: str | None, quiet_ms: int | None, ttl_ms: int | None,
+                 end_ms: int | None = None) -> None:
         self.fold, self.key, self.order = fold, list(key), list(order)
         self.event_time, self.quiet_ms, self.ttl_ms = event_time, quiet_ms, ttl_ms
+        self.end_ms = end_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        schema = T.StructType([T.StructField("state", T.StringType())])
+        schema = T.StructType([T.StructField("state", T.StringType()),
+                               T.StructField("latest", T.LongType())])
         self.state = (handle.getValueState("fold", schema, self.ttl_ms) if self.ttl_ms
                       else handle.getValueState("fold", schema))
 
-    def _current(self) -> dict:
+    def _current(self) -> tuple[dict, int | None]:
+        """The fold's state and the latest event time of the key, in ms."""
         if not self.state.exists():
-            return self.fold.initial()
-        return {**self.fold.initial(), **json.loads(self.state.get()[0])}
+            return self.fold.initial(), None
+        text, latest = self.state.get()
+        return {**self.fold.initial(), **json.loads(text)}, latest
+
+    def _wait(self, at: int | None) -> None:
+        """Replace the key's timer."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        if at is not None:
+            self.handle.registerTimer(at)
 
     def _emit(self, key, rows: list[dict]) -> Iterator[pd.DataFrame]:
         if not rows:
@@ -51,9 +64,12 @@ class FoldProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # A key's rows of one micro-batch; the trigger's rate limit bounds them.
         batch = pd.concat(list(rows), ignore_index=True)
-        latest = batch[self.event_time].max() if self.event_time else None
-        state, out = self._current(), []
-        ended = False
+        state, latest = self._current()
+        out, ended = [], False
+        if self.event_time:
+            # A late batch must not move the timer back.
+            seen = int(pd.Timestamp(batch[self.event_time].max()).timestamp() * 1000)
+            latest = seen if latest is None else max(latest, seen)
         for row in plain_rows(batch.sort_values(self.order, kind="stable")):
             if row.get(END):
                 ended = True
@@ -64,20 +80,25 @@ class FoldProcessor(StatefulProcessor):
             out += self.fold.finish(state)
             self.state.clear()
         else:
-            self.state.update((json.dumps(state, ensure_ascii=False),))
+            self.state.update((json.dumps(state, ensure_ascii=False), latest))
         if self.quiet_ms is not None and latest is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-            if not ended:
-                self.handle.registerTimer(
-                    int(pd.Timestamp(latest).timestamp() * 1000) + self.quiet_ms)
+            self._wait(None if ended else latest + self.quiet_ms)
         yield from self._emit(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            rows = self.fold.finish(self._current())
+        if not self.state.exists():
+            return
+        state, latest = self._current()
+        end = None if self.end_ms is None else latest + self.end_ms
+        if end is not None and expiredTimerInfo.getExpiryTimeInMs() >= end:
             self.state.clear()
-            yield from self._emit(key, rows)
+            yield from self._emit(key, self.fold.finish(state))
+            return
+        state, rows = self.fold.quiet(state)
+        self.state.update((json.dumps(state, ensure_ascii=False), latest))
+        if end is not None:
+            self.handle.registerTimer(end)
+        yield from self._emit(key, rows)
 
     def close(self) -> None:
         pass
@@ -85,11 +106,14 @@ class FoldProcessor(StatefulProcessor):
 
 def stream_fold(events: DataFrame, fold: Fold, key: Sequence[str], order: Sequence[str],
                 event_time: str | None = None, delay: str = "10 seconds",
-                quiet_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+                quiet_ms: int | None = None, ttl_ms: int | None = None,
+                end_ms: int | None = None) -> DataFrame:
     """Apply a fold to a keyed stream, append mode.
 
-    With ``event_time`` and ``quiet_ms`` a key closes once the watermark passes its last
-    row by that much.  ``ttl_ms`` drops abandoned state (processing time).
+    With ``event_time`` and ``quiet_ms`` a key gives out what it holds once the watermark
+    passes its last row by that much, and goes on where it was when it is heard again;
+    ``end_ms`` after its last row (no less than ``quiet_ms``) it ends and its state goes.
+    Without timers ``ttl_ms`` drops abandoned state (processing time).
     """
     if event_time:
         events = events.withWatermark(event_time, delay)
@@ -99,7 +123,7 @@ def stream_fold(events: DataFrame, fold: Fold, key: Sequence[str], order: Sequen
     mode = "EventTime" if timers else ("ProcessingTime" if ttl_ms else "None")
     return events.groupBy(*key).transformWithStateInPandas(
         statefulProcessor=FoldProcessor(fold, key, order, event_time, quiet_ms,
-                                        None if timers else ttl_ms),
+                                        None if timers else ttl_ms, end_ms),
         outputStructType=out, outputMode="Append", timeMode=mode)
 
 

@@ -150,3 +150,36 @@ def test_top_k_is_exact(rows):
     got = O.top_k(rows, ["k"], [F.col("x").desc(), F.col("i")], 7)
     w = Window.partitionBy("k").orderBy(F.col("x").desc(), "i")
     same(got, rows.withColumn("rank", F.row_number().over(w)).where("rank <= 7"))
+
+
+def test_rounds_of_a_hot_fold_do_not_grow_with_its_blocks(spark, monkeypatch):
+    """Counters are added up afterwards, so a block is not stale because of them."""
+    rows = spark.range(256).select(F.lit("k").alias("k"), (F.col("id") * 4.0).alias("at"),
+                                   F.col("id"))
+    cuts = []
+    monkeypatch.setattr(O, "cut", lambda df, real=O.cut: cuts.append(1) or real(df))
+    plain = O.run_fold(rows, S.throttle(), ["k"], ["at"])
+    rounds = {}
+    for blocks in (8, 64):
+        cuts.clear()
+        size = 256 // blocks
+        split = rows.withColumn("_blk", F.floor(F.col("id") / size))
+        # Blocks start where the period has run out, as at a pause.
+        split = split.withColumn("at", F.col("at") + F.col("_blk") * 1000.0)
+        same(O.run_fold(split, S.throttle(), ["k"], ["at"], "_blk"),
+             O.run_fold(split.drop("_blk"), S.throttle(), ["k"], ["at"]))
+        rounds[blocks] = len(cuts)
+    assert rounds[8] == rounds[64]
+    assert plain.count() > 0
+
+
+@pytest.mark.parametrize("limit", [1, 5000])
+def test_blank_language_takes_all_terms_in_both_plans(spark, limit):
+    lines = spark.createDataFrame([(1, "a tango", ""), (2, "a tango", None), (3, "a tango", "ja"),
+                                   (4, "a tango", "xx")], "id long, text string, language string")
+    terms = C.glossary(spark.createDataFrame(
+        [("tango", "T", "", "ja", 0), ("a", "A", "", None, 1)],
+        "source string, target string, romanized string, source_language string, idx long"))
+    got = {r["id"]: [t["source"] for t in r["terms"]] for r in C.attach_terms(
+        lines, terms, ["id"], "text", "language", limit).collect()}
+    assert got == {1: ["tango", "a"], 2: ["tango", "a"], 3: ["tango", "a"], 4: ["a"]}

@@ -154,7 +154,7 @@ def feed(spark, tmp_path, frames):
 
 @pytest.mark.parametrize("closing", ["row", "timer"])
 def test_stream_units_close(spark, tmp_path, closing):
-    """A held line leaves when its session ends by a row or goes quiet past the watermark."""
+    """A held line leaves when its session ends by a row, or pauses past the watermark."""
     rows = [("a", 0, "Yes.", 0.0, 0.4, None, "en"), ("b", 0, "No.", 0.0, 0.4, None, "en")]
     base = spark.createDataFrame(rows, SEG).withColumn("ts", F.timestamp_seconds(F.lit(100)))
     later = spark.createDataFrame([("z", 1, "Later", 0.0, 0.4, None, "en")], SEG).withColumn(
@@ -171,7 +171,24 @@ def test_stream_units_close(spark, tmp_path, closing):
     out = SJ.drain(SP.stream_fold(stream, S.UNITS, ["k"], ["seq"], **options),
                    folder=str(tmp_path / "run"))
     got = {(r["k"], r["text"], r["reason"]) for r in out.collect()}
-    assert {("a", "Yes.", "end_of_file"), ("b", "No.", "end_of_file")} <= got
+    reason = "end_of_file" if closing == "row" else "silence"
+    assert {("a", "Yes.", reason), ("b", "No.", reason)} <= got
+
+
+def test_a_key_heard_again_after_its_timer_repeats_nothing(spark, tmp_path):
+    """Snapshots are cumulative: what was stable before the pause must not come again."""
+    schema = ("k string, snap long, at long, "
+              "lines array<struct<text:string,start_s:double,end_s:double>>")
+    lines = [("t1", 0.0, 1.0), ("t2", 1.0, 2.0), ("t3", 2.0, 3.0)]
+    rows = [[("a", 1, 100, lines[:2])], [("z", 1, 100_000, lines[:1])],
+            [("z", 2, 200_000, lines[:1])], [("a", 2, 200_100, lines)]]
+    frames = [spark.createDataFrame(r, schema).withColumn("ts", F.timestamp_seconds("at"))
+              for r in rows]
+    out = SJ.drain(SP.stream_fold(feed(spark, tmp_path, frames), S.SNAPSHOTS, ["k"], ["snap"],
+                                  event_time="ts", quiet_ms=60_000),
+                   folder=str(tmp_path / "run"))
+    assert sorted((r["stable_seq"], r["text"]) for r in out.where("k = 'a'").collect()) == [
+        (1, "t1"), (2, "t2"), (3, "t3")]
 
 
 def test_stream_reorder_equals_batch(spark, tmp_path):
