@@ -35,16 +35,21 @@ def units_of(accepted: DataFrame, profiles: DataFrame, key: list[str], blk: str
 
 def lines_of(units: DataFrame, target: str, translator: Callable[[DataFrame], DataFrame],
              policy: str = "balanced") -> DataFrame:
-    """Translated lines that pass validation; same-language lines go through unchanged."""
+    """Translated lines that pass validation; same-language lines go through unchanged.
+
+    ``translator`` sees all lines at once, so that they are made and read in one pass; what
+    it says about lines already in the target language is not used.
+    """
     named = units.select(
         "session_id", F.col("unit").alias("seq"), F.col("text").alias("source_text"),
         F.col("language").alias("source_language"), F.lit(target).alias("target_language"),
         F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "speaker",
         F.lit(True).alias("timestamps_available"))
     same = F.col("source_language") == F.col("target_language")
-    passed = named.where(same).withColumn("translated_text", F.col("source_text"))
-    told = translator(named.where(~same)).select(*passed.columns)
-    return R.validate_translations(told.unionByName(passed), policy).where("valid")
+    told = translator(named).withColumn("translated_text", F.when(
+        same, F.col("source_text")).otherwise(F.col("translated_text")))
+    told = told.select(*named.columns, "translated_text")
+    return R.validate_translations(told, policy).where("valid")
 
 
 def subtitles_of(lines: DataFrame, key: list[str], style: str = "srt", hot: bool = False

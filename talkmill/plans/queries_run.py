@@ -165,8 +165,12 @@ scored AS (SELECT *, CASE WHEN len(p) = 0 THEN 0.8e0 ELSE
 judged AS (SELECT *, {_VERDICT} AS reason FROM scored),
 accepted AS (SELECT * FROM judged WHERE reason IS NULL)
 {_TAIL},
+memory AS (SELECT language, text AS source_text, min('= ' || lower(text)) AS translation
+  FROM seg WHERE seq % 2 = 1 GROUP BY ALL),
 said AS (SELECT session_id, unit AS seq, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s,
-    CASE WHEN language = 'en' THEN text ELSE '[en] ' || text END AS translated_text FROM units),
+    CASE WHEN u.language = 'en' THEN text ELSE coalesce(translation, '[en] ' || text) END
+      AS translated_text
+  FROM units u LEFT JOIN memory m ON m.language = u.language AND m.source_text = u.text),
 k0 AS (SELECT *, trim(regexp_replace(translated_text, '\\s+', ' ', 'g')) AS t FROM said),
 k1 AS (SELECT *, lead(start_s) OVER (PARTITION BY session_id ORDER BY start_s, seq) AS nx,
   row_number() OVER (PARTITION BY session_id ORDER BY start_s, seq) AS cue, {_WRAP} AS line FROM k0),
@@ -175,14 +179,16 @@ cues AS (SELECT *, round(start_s * 1000)::BIGINT AS a, round(CASE WHEN end_s > n
 SELECT session_id, string_agg(cue || chr(10) || {_CLOCK('a', ',')} || ' --> ' || {_CLOCK('b', ',')}
   || chr(10) || line || chr(10), chr(10) ORDER BY cue) AS document FROM cues GROUP BY session_id""")
 def file_run(spark, sf_dir):
-    """Recognised segments and gate windows to finished English subtitle files."""
+    """Recognised segments and gate windows to finished English subtitle files.  Every other
+    recognised line is known to the translation memory."""
     seg, blk = B.segments(spark, sf_dir)
     verdicts, _ = B.gate(spark, sf_dir)
     seg = seg.withColumn("words", _words())
     ok = RUN.accepted_segments(seg, verdicts, KEY, F.col("language"), "words")
     units = RUN.units_of(ok, dims.lang_profiles(spark), KEY, blk)
-    nothing = units.where(F.lit(False)).select(
+    memory = seg.where(F.col("seq") % 2 == 1).select(
         F.col("language").alias("source_language"), F.lit("en").alias("target_language"),
-        F.col("text").alias("source_text"), F.col("text").alias("translation"))
-    lines = RUN.lines_of(units, "en", lambda u: J.from_memory(u, nothing).drop("known"))
+        F.col("text").alias("source_text"),
+        F.concat(F.lit("= "), F.lower("text")).alias("translation"))
+    lines = RUN.lines_of(units, "en", lambda u: J.from_memory(u, memory).drop("known"))
     return RUN.subtitles_of(lines, KEY, hot=blk is not None)
