@@ -67,7 +67,25 @@ def repetition(spark, sf_dir):
     return docs.select("doc_id", F.round(X.adjacent_repetition("text"), 6).alias("repetition"))
 
 
-@query("b04_ngram_loops")
+@query("b04_ngram_loops", r"""
+WITH l AS (SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g') AS s FROM documents),
+c AS (SELECT doc_id, s, regexp_extract_all(s, '.') AS cs FROM l),
+p AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, cs, unnest(range(1, len(cs) - n + 1)) AS i
+    FROM c, (SELECT unnest(range(1, 7)) AS n)) WHERE cs[i] = cs[i + n]),
+-- Stretches in which each character equals the one n further on.
+r AS (SELECT doc_id, n, min(i) AS a, count(*) AS m FROM (SELECT *, i - row_number() OVER (
+    PARTITION BY doc_id, n ORDER BY i) AS k FROM p) GROUP BY doc_id, n, k HAVING count(*) >= n),
+-- The scan passes over them in order; a loop that was found moves it behind the loop.
+w AS (SELECT doc_id, n, list({'z': a + m, 'from': a, 'best': 0} ORDER BY a) AS st FROM r GROUP BY ALL),
+f AS (SELECT doc_id, list_reduce(st, lambda acc, x: {
+    'z': CASE WHEN x.z - greatest(x."from", acc.z) >= n THEN greatest(x."from", acc.z)
+      + n * (1 + (x.z - greatest(x."from", acc.z)) // n) ELSE acc.z END, 'from': 0::BIGINT,
+    'best': CASE WHEN x.z - greatest(x."from", acc.z) >= 2 * n THEN greatest(acc.best,
+      n * (1 + (x.z - greatest(x."from", acc.z)) // n)) ELSE acc.best END},
+    {'z': 0::BIGINT, 'from': 0::BIGINT, 'best': 0::BIGINT}).best AS best FROM w)
+SELECT doc_id, round(CASE WHEN length(any_value(s)) < 5 THEN 0e0
+  ELSE coalesce(max(best), 0) / length(any_value(s))::DOUBLE END, 6) AS loop
+FROM l LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
 def loops(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.round(X.ngram_loop_score("text"), 6).alias("loop"))
