@@ -22,17 +22,23 @@ class Timed(NamedTuple):
     blk: str | None
 
 
+#: Spark makes no smaller scan tasks than this.
+SPLIT_BYTES = 4 << 20
+
 #: Tables whose rows cost much CPU each, with the column that spreads them.
 HEAVY = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.  One small file is one task, so text tables are spread over the idle
-    cores first; a scan that already has a task per core is left as it is."""
+    """A test table.  One small file is one task, so small text tables are spread over the
+    idle cores first; Spark splits a larger table by itself.  The size comes from the plan's
+    statistics, without a list of files."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, HEAVY[name])
+    if name in HEAVY:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < cores * SPLIT_BYTES:
+            return df.repartition(cores, HEAVY[name])
     return df
 
 
