@@ -24,8 +24,8 @@ from talkmill.llm.queries_corpus import documents, judged_overlap, segments_of
 from talkmill.llm.simhash import near_copies
 from talkmill.session import cut, shared_folder
 
-#: Least score of a language that is believed.
-LEAST_SCORE = 0.5
+#: Least score of a language that is believed; short and mixed texts have scores near it.
+LEAST_SCORE = 0.4
 #: Ids to drop that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
