@@ -39,7 +39,7 @@ def overlapping_words(segments: DataFrame, bench_items: DataFrame, window: int =
     """Count each segment's words that lie inside an occurrence of a benchmark window.
 
     Segments give ``sequence_id`` and ``text``; items ``id`` and ``reference_text``.  Returns
-    one row per distinct ``sequence_id``: ``n_words``, ``n_hit``, ``runs`` (the hit runs of
+    one row per row read: ``sequence_id``, ``n_words``, ``n_hit``, ``runs`` (the hit runs of
     words as ``start, length``, to remove spans) and ``ids`` (sorted as strings, of the items
     that occur).
 
@@ -50,22 +50,25 @@ def overlapping_words(segments: DataFrame, bench_items: DataFrame, window: int =
     a segment, which carries the word count.
 
     Null or wordless texts have no words and no hits; null items have no windows; a null id
-    is one segment; rows that repeat an id add up.
+    is carried as it is; rows that repeat an id are judged each by its own text.
     """
     windows = cut(item_windows(bench_items, window))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
-    words = segments.select("sequence_id", words_of(whole()).alias("_w"))
-    places = words.select("sequence_id", "_w", F.size("_w").alias("_n"),
+    words = segments.select("sequence_id", F.xxhash64(whole()).alias("_v"),
+                            words_of(whole()).alias("_w"))
+    places = words.select("sequence_id", "_v", "_w", F.size("_w").alias("_n"),
                           F.posexplode_outer("_w").alias("_at", "_word"))
     hits = _hits(places, windows, lengths or [window], at_most(windows, broadcast_windows))
     found = F.struct(F.col("_at"), F.col("_length"))
     kept = F.col("_length").isNotNull()
-    per = hits.groupBy("sequence_id").agg(
-        F.sum(F.when(F.col("_first"), F.col("_n"))).alias("n_words"),
+    # Equal rows share a group, whose hits are the same, and are told apart again below.
+    per = hits.groupBy("sequence_id", "_v").agg(
+        F.max("_n").alias("n_words"), F.count_if("_first").alias("_rows"),
         F.array_sort(F.collect_list(F.when(kept, found))).alias("_found"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(
             kept, F.transform("ids", lambda i: i.cast("string"))))))).alias("ids"))
-    runs = per.withColumn("runs", _merged())
+    runs = per.withColumn("runs", _merged()).withColumn(
+        "_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
     return runs.select(
         "sequence_id", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"),
         F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["length"])
@@ -97,12 +100,12 @@ def _hits(places: DataFrame, windows: DataFrame, lengths: list[int], small: bool
                              & (F.col("_probe.length") == F.col("_length"))
                              & (gram == F.col("gram")), "left")
     else:
-        joined = (probed.select("sequence_id", "_n", "_at", "_probe", "_lead",
+        joined = (probed.select("sequence_id", "_v", "_n", "_at", "_probe", "_lead",
                                 gram.alias("_gram"))
                   .join(table, (F.col("_probe.hash") == F.col("_hash"))
                         & (F.col("_gram") == F.col("gram")), "left"))
     return joined.where(F.col("_length").isNotNull() | here).select(
-        "sequence_id", "_n", "_at", "_length", "ids", here.alias("_first"))
+        "sequence_id", "_v", "_n", "_at", "_length", "ids", here.alias("_first"))
 
 
 def _merged() -> Column:

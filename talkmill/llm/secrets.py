@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import whole
+from talkmill.session import cut
 
 #: Name of the rules below; raise it with every change, so that old blobs are scanned again.
 RULES = "base-1"
@@ -18,8 +19,9 @@ _KEY = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 BASE = {
     "assign": (rf"({_KEY})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
                rf"({_KEY})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{{12}}", 12, 2),
-    "access": (r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{14}", 18, 0),
-    "hex": (r"[0-9a-f]+", r"[0-9a-f]{16}", 16, 0),
+    # A match runs to the end of its letters, so asking for the length finds the same ones.
+    "access": (r"AKIA[A-Z0-9]{14,}", r"AKIA[A-Z0-9]{14}", 18, 0),
+    "hex": (r"[0-9a-f]{16,}", r"[0-9a-f]{16}", 16, 0),
 }
 LEDGER_SCHEMA = ("blob string, rules string, n_assign bigint, n_access bigint, n_hex bigint, "
                  "spans string")
@@ -58,8 +60,9 @@ def scan_revisions(revisions: DataFrame, ledger: str, rules: str = RULES) -> Dat
     fresh = base_findings(unseen).select("blob", F.lit(rules).alias("rules"), "n_assign",
                                          "n_access", "n_hex", "spans")
     fresh.write.mode("append").parquet(ledger)
-    found = (_read(spark, ledger).where((F.col("rules") == rules) & (F.col("spans") != ""))
-             .drop("rules").dropDuplicates(["blob"]))
+    # Cut, so that both sides of the join are plain shuffles and a hot blob can be split.
+    found = cut(_read(spark, ledger).where((F.col("rules") == rules) & (F.col("spans") != ""))
+                .drop("rules").dropDuplicates(["blob"]))
     counts = [F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
               for n in ("n_assign", "n_access", "n_hex")]
     return (named.drop("text").join(found, "blob", "left")

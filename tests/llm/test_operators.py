@@ -179,15 +179,15 @@ def test_overlapping_words(spark, few):
     items = [(1, "the quick brown fox jumps over the lazy dog and runs far away into"),
              (2, "Jack a dull BOY"), (3, None), (4, " !! "), (5, "漢字"), (10, "jack, a dull boy"),
              (6, "far away into the dark wood the quick brown fox jumps over the lazy dog")]
-    rows = [r for r in EDGE if r[0] != 8 and r[0] is not None]
+    rows = EDGE
     bench = spark.createDataFrame(items, "id bigint, reference_text string").withColumn(
         "gram", F.lit("x"))
     found = overlapping_words(edge_segments(spark, rows), bench, broadcast_windows=few)
-    got = {r["sequence_id"]: (r["n_words"], r["n_hit"], r["ids"]) for r in found.collect()}
+    got = found.select("sequence_id", "n_words", "n_hit", "ids").collect()
     want = plain_overlap([t for _, _, t, _ in rows], items)
-    assert got == {i: w for (i, _, _, _), w in zip(rows, want, strict=True)}
-    runs = found.where("sequence_id = 12").head()["runs"]
-    assert sum(r["length"] for r in runs) == got[12][1]
+    assert ids(map(tuple, got)) == ids((i, *w) for (i, _, _, _), w in zip(rows, want, strict=True))
+    long_one = found.where("sequence_id = 12").head()
+    assert sum(r["length"] for r in long_one["runs"]) == long_one["n_hit"] > 0
     assert overlapping_words(empty(spark), bench).count() == 0
     none = overlapping_words(edge_segments(spark, rows), bench.where("false"))
     assert none.agg(F.sum("n_hit")).head()[0] == 0
