@@ -29,6 +29,16 @@ def with_profiles(df: DataFrame, profiles: DataFrame, latency: str = "balanced",
     return out.select(*df.columns, *[F.col("_p")[n].alias(n) for n in names])
 
 
+def with_every_profile(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row per row and latency preference, with that profile of the row's language."""
+    tags = profiles.select(F.col("language").alias("_tag")).distinct()
+    tagged = df.withColumn("_l", F.coalesce(X.primary_language(F.col("language")), F.lit("")))
+    known = tagged.join(F.broadcast(tags), F.col("_l") == F.col("_tag"), "left").withColumn(
+        "_l", F.coalesce("_tag", F.lit("default"))).drop("_tag")
+    named = profiles.withColumnRenamed("language", "_tag")
+    return known.join(F.broadcast(named), F.col("_l") == F.col("_tag")).drop("_l", "_tag")
+
+
 def pauses(segments: DataFrame, key: list[str], order: list[str], blk: str | None) -> DataFrame:
     """Silence before every non-blank segment, from the end of the one before it."""
     spoken = segments.where(~X.blank("text"))

@@ -45,6 +45,13 @@ def gauges(events: DataFrame, by: list[str], value: str, order: list[str]) -> Da
     return events.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias("value"))
 
 
+def counters_and_gauges(events: DataFrame, by: list[str], amount: Column, value: str,
+                        order: list[str]) -> DataFrame:
+    """Both in one pass: ``total`` and ``gauge``."""
+    return events.groupBy(*by).agg(F.sum(amount).alias("total"),
+                                   F.max_by(value, F.struct(*order)).alias("gauge"))
+
+
 def session_summary(histograms: DataFrame, by: list[str], stage: str,
                     wanted: dict[str, tuple[str, str]]) -> DataFrame:
     """Selected percentiles side by side: output name -> (stage, percentile column)."""

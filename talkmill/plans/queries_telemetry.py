@@ -72,10 +72,8 @@ SELECT user_id, event_type, CAST(sum(json_extract_string(props, '$.k')::BIGINT)
   arg_max(value, {{'u': us, 'e': event_id}}) AS gauge FROM evt GROUP BY user_id, event_type""")
 def counters_and_gauges(spark, sf_dir):
     e = B.event_rows(spark, sf_dir)
-    by = ["user_id", "event_type"]
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return T.counters(e, by, k).join(T.gauges(e, by, "value", ["us", "event_id"])
-                                     .withColumnRenamed("value", "gauge"), by)
+    return T.counters_and_gauges(e, ["user_id", "event_type"], k, "value", ["us", "event_id"])
 
 
 @query("e04_session_summary", f"""

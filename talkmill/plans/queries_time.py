@@ -228,13 +228,9 @@ def profiles(spark, sf_dir):
     tag = F.when(F.col("seq") % 3 == 0, F.concat(F.upper("language"), F.lit("-XX"))).when(
         F.col("seq") % 7 == 1, "fr").otherwise(F.col("language"))
     base = seg.select("session_id", "seq", tag.alias("language"))
-    out = None
-    for latency in dims.LATENCIES:
-        part = S.with_profiles(base, dims.lang_profiles(spark), latency).withColumn(
-            "latency", F.lit(latency))
-        out = part if out is None else out.unionByName(part)
-    return out.select("session_id", "seq", "latency", "pause_threshold_ms",
-                      "minimum_stable_chars", "max_chars", "max_seconds")
+    return S.with_every_profile(base, dims.lang_profiles(spark)).select(
+        "session_id", "seq", "latency", "pause_threshold_ms", "minimum_stable_chars",
+        "max_chars", "max_seconds")
 
 
 @query("f04_pauses", f"""
