@@ -312,7 +312,7 @@ def _by_suffix_array(texts: DataFrame, wanted: DataFrame, length: int, shard_byt
     piece = F.expr("substring(text, cast(c.start AS int) + 1, "
                    f"cast(c.windows AS int) + {length - 1})")
     contexts = held.select("c.shard", "sequence_id", "version", "c.start", "c.copies",
-                           "c.dealt", piece.alias("bytes")).distinct()
+                           "c.dealt", piece.alias("bytes"))
     sharded = cut(contexts.repartition(shards, "shard").sortWithinPartitions("shard"))
     spans = f"sequence_id {kind}, {_SPANS}"
     inside = sharded.mapInPandas(_each_shard(length), spans)
@@ -331,6 +331,8 @@ class _Shard:
     """Contexts laid end to end; a window opens where its bytes lie in one context."""
 
     def __init__(self, rows: pd.DataFrame, length: int) -> None:
+        # Rows read twice with equal id and text bring their contexts twice.
+        rows = rows.drop_duplicates(["sequence_id", "version", "start"]).reset_index(drop=True)
         pieces = [bytes(b) for b in rows["bytes"]]
         self.rows, self.length = rows, length
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -378,10 +380,10 @@ def _each_shard(length: int):
             held = part if held is None else pd.concat([held, part], ignore_index=True)
             last = held["shard"].iloc[-1] if len(held) else None
             for _, rows in held[held["shard"] != last].groupby("shard"):
-                yield work(rows.reset_index(drop=True))
+                yield work(rows)
             held = held[held["shard"] == last]
         if held is not None and len(held):
-            yield work(held.reset_index(drop=True))
+            yield work(held)
     return run
 
 
@@ -407,7 +409,7 @@ def _found_elsewhere(length: int):
     def work(rows: pd.DataFrame, owed: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(owed):
             return pd.DataFrame({"sequence_id": [], "version": [], "start": [], "stop": []})
-        shard = _Shard(rows.reset_index(drop=True), length)
+        shard = _Shard(rows, length)
         places = np.flatnonzero(shard.opens)
         pairs = _hash_pairs(shard, places)
         owed = owed.sort_values("h1")
