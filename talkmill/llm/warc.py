@@ -74,7 +74,8 @@ def _urn(column: str) -> Column:
                     F.lit(">"))
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str,
+                 broadcast_others: int = BROADCAST_REPEATED) -> DataFrame:
     """Read uncompressed WARC/1.0 files: one row per record, ``page_id`` (text), ``url``,
     ``record_type``, ``payload_bytes`` and ``payload_digest`` (hex SHA-256, computed from the
     bytes read; of a revisit as its record states them), ``stated_digest``, ``refers_to`` and
@@ -105,8 +106,14 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     end = F.col("at") + len(MAGIC) + F.col("_bytes")
     intact = real.where(F.col("next") == end)
     broken = real.where(F.col("next") > end)
-    records = parsed.join(intact.select("file", "block", "seq"), ["file", "block", "seq"])
-    out = _records(records)
+    # Nearly all fragments are whole records, so the others are taken out, which moves no
+    # payload as long as they are few (checked).
+    place = ["file", "block", "seq"]
+    other = cut(narrow.select(*place).join(intact.select(*place), place, "left_anti"))
+    if at_most(other, broadcast_others):
+        out = _records(parsed.join(F.broadcast(other), place, "left_anti"))
+    else:
+        out = _records(parsed.join(intact.select(*place), place))
     if not broken.isEmpty():
         out = out.unionByName(_records(_parsed(_joined(raw, candidates, broken))))
     return out

@@ -373,7 +373,7 @@ def test_archive_round_trip(spark, tmp_path):
         write_archive(pages, folder, broadcast_repeated=few)
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
         try:
-            got = {int(r["page_id"]): r for r in read_archive(spark, folder).collect()}
+            got = {int(r["page_id"]): r for r in read_archive(spark, folder, few).collect()}
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         assert set(got) == set(html)
