@@ -15,52 +15,64 @@ from talkmill.session import cut
 
 #: Bytes of a gram; every byte is predicted from the ORDER - 1 bytes before it.
 ORDER = 4
-#: Share of the trusted segments that each language's threshold lets pass, and the factor
-#: by which a perplexity may lie above theirs.
+#: Share of the trusted segments that each language's threshold lets pass.
 QUANTILE = 0.99
-SLACK = 1.25
+#: Parts of the trusted segments; each is scored by a model of the others.
+FOLDS = 4
 #: Grams with their probabilities that go to every task at once; more are taken in turns.
 SHARD_GRAMS = 2_000_000
+#: Grams counted at once; bounds the memory of a task.
+GRAMS_AT_ONCE = 4_000_000
 #: Trusted names that may be broadcast, and values of a language in one sort.
 BROADCAST_NAMES = 1_000_000
+BROADCAST_LANGUAGES = 100_000
 ROWS_PER_SORT = 20_000
 
 
 def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
-                  quantile: float = QUANTILE, slack: float = SLACK,
+                  quantile: float = QUANTILE, folds: int = FOLDS,
                   shard_grams: int = SHARD_GRAMS) -> DataFrame:
     """Perplexity of every segment under a model of its language's trusted segments.
 
     Reads ``sequence_id, text, language`` of ``segments`` and ``sequence_id`` of ``trusted``.
     Returns one row per row read: ``sequence_id, language, perplexity`` (per byte),
-    ``threshold`` (``slack`` times the language's quantile of trusted perplexities) and
-    ``kept`` (not above it).
+    ``threshold`` (the language's quantile of trusted perplexities) and ``kept`` (not above
+    it).
 
-    One scan counts byte grams per (language, gram), combined in each task; the trusted ones
-    give an interpolated, modified Kneser-Ney model.  Counts, contexts and lower orders are
+    Trusted segments fall into ``folds`` parts by hash of their ids.  A trusted segment is
+    scored by a model of the other parts, so that its perplexity compares with that of a
+    segment which no model has seen; all other segments are scored by a model of all parts.
+
+    One scan counts byte grams per (language, part, gram), combined in each task; a part's
+    counts are subtracted from all trusted ones, which gives each model, interpolated,
+    modified Kneser-Ney.  Counts, contexts and lower orders are
     tables sharded by (language, gram) and joined by it, order by order, for all grams that
     occur anywhere, so no table of the model is ever whole in one place.  A second scan adds
     up the logarithms: the table of gram probabilities is cut into shards of at most about
     ``shard_grams`` rows by hash, and each shard goes to the tasks in turn; a text's sums
     over the shards are added.  That table grows with the text, a shard does not.
 
-    A missing language is a language of its own.  A language without trusted text, or a text
-    without bytes, has no perplexity, hence nothing against it, and stays.  Null text counts
+    A missing language is a language of its own.  A language without trusted text (for a
+    trusted segment: without any in other parts), or a text without bytes, has no perplexity, hence nothing against it, and stays.  Null text counts
     as empty.  Rows that repeat an id are judged each by its own text.
     """
     rows = segments.select("sequence_id", F.coalesce("language", F.lit("")).alias("language"),
                            F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     names = cut(trusted.select(F.col("sequence_id").alias("_name")).distinct())
     side = F.broadcast(names) if at_most(names, BROADCAST_NAMES) else names.hint("shuffle_hash")
-    marked = rows.join(side.withColumn("trusted", F.lit(True)),
-                       rows["sequence_id"] == F.col("_name"), "left").select(
-        "language", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-    seen = cut(marked.mapInArrow(_count_grams(order), "language string, trusted boolean, "
-                                 "gram bigint, n bigint")
-               .groupBy("language", "gram").agg(
-                   F.sum(F.when(F.col("trusted"), F.col("n"))).alias("n")))
+    part = F.when(F.col("_name").isNotNull(), F.pmod(F.xxhash64("_name"), F.lit(folds)))
+    marked = rows.join(side, rows["sequence_id"] == F.col("_name"), "left").select(
+        "sequence_id", "language", F.coalesce(part, F.lit(folds)).cast("int").alias("part"),
+        "text")
+    counted = (marked.select("language", "part", "text").mapInArrow(
+        _count_grams(order), "language string, part int, gram bigint, n bigint")
+        .groupBy("language", "gram").agg(*[
+            F.coalesce(F.sum(F.when(F.col("part") == i, F.col("n"))), F.lit(0)).alias(f"n{i}")
+            for i in range(folds + 1)]))
+    seen = cut(_seen_by_models(counted, folds))
     priced = gram_probabilities(seen, order)
-    scored = _scored(rows, priced, order, shard_grams)
+    scored = _scored(marked.withColumn("model", _model(F.col("part"))), priced, order,
+                     shard_grams)
     perplexity = F.when((F.col("bytes") > 0) & F.col("total").isNotNull(),
                         F.exp(-F.col("total") / F.col("bytes")))
     judged = cut(scored.select("sequence_id", "language", perplexity.alias("perplexity")))
@@ -68,7 +80,7 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
         F.col("perplexity").isNotNull())
     limits = quantiles.linear(good, ["language"], "perplexity", ROWS_PER_SORT, limit=quantile)
     limits = limits.select(F.col("language").alias("_language"),
-                           (slack * F.col("limit")).alias("threshold"))
+                           F.col("limit").alias("threshold"))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return judged.join(limits, F.col("language") == F.col("_language"), "left").select(
         "sequence_id", "language", "perplexity", "threshold", kept.alias("kept"))
@@ -88,20 +100,48 @@ def _count_grams(order: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             groups: dict[tuple, list[np.ndarray]] = {}
-            for language, good, text in zip(part.column(0).to_pylist(),
+            held = 0
+            for language, fold, text in zip(part.column(0).to_pylist(),
                                             part.column(1).to_pylist(), part.column(2),
                                             strict=True):
-                groups.setdefault((language, good), []).append(grams(text.as_py(), order))
-            for (language, good), found in groups.items():
-                values, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([language] * len(values), pa.string()),
-                     pa.array([good] * len(values), pa.bool_()),
-                     pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
-                    ["language", "trusted", "gram", "n"])
+                groups.setdefault((language, fold), []).append(grams(text.as_py(), order))
+                held += len(groups[language, fold][-1])
+                if held >= GRAMS_AT_ONCE:
+                    yield from _tallied(groups)
+                    groups, held = {}, 0
+            yield from _tallied(groups)
     return run
 
 
+def _tallied(groups: dict[tuple, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for (language, fold), found in groups.items():
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([language] * len(values), pa.string()),
+             pa.array(np.full(len(values), fold, np.int32)),
+             pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
+            ["language", "part", "gram", "n"])
+
+
+def _model(part: Column) -> Column:
+    """Names the model that scores a part of a language's segments."""
+    return F.concat(part.cast("string"), F.lit(":"), F.col("language"))
+
+
+def _seen_by_models(counted: DataFrame, folds: int) -> DataFrame:
+    """``language`` (and model), ``gram, n, uses`` from a gram's counts ``n0, n1, ...`` in the
+    parts, the last of which is not trusted: ``n`` is the count that a model learns from,
+    null for none, ``uses`` how often the model is asked for the gram."""
+    everything = sum((F.col(f"n{i}") for i in range(1, folds)), F.col("n0"))
+    models = F.array(*[F.struct(
+        F.lit(i).alias("part"), F.nullif(everything - F.col(f"n{i}") if i < folds else everything,
+                                         F.lit(0)).alias("n"), F.col(f"n{i}").alias("uses"))
+        for i in range(folds + 1)])
+    return (counted.select("language", "gram", F.explode(models).alias("_m"))
+            .where(F.col("_m.n").isNotNull() | (F.col("_m.uses") > 0))
+            .select(_model(F.col("_m.part")).alias("language"), "gram", "_m.n", "_m.uses"))
+
+
 def _suffix(order: int, gram: str = "gram") -> Column:
     """A gram's last ``order`` bytes."""
     return F.col(gram).bitwiseAND(F.lit((1 << 8 * order) - 1))
@@ -109,7 +149,8 @@ def _suffix(order: int, gram: str = "gram") -> Column:
 
 def gram_probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
     """``language, gram, logp`` of all grams of ``seen`` (``language, gram, n``; ``n`` is
-    the trusted count, null for grams found elsewhere only).
+    the trusted count, null for grams found elsewhere only), or of those with ``uses``, if it
+    has that column.
 
     Of the highest order raw counts are used, below it the number of distinct bytes that
     precede a gram.  Each order subtracts the three Kneser-Ney discounts, estimated per
@@ -118,15 +159,16 @@ def gram_probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
     passes its order by.  Languages without trusted grams have no rows.
     """
     counts = {order: cut(seen.where(F.col("n") > 0))}
-    kinds = {order: seen.select("language", "gram")}
+    asked = seen.where("uses > 0") if "uses" in seen.columns else seen
+    kinds = {order: asked.select("language", "gram")}
     for k in range(order - 1, 0, -1):
         lower = counts[k + 1].select("language", _suffix(k).alias("gram"))
         counts[k] = cut(lower.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n")))
         kinds[k] = kinds[k + 1].select("language", _suffix(k).alias("gram")).distinct()
-    known = counts[1].select("language").distinct()
+    known = _small(counts[1].select("language").distinct())
     below = None
     for k in range(1, order + 1):
-        held = counts[k].join(_discounts(counts[k]), "language")
+        held = counts[k].join(_small(_discounts(counts[k])), "language")
         context = F.shiftright("gram", 8) if k > 1 else F.lit(0).cast("bigint")
         discount = F.when(F.col("n") == 1, F.col("d1")).when(
             F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -151,6 +193,12 @@ def gram_probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("language", "gram", F.log("p").alias("logp"))
 
 
+def _small(by_language: DataFrame) -> DataFrame:
+    """A table of one row per language, sent to all tasks unless there are too many."""
+    table = cut(by_language)
+    return F.broadcast(table) if at_most(table, BROADCAST_LANGUAGES) else table
+
+
 def _discounts(counts: DataFrame) -> DataFrame:
     """Discounts of counts of one, two, and three or more, per language."""
     of = counts.groupBy("language").agg(*[
@@ -170,7 +218,8 @@ def _scored(rows: DataFrame, priced: DataFrame, order: int, shard_grams: int) ->
     spark = rows.sparkSession
     kind = rows.schema["sequence_id"].dataType.simpleString()
     shards = max(1, -(-priced.count() // shard_grams))
-    keyed = rows.select("sequence_id", "language", F.xxhash64("text").alias("version"), "text")
+    keyed = rows.select("sequence_id", "model", F.xxhash64("text").alias("version"), "text",
+                        "language")
     schema = (f"sequence_id {kind}, language string, version bigint, total double, "
               "bytes bigint")
     parts = []
@@ -209,18 +258,18 @@ def _add_up(shared, order: int):
         tables = shared.value
         for part in parts:
             totals, sizes = [], []
-            for language, text in zip(part.column(1).to_pylist(), part.column(3), strict=True):
+            for model, text in zip(part.column(1).to_pylist(), part.column(3), strict=True):
                 data = text.as_py()
                 sizes.append(len(data))
-                if language not in tables or not data:
+                if model not in tables or not data:
                     totals.append(None)
                     continue
-                keys, logs = tables[language]
+                keys, logs = tables[model]
                 asked = grams(data, order).astype(np.int64)
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                 totals.append(float(np.where(keys[at] == asked, logs[at], 0.0).sum()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2),
+                [part.column(0), part.column(4), part.column(2),
                  pa.array(totals, pa.float64()), pa.array(sizes, pa.int64())],
                 ["sequence_id", "language", "version", "total", "bytes"])
     return run

@@ -461,3 +461,21 @@ def test_fluency(spark, shard):
     assert judge_fluency(empty(spark), trusted).count() == 0
     nobody = judge_fluency(edge_segments(spark, rows), trusted.where("false"))
     assert nobody.where("kept").count() == len(rows)
+
+
+def test_fluency_thresholds_are_quantiles_of_unseen_text(spark):
+    from talkmill.llm.fluency import judge_fluency
+
+    rnd = random.Random(9)
+    words = "the and of that with have this from they which".split()
+    rows = [(i, "s", " ".join(rnd.choices(words, k=30)), "en") for i in range(80)]
+    odd = "QXJ ZZV KQJ WVX ZXQ JVK " * 3
+    rows += [(200, "s", odd, "en"), (201, "s", odd + "ZZV", "en")]
+    trusted = spark.createDataFrame([(i, "x") for i in [*range(0, 80, 2), 200]],
+                                    "sequence_id bigint, text string")
+    by = {r["sequence_id"]: r for r in
+          judge_fluency(edge_segments(spark, rows), trusted).collect()}
+    good = [by[i]["perplexity"] for i in [*range(0, 80, 2), 200]]
+    assert by[0]["threshold"] == pytest.approx(np.quantile(good, 0.99))
+    # The model of the one trusted segment of its kind has not seen it.
+    assert by[200]["perplexity"] > 3 * by[201]["perplexity"] and not by[200]["kept"]

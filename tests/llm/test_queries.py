@@ -62,6 +62,16 @@ def test_quality_query_keeps_labelled_quality(spark):
     assert share[1] >= 0.97 and share.get(0, 0) <= 0.3
 
 
+def test_quality_query_drops_low_quality_and_some_toxic(spark):
+    """Kept shares of all labels, toxic ones too, on tables with enough labels."""
+    large = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{large}/labels.parquet")
+    rows = QUERIES["op3_quality_perplexity"](spark, large).join(labels, "doc_id")
+    share = {(r["quality"], r["toxic"]): r["share"] for r in rows.groupBy("quality", "toxic")
+             .agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()}
+    assert share[1, 0] >= 0.98 and share[0, 0] <= 0.15 and share[1, 1] <= 0.97
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against its own operator's rule, on what the stage before it kept."""
     import corpus_pipeline as pipeline
