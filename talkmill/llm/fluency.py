@@ -14,7 +14,7 @@ from talkmill.operators import quantiles
 from talkmill.session import cut
 
 #: Bytes of a gram; every byte is predicted from the ORDER - 1 bytes before it.
-ORDER = 4
+ORDER = 6
 #: Share of the trusted segments that each language's threshold lets pass.
 QUANTILE = 0.99
 #: Parts of the trusted segments; each is scored by a model of the others.

@@ -479,3 +479,17 @@ def test_fluency_thresholds_are_quantiles_of_unseen_text(spark):
     assert by[0]["threshold"] == pytest.approx(np.quantile(good, 0.99))
     # The model of the one trusted segment of its kind has not seen it.
     assert by[200]["perplexity"] > 3 * by[201]["perplexity"] and not by[200]["kept"]
+
+
+def test_fluency_sees_whole_words(spark):
+    """Words strange in order, of letter sequences that are all common, cost more."""
+    from talkmill.llm.fluency import judge_fluency
+
+    rnd = random.Random(4)
+    rows = [(i, "s", " ".join(rnd.choices(["abcdef", "bcdxyz"], k=40)), "en") for i in range(40)]
+    rows += [(100, "s", " ".join(["abcdxyz"] * 40), "en")]
+    trusted = spark.createDataFrame([(i, "x") for i in range(40)],
+                                    "sequence_id bigint, text string")
+    by = {r["sequence_id"]: r for r in
+          judge_fluency(edge_segments(spark, rows), trusted).collect()}
+    assert by[100]["perplexity"] > 1.2 * by[100]["threshold"]
