@@ -19,7 +19,7 @@ ORDER = 6
 QUANTILE = 0.99
 #: Parts of the trusted segments; each is scored by a model of the others.
 FOLDS = 4
-#: Grams with their probabilities that go to every task at once; more are taken in turns.
+#: Most frequent grams that go to every task with their probabilities; others are joined.
 SHARD_GRAMS = 2_000_000
 #: Grams counted at once; bounds the memory of a task.
 GRAMS_AT_ONCE = 4_000_000
@@ -47,10 +47,11 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
     counts are subtracted from all trusted ones, which gives each model, interpolated,
     modified Kneser-Ney.  Counts, contexts and lower orders are
     tables sharded by (language, gram) and joined by it, order by order, for all grams that
-    occur anywhere, so no table of the model is ever whole in one place.  A second scan adds
-    up the logarithms: the table of gram probabilities is cut into shards of at most about
-    ``shard_grams`` rows by hash, and each shard goes to the tasks in turn; a text's sums
-    over the shards are added.  That table grows with the text, a shard does not.
+    occur anywhere, so no table of the model is ever whole in one place.  A second scan
+    counts each text's distinct grams.  The most frequent grams, at most ``shard_grams``
+    whatever the input, go to the tasks and are added up there, so that no gram that many
+    texts share is shuffled; a text's other grams are joined with the table by (language,
+    gram), and the logarithms are summed per text.
 
     A missing language is a language of its own.  A language without trusted text (for a
     trusted segment: without any in other parts), or a text without bytes, has no perplexity, hence nothing against it, and stays.  Null text counts
@@ -71,7 +72,7 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
             for i in range(folds + 1)]))
     seen = cut(_seen_by_models(counted, folds))
     priced = gram_probabilities(seen, order)
-    scored = _scored(marked.withColumn("model", _model(F.col("part"))), priced, order,
+    scored = _scored(marked.withColumn("model", _model(F.col("part"))), seen, priced, order,
                      shard_grams)
     perplexity = F.when((F.col("bytes") > 0) & F.col("total").isNotNull(),
                         F.exp(-F.col("total") / F.col("bytes")))
@@ -213,34 +214,51 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return of.select("language", *[amount(i).alias(f"d{i}") for i in (1, 2, 3)])
 
 
-def _scored(rows: DataFrame, priced: DataFrame, order: int, shard_grams: int) -> DataFrame:
+def _scored(rows: DataFrame, seen: DataFrame, priced: DataFrame, order: int,
+            most: int) -> DataFrame:
     """``sequence_id, language, total`` (log-probability) and ``bytes`` of every row."""
     spark = rows.sparkSession
     kind = rows.schema["sequence_id"].dataType.simpleString()
-    shards = max(1, -(-priced.count() // shard_grams))
-    keyed = rows.select("sequence_id", "model", F.xxhash64("text").alias("version"), "text",
-                        "language")
-    schema = (f"sequence_id {kind}, language string, version bigint, total double, "
-              "bytes bigint")
-    parts = []
-    for shard in range(shards):
-        table = priced.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == shard).orderBy(
-            "language", "gram").toArrow()
-        shared = spark.sparkContext.broadcast(_by_language(table))
-        parts.append(keyed.mapInArrow(_add_up(shared, order), schema))
-    if shards == 1:
-        return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    # One row per shard and row read: equal rows are told apart by their number again.
-    sums = out.groupBy("sequence_id", "language", "version").agg(
+    known = _small(seen.where("n > 0").select(F.col("language").alias("_known")).distinct())
+    keyed = rows.join(known, rows["model"] == F.col("_known"), "left").select(
+        "sequence_id", "language", F.col("_known").alias("model"),
+        F.xxhash64("text").alias("version"), "text")
+    least = _least_uses(seen, most)
+    often = seen.where(F.col("uses") >= least).select("language", "gram")
+    table = priced.join(often, ["language", "gram"], "left_semi").orderBy(
+        "language", "gram").toArrow()
+    shared = spark.sparkContext.broadcast(_by_language(table))
+    # One row per text with what its frequent grams give, and one per other gram of it.
+    found = cut(keyed.mapInArrow(_add_up(shared, order), (
+        f"sequence_id {kind}, language string, model string, version bigint, total double, "
+        "bytes bigint, gram bigint, n bigint")))
+    heads = found.where(F.col("gram").isNull()).drop("gram", "n")
+    rest = found.where(F.col("gram").isNotNull()).alias("r").join(
+        priced.alias("p"), (F.col("r.model") == F.col("p.language"))
+        & (F.col("r.gram") == F.col("p.gram"))).select(
+        "sequence_id", "r.language", "r.model", "version",
+        (F.col("n") * F.col("logp")).alias("total"), F.lit(None).cast("bigint").alias("bytes"))
+    sums = heads.unionByName(rest).groupBy("sequence_id", "language", "model", "version").agg(
         F.sum("total").alias("total"), F.max("bytes").alias("bytes"),
-        F.count(F.lit(1)).alias("n"))
-    times = (F.col("n") / shards).cast("int")
-    return sums.select("sequence_id", "language", (F.col("total") / times).alias("total"),
-                       "bytes", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop(
-        "_copy")
+        F.count("bytes").cast("int").alias("n"))
+    # Rows that are equal in all were added up together and are told apart by their number.
+    return sums.select("sequence_id", "language", (F.col("total") / F.col("n")).alias("total"),
+                       "bytes", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")
+                       ).drop("_copy")
+
+
+def _least_uses(seen: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` grams are used so often."""
+    level = F.floor(F.log2(F.col("uses").cast("double"))).cast("int")
+    sizes = {r["level"]: r["n"] for r in seen.where("uses > 0").groupBy(level.alias("level"))
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = 63, 0
+    for at in range(62, -1, -1):
+        total += sizes.get(at, 0)
+        if total > most:
+            break
+        least = at
+    return (1 << least) - (least == 63)
 
 
 def _by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -254,22 +272,45 @@ def _by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def _add_up(shared, order: int):
+    nothing = np.array([-1]), np.zeros(1)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for part in parts:
-            totals, sizes = [], []
-            for model, text in zip(part.column(1).to_pylist(), part.column(3), strict=True):
+            totals, sizes, rest, held = [], [], [], 0
+            at_row: list[np.ndarray] = []
+            for i, (model, text) in enumerate(zip(part.column(2).to_pylist(), part.column(4),
+                                                  strict=True)):
                 data = text.as_py()
                 sizes.append(len(data))
-                if model not in tables or not data:
+                if model is None or not data:
                     totals.append(None)
                     continue
-                keys, logs = tables[model]
-                asked = grams(data, order).astype(np.int64)
+                keys, logs = tables.get(model, nothing)
+                asked, n = np.unique(grams(data, order).astype(np.int64), return_counts=True)
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                totals.append(float(np.where(keys[at] == asked, logs[at], 0.0).sum()))
+                hit = keys[at] == asked
+                totals.append(float((n[hit] * logs[at[hit]]).sum()))
+                rest.append(np.stack((asked[~hit], n[~hit])))
+                at_row.append(np.full(rest[-1].shape[1], i))
+                held += len(at_row[-1])
+                if held >= GRAMS_AT_ONCE:
+                    yield _others(part, at_row, rest)
+                    rest, at_row, held = [], [], 0
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(4), part.column(2),
-                 pa.array(totals, pa.float64()), pa.array(sizes, pa.int64())],
-                ["sequence_id", "language", "version", "total", "bytes"])
+                [*part.columns[:4], pa.array(totals, pa.float64()), pa.array(sizes, pa.int64()),
+                 pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())], NAMES)
+            if held:
+                yield _others(part, at_row, rest)
     return run
+
+
+NAMES = ["sequence_id", "language", "model", "version", "total", "bytes", "gram", "n"]
+
+
+def _others(part: pa.RecordBatch, at_row: list[np.ndarray], rest: list[np.ndarray]
+            ) -> pa.RecordBatch:
+    rows, (values, counts) = pa.array(np.concatenate(at_row)), np.concatenate(rest, axis=1)
+    return pa.RecordBatch.from_arrays(
+        [*[c.take(rows) for c in part.columns[:4]], pa.nulls(len(rows), pa.float64()),
+         pa.nulls(len(rows), pa.int64()), pa.array(values), pa.array(counts)], NAMES)
