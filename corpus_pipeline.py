@@ -5,19 +5,20 @@ the documents that it keeps, with the columns they came with, whatever those are
 one returns the mix.  :func:`run` applies all to ``documents`` and writes each result to the
 shared folder in between, so that a lost executor costs part of a stage.
 
-All stages judge rows by ``doc_id``: rows that repeat an id stay or go together, rows
-without an id are one document.  Null texts are empty texts.  An empty table passes through.
+All stages judge rows one by one, by ``doc_id`` and a hash of the text: a row's verdict does
+not touch other texts of its id, or other rows without an id.  Of rows that are equal in both,
+the copies stages keep one.  Null texts are empty texts.  An empty table passes through.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm.bytenet import UNKNOWN, detect_language, learn_languages
-from talkmill.llm.common import at_most
+from talkmill.llm.common import at_most, whole
 from talkmill.llm.copies import exact_copies
 from talkmill.llm.mixing import mix_sessions
 from talkmill.llm.queries_corpus import documents, judged_overlap, segments_of
@@ -26,40 +27,69 @@ from talkmill.session import cut, shared_folder
 
 #: Least score of a language that is believed; short and mixed texts have scores near it.
 LEAST_SCORE = 0.4
-#: Ids to drop that may be broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows to drop that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame, few: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` whose ``doc_id`` is not in the first column of ``dropped``."""
-    gone = cut(dropped.select(F.col(dropped.columns[0]).alias("_gone")).distinct())
+def _key() -> Column:
+    """Names rows by id and text; sorts rows without an id last."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"),
+                    F.xxhash64(whole()).alias("version"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents as segments named by their keys."""
+    return segments_of(docs.withColumn("doc_id", _key()))
+
+
+def _without(docs: DataFrame, dropped: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` whose key is not in the first column of ``dropped``."""
+    key = F.col(dropped.columns[0])
+    gone = cut(dropped.select(key["id"].alias("_id"), key["version"].alias("_version"))
+               .distinct())
     side = F.broadcast(gone) if at_most(gone, few) else gone.hint("shuffle_hash")
-    return docs.join(side, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(side, (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_version"])
+                     & docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """One of the rows of every key.  Only texts whose key repeats are shuffled."""
+    repeated = cut(docs.select(_key().alias("_key")).groupBy("_key").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
+    if at_most(repeated, 0):
+        return docs
+    gone = repeated.select(F.col("_key.version").alias("_version"),
+                           F.col("_key.id").alias("_id"))
+    side = F.broadcast(gone) if at_most(gone, BROADCAST_ROWS) else gone.hint("shuffle_hash")
+    some = docs.join(side, (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_version"])
+                     & docs["doc_id"].eqNullSafe(gone["_id"]), "left_semi")
+    one = some.withColumn("_pipeline_key", _key()).dropDuplicates(["_pipeline_key"])
+    return _without(docs, repeated).unionByName(one.drop("_pipeline_key"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the network knows, learned from their labels."""
-    rows = segments_of(docs)
-    found = detect_language(rows, learn_languages(rows))
+    found = detect_language(_keyed(docs), learn_languages(segments_of(docs)))
     return _without(docs, found.where((F.col("detected") == UNKNOWN)
                                       | (F.col("score") < LEAST_SCORE)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest, then first, of documents that are equal without white space."""
-    return _without(docs, exact_copies(segments_of(docs)).where(~F.col("kept")))
+    return _one_of_each(_without(docs, exact_copies(_keyed(docs)).where(~F.col("kept"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group linked by SimHash."""
-    found = near_copies(segments_of(docs))
-    return _without(docs, found.where(
-        ~F.col("sequence_id").eqNullSafe(F.col("component_id"))))
+    found = near_copies(_keyed(docs))
+    return _one_of_each(_without(docs, found.where(
+        ~F.col("sequence_id").eqNullSafe(F.col("component_id")))))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of which benchmark passages make up less than a twentieth."""
-    return _without(docs, judged_overlap(docs, spark, sf_dir).where("contaminated"))
+    found = judged_overlap(docs.withColumn("doc_id", _key()), spark, sf_dir)
+    return _without(docs, found.where("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,3 +105,33 @@ def test_pipeline(spark, tmp_path):
     assert {"taken", "place"} <= set(docs.columns)
     assert docs.select("place").distinct().count() == docs.count()
     assert pipeline.run(spark, SF).count() > 0
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(
+        rows, "doc_id bigint, source string, text string, lang string")
+
+
+def test_pipeline_judges_rows_one_by_one(spark):
+    """Clean texts without an id, or under a repeated id, beside rejected ones."""
+    import corpus_pipeline as pipeline
+
+    clean = ["the first clean text about rivers and old bridges",
+             "another clean text which speaks of winter trains", "a third one on cooking soup"]
+    docs = rows_of(spark, [(None, "a", None, "en"), (None, "a", clean[0], "en"),
+                           (None, "b", clean[1], "en"), (7, "a", "123 456", "en"),
+                           (7, "a", clean[2], "en")])
+    for stage in (pipeline.language_id, pipeline.exact_dedup, pipeline.near_dedup):
+        kept = stage(spark, docs, SF)
+        assert sorted(r["text"] for r in kept.collect() if r["text"] in clean) == sorted(clean)
+    copies = rows_of(spark, [(None, "a", clean[0], "en"), (None, "b", clean[0], "en"),
+                             (None, "a", clean[1], "en"), (3, "a", clean[2], "en"),
+                             (3, "a", clean[2], "en"), (4, "b", clean[2], "en")])
+    for stage in (pipeline.exact_dedup, pipeline.near_dedup):
+        kept = stage(spark, copies, SF).collect()
+        assert sorted(r["text"] for r in kept) == sorted(clean)
+        assert {r["doc_id"] for r in kept} == {None, 3}
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first()
+    marked = rows_of(spark, [(None, "a", item["text"], "en"), (None, "a", clean[0], "en")])
+    kept = pipeline.decontaminate(spark, marked, SF).collect()
+    assert [r["text"] for r in kept] == [clean[0]]
