@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.llm.bytenet import UNKNOWN, detect_language, learn_languages
@@ -94,13 +94,40 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with ``taken`` (words, repeats counted) and ``place``."""
-    _, mix = mix_sessions(segments_of(docs))
-    used = mix.groupBy("sequence_id").agg(F.sum("words").alias("taken"),
+    rows, mix = mix_sessions(segments_of(docs))
+    names = ["sequence_id", "session_id", "version"]
+    used = mix.groupBy(*names, "row").agg(F.sum("words").alias("taken"),
                                           F.min("place").alias("place"))
+    repeated = cut(rows.where(F.col("row").isNotNull()).groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select(*names))
     own = [c for c in docs.columns if c.lower() not in ("taken", "place")]
-    return docs.join(used.hint("shuffle_hash"),
-                     docs["doc_id"].eqNullSafe(used["sequence_id"])).select(
-        *[docs[f"`{c}`"] for c in own], used["taken"], used["place"])
+
+    def same(other: DataFrame) -> Column:
+        return ((F.xxhash64(docs["text"]) == other["version"])
+                & docs["doc_id"].eqNullSafe(other["sequence_id"])
+                & docs["source"].eqNullSafe(other["session_id"]))
+
+    def chosen(side: DataFrame, *more: Column) -> DataFrame:
+        return side.select(*[docs[f"`{c}`"] for c in own], *more)
+
+    if at_most(repeated, 0):
+        return chosen(docs.join(used.hint("shuffle_hash"), same(used)),
+                      used["taken"], used["place"])
+    # Rows that are equal in id, source and text are numbered, each to get its own words.
+    again = repeated.select(*[F.col(c).alias(f"_{c}") for c in names])
+    here = ((used["version"] == again["_version"])
+            & used["sequence_id"].eqNullSafe(again["_sequence_id"])
+            & used["session_id"].eqNullSafe(again["_session_id"]))
+    single = used.join(again, here, "left_anti")
+    several = used.join(again, here, "left_semi").withColumn(
+        "_number", F.row_number().over(Window.partitionBy(*names).orderBy("row")))
+    numbered = docs.join(repeated, same(repeated), "left_semi").withColumn(
+        "_nth", F.row_number().over(Window.partitionBy(
+            "doc_id", "source", F.xxhash64("text")).orderBy(F.lit(1))))
+    return chosen(docs.join(single.hint("shuffle_hash"), same(single)),
+                  single["taken"], single["place"]).unionByName(
+        chosen(numbered.join(several, same(several) & (F.col("_nth") == F.col("_number"))),
+               several["taken"], several["place"]))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup),

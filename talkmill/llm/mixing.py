@@ -62,8 +62,13 @@ def mix_sessions(segments: DataFrame, weights: Sequence[int] = WEIGHTS, share: f
 
     Reads ``sequence_id``, ``session_id`` and ``text``.  Returns two tables:
 
-    * all segments: ``sequence_id, session_id, size`` (words), ``source_size``, ``target``
-    * the mix, range-sorted by ``finish``: ``sequence_id, pass_no, finish, words, place``.
+    * all segments: ``sequence_id, session_id, size`` (words), ``source_size``, ``target``,
+      ``version`` (hash of the text) and ``row``
+    * the mix, range-sorted by ``finish``: ``sequence_id, pass_no, finish, words, place,
+      session_id, version, row``.
+
+    ``session_id`` (null-safe) and ``row`` name one row read, also where ids are null or
+    repeat: ``row`` is the session's words up to and including it, null if it has none.
 
     Every session's segments are shuffled (by a seeded hash of the id and text) and queued
     ``passes`` times over.  A copy's virtual finish time is the session's words up to and
@@ -93,7 +98,9 @@ def mix_sessions(segments: DataFrame, weights: Sequence[int] = WEIGHTS, share: f
                   _upto=Scan("sum", F.col("size"), inclusive=True))
     joined = queued.join(targets.drop("session_id"), "_queue")
     segment_rows = joined.select("sequence_id", "session_id", "size", "source_size", "target",
-                                 "_order", "_tie", "_queue", "_upto", "weight", "level")
+                                 "_order", "_tie", "_queue", "_upto", "weight", "level",
+                                 F.col("_tie").alias("version"),
+                                 F.when(F.col("size") > 0, F.col("_upto")).alias("row"))
     copies = segment_rows.where(F.col("size") > 0).withColumn(
         "pass_no", F.explode(F.sequence(F.lit(1), F.lit(passes))))
     stop = F.round("target").cast("bigint")
@@ -102,7 +109,8 @@ def mix_sessions(segments: DataFrame, weights: Sequence[int] = WEIGHTS, share: f
     served = (copies.withColumn("words", taken.cast("bigint")).where(F.col("words") > 0)
               .withColumn("finish", upto / F.col("weight")))
     mix = _in_order(served, 16 ** digits)
-    return segment_rows.select("sequence_id", "session_id", "size", "source_size", "target"), mix
+    return segment_rows.select("sequence_id", "session_id", "size", "source_size", "target",
+                               "version", "row"), mix
 
 
 def _in_order(served: DataFrame, ranges: int) -> DataFrame:
@@ -112,4 +120,5 @@ def _in_order(served: DataFrame, ranges: int) -> DataFrame:
     ranged = served.withColumn("_rng", F.floor(part * ranges).cast("bigint"))
     numbered = scan(ranged, [], ["finish", "_queue", "_order", "_tie", "pass_no"], "_rng",
                     place=Scan("number"))
-    return numbered.select("sequence_id", "pass_no", "finish", "words", "place")
+    return numbered.select("sequence_id", "pass_no", "finish", "words", "place", "session_id",
+                           "version", "row")

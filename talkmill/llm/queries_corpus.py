@@ -79,9 +79,10 @@ FROM q LEFT JOIN (SELECT doc_id, sum(words) AS taken, min(place) AS first_place
 """)
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, mix = mix_sessions(segments(spark, sf_dir))
-    used = mix.groupBy("sequence_id").agg(F.sum("words").alias("taken"),
-                                          F.min("place").alias("first_place"))
-    return (rows.join(used, rows["sequence_id"].eqNullSafe(used["sequence_id"]), "left")
+    used = mix.groupBy("session_id", "row").agg(F.sum("words").alias("taken"),
+                                                F.min("place").alias("first_place"))
+    return (rows.join(used, rows["session_id"].eqNullSafe(used["session_id"])
+                      & (rows["row"] == used["row"]), "left")
             .select(rows["sequence_id"].alias("doc_id"), "size", "source_size", "target",
                     F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
                     F.col("first_place").cast("bigint")))

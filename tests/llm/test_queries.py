@@ -135,3 +135,27 @@ def test_pipeline_judges_rows_one_by_one(spark):
     marked = rows_of(spark, [(None, "a", item["text"], "en"), (None, "a", clean[0], "en")])
     kept = pipeline.decontaminate(spark, marked, SF).collect()
     assert [r["text"] for r in kept] == [clean[0]]
+
+
+def test_mix_counts_every_row_once(spark, tmp_path):
+    """Null and repeated ids: no row beyond its passes, no source beyond its target."""
+    import corpus_pipeline as pipeline
+
+    rows = [(None, "a", "one two three", "en")] * 3 + [(None, "b", f"w{i} x", "en")
+                                                       for i in range(9)]
+    rows += [(5, "c", "four five six seven", "en")] * 4 + [(5, "c", "eight nine", "en"),
+                                                          (6, None, "ten", "en"),
+                                                          (None, "a", None, "en")]
+    docs = rows_of(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op2_source_mix"](spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    assert all(r["taken"] <= 2 * r["size"] for r in found)
+    mix = pipeline.mix_sources(spark, docs, SF).collect()
+    target = {r["source"]: r["target"] for r in pipeline.mix_sessions(
+        pipeline.segments_of(docs))[0].withColumnRenamed("session_id", "source").collect()}
+    assert all(r["taken"] <= 2 * len(r["text"].split()) for r in mix)
+    for source, want in target.items():
+        assert abs(sum(r["taken"] for r in mix if r["source"] == source) - want) <= 1
+    assert sum(r["taken"] for r in found) == sum(r["taken"] for r in mix)
+    assert len({r["place"] for r in mix}) == len(mix)
