@@ -25,8 +25,6 @@ from talkmill.llm.queries_corpus import documents, judged_overlap, segments_of
 from talkmill.llm.simhash import near_copies
 from talkmill.session import cut, shared_folder
 
-#: Least score of a language that is believed; short and mixed texts have scores near it.
-LEAST_SCORE = 0.4
 #: Rows to drop that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,10 +66,10 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the network knows, learned from their labels."""
+    """Keeps documents in which the network, learned from their labels, can read a language;
+    a text in several has a low score and stays."""
     found = detect_language(_keyed(docs), learn_languages(segments_of(docs)))
-    return _without(docs, found.where((F.col("detected") == UNKNOWN)
-                                      | (F.col("score") < LEAST_SCORE)))
+    return _without(docs, found.where(F.col("detected") == UNKNOWN))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

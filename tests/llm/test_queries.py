@@ -137,6 +137,20 @@ def test_pipeline_judges_rows_one_by_one(spark):
     assert [r["text"] for r in kept] == [clean[0]]
 
 
+def test_pipeline_keeps_texts_in_several_languages(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
+        "doc_id", "source", "text", "lang")
+    parts = {r["lang"]: r["text"] for r in docs.where("length(text) > 1000").groupBy("lang").agg(
+        F.min_by("text", "doc_id").alias("text")).collect()}
+    assert len(parts) >= 3
+    mixed = "".join(t[:400] for t in list(parts.values()) * 3)
+    more = docs.unionByName(rows_of(spark, [(-1, "m", mixed, None), (-2, "m", "ok so", None)]))
+    kept = pipeline.language_id(spark, more, SF).where("doc_id < 0").collect()
+    assert {r["doc_id"] for r in kept} == {-1, -2}
+
+
 def test_mix_counts_every_row_once(spark, tmp_path):
     """Null and repeated ids: no row beyond its passes, no source beyond its target."""
     import corpus_pipeline as pipeline
