@@ -204,7 +204,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """Discounts of counts of one, two, and three or more, per language."""
     of = counts.groupBy("language").agg(*[
         F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
 
     def amount(i: int) -> Column:
         raw = i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0))
