@@ -100,6 +100,19 @@ def test_counts_of_awkward_rows(spark, tmp_path, few):
     assert empty.count() == 0 and "count_sum" in empty.columns
 
 
+def test_encoder_equals_the_library_of_the_file(spark):
+    """Over every code point in several places, and over awkward texts."""
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(A)
+    tool.encode_special_tokens = True
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{c}b {c} {c}{c}1{c}\n{c} x" for c in signs[::7]] + [
+        "<|endoftext|>", "it's  we'LL\t\n  ", "x" * 30_000, "a b\u00a0c\u200b d", "ab" * 20_000]
+    want = [e.ids for e in tool.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert byte_level(A).encode(texts) == want
+
+
 def test_sparse_products_equal_dense_ones():
     rng = np.random.default_rng(2)
     for _ in range(20):
