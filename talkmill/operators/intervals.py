@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +45,14 @@ def overlap_join(left: DataFrame, right: DataFrame, key: Sequence[str],
 
 
 def span_verdicts(segments: DataFrame, windows: DataFrame, key: Sequence[str], seq: str,
-                  window_order: str, slack: float = 0.5, min_fraction: float = 0.25
-                  ) -> DataFrame:
+                  window_order: str, slack: float = 0.5, min_fraction: float = 0.25,
+                  within: Callable[[Column], Column] | None = None) -> DataFrame:
     """The gate's verdict for every segment, as struct column ``decision``.
 
     Approving windows must cover ``min_fraction`` of the segment; then the strongest of
     them is the verdict, else the rejecting window with the largest overlap, else whatever
-    overlaps, else null.  The first window wins a tie.
+    overlaps, else null.  The first window wins a tie.  ``within`` tells by a window's order
+    whether the segment may use it; the segment's columns are fields of ``_row``.
     """
     key = list(key)
     w = windows.select(*key, F.struct(
@@ -63,6 +64,10 @@ def span_verdicts(segments: DataFrame, windows: DataFrame, key: Sequence[str], s
         segments.select(*key, F.col(seq).alias("_seq"), whole.alias("_row"), "start_s", "end_s"),
         w, key, (F.col("start_s") - slack, F.col("end_s") + slack), ("_ws", "_we"))
     ok = F.col("_w.should_transcribe")
+    if within is not None:
+        usable = F.coalesce(within(F.col("_wi")), F.lit(False))
+        pairs = pairs.withColumns({"_w": F.when(usable, F.col("_w")),
+                                   "overlap": F.when(usable, F.col("overlap"))})
     out = pairs.groupBy(*key, "_seq").agg(
         F.any_value("_row").alias("_row"),
         F.sum(F.when(ok, F.col("overlap"))).alias("_approved"),
@@ -74,6 +79,53 @@ def span_verdicts(segments: DataFrame, windows: DataFrame, key: Sequence[str], s
         F.coalesce("_no", "_yes")).alias("decision"))
 
 
+#: Windows the gate remembers at most, and how many of the oldest go when one more comes.
+HISTORY = 256
+HISTORY_DROPPED = 128
+
+
+def verdict_of(windows: Sequence[tuple], start: float, end: float, slack: float = 0.5,
+               min_fraction: float = 0.25) -> tuple | None:
+    """The window whose verdict a span has, by the rule of :func:`span_verdicts`.
+
+    Windows are tuples that begin with start, end, approved, category and confidence."""
+    approved, yes, no = 0.0, None, None
+    for at, w in enumerate(windows):
+        overlap = min(end + slack, w[1]) - max(start - slack, w[0])
+        if overlap <= 0:
+            continue
+        if w[2]:
+            approved += overlap
+            if yes is None or w[4] > yes[4]:
+                yes = w
+        elif no is None or overlap > no[0]:
+            no = (overlap, w)
+    if yes is not None and approved / max(1e-6, end - start) >= min_fraction:
+        return yes
+    return no[1] if no is not None else yes
+
+
+def remembered_verdicts(spans: DataFrame, windows: DataFrame, key: Sequence[str], span: str,
+                        seen: str, number: str, most: int = HISTORY,
+                        dropped: int = HISTORY_DROPPED) -> DataFrame:
+    """Verdicts of spans by the windows the gate still remembers when a span is judged.
+
+    ``windows`` are numbered from 1 per key in column ``number``; ``seen`` of a span is how
+    many of them it has behind it.  The history grows to ``most`` windows; one more, and the
+    ``dropped`` oldest go: its length is a sawtooth of the row number, so no state is needed.
+    Adds ``held`` and the struct ``decision``.
+    """
+    n = F.col(seen)
+    low = most + 1 - dropped
+    held = F.when(n <= most, n).otherwise(low + (n - (most + 1)) % dropped)
+    judged = spans.withColumn("held", held.cast("bigint"))
+    w = windows.select(*key, number, "should_transcribe", "event_type", "confidence", "reason",
+                       "start_s", "end_s")
+    return span_verdicts(judged, w, key, span, number,
+                         within=lambda at: (at <= F.col("_row." + seen)) & (
+                             at > F.col("_row." + seen) - F.col("_row.held")))
+
+
 def overlaps_any(left: DataFrame, right: DataFrame, key: Sequence[str], ident: Sequence[str]
                  ) -> DataFrame:
     """Add ``hit``: whether any right interval of the key overlaps the left one."""

@@ -61,6 +61,11 @@ def nearest(df: DataFrame, by: Sequence[str], value: str, rows: int = ROWS_PER_B
         for name, p in percents.items()])
 
 
+def nearest_index(percent: float, n: int) -> int:
+    """The same index for ``n`` sorted values that are at hand."""
+    return min(n - 1, max(0, round(percent / 100.0 * (n - 1))))
+
+
 def upper_median(df: DataFrame, by: Sequence[str], value: str,
                  rows: int = ROWS_PER_BLOCK, name: str = "median") -> DataFrame:
     """The value at index ``n div 2`` of the sorted values."""

@@ -314,79 +314,84 @@ RELEASE_SCHEMA = T.StructType([
     T.StructField("at", T.DoubleType()), T.StructField("place", T.LongType())])
 
 
+def _released(s: dict, seq: int, outcome: str, at: float) -> dict:
+    s["place"] += 1
+    return {"seq": seq, "outcome": outcome, "at": at, "place": s["place"]}
+
+
+def _drain(s: dict, at: float) -> list[dict]:
+    """All that is next in turn, in place."""
+    rows = []
+    while True:
+        key = str(s["next"])
+        if key in s["held"]:
+            del s["held"][key]
+            rows.append(_released(s, s["next"], "released", at))
+        elif s["next"] in s["failed"]:
+            s["failed"].remove(s["next"])
+            rows.append(_released(s, s["next"], "skipped", at))
+        else:
+            return rows
+        s["next"] += 1
+
+
+def _own(state: dict) -> dict:
+    return {**state, "held": dict(state["held"]), "failed": list(state["failed"])}
+
+
+def gap_due(state: dict, gap_timeout: float) -> float | None:
+    """When the gap that holds up a reorder buffer is given up, or None."""
+    return min(state["held"].values()) + gap_timeout if state["held"] else None
+
+
+def give_up(state: dict, at: float) -> tuple[dict, list[dict]]:
+    """Give up the next sequence number, which is missing."""
+    s = _own(state)
+    if s["next"] not in s["failed"]:
+        s["failed"].append(s["next"])
+    return s, _drain(s, at)
+
+
 def reorder(first: int = 1, gap_timeout: float = 5.0, capacity: int = 64) -> Fold:
     """Release clips strictly by sequence number.
 
     Rows are arrivals in time order: ``seq``, ``at`` seconds, ``failed``.  Outcomes:
-    released, skipped (failed, timed out or evicted) and late.  A hole that is older than
-    the timeout when the next row arrives is given up, and all clips go at the end.
+    released, skipped (failed, timed out or evicted) and late.  A hole is given up
+    ``gap_timeout`` after the first of the clips behind it came, at that very time; at the
+    end all holes are, as time would have it.
     """
-    def out(s: dict, seq: int, outcome: str, at: float) -> dict:
-        s["place"] += 1
-        return {"seq": seq, "outcome": outcome, "at": at, "place": s["place"]}
-
-    def drain(s: dict, at: float) -> list[dict]:
-        rows = []
-        while True:
-            key = str(s["next"])
-            if key in s["held"]:
-                del s["held"][key]
-                rows.append(out(s, s["next"], "released", at))
-            elif s["next"] in s["failed"]:
-                s["failed"].remove(s["next"])
-                rows.append(out(s, s["next"], "skipped", at))
-            else:
-                return rows
-            s["next"] += 1
+    def settle(s: dict, until: float) -> tuple[dict, list[dict]]:
+        rows: list[dict] = []
+        while s["held"] and until - min(s["held"].values()) >= gap_timeout:
+            s, found = give_up(s, gap_due(s, gap_timeout))
+            rows += found
+        return s, rows
 
     def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-        s = {**state, "held": dict(state["held"]), "failed": list(state["failed"])}
         seq, at = int(row["seq"]), row["at"]
-        rows: list[dict] = []
-        while s["held"] and str(s["next"]) not in s["held"] \
-                and at - min(s["held"].values()) >= gap_timeout:
-            s["failed"].append(s["next"])
-            rows += drain(s, at)
+        s, rows = settle(_own(state), at)
         if seq < s["next"]:
-            return s, rows + [out(s, seq, "late", at)]
+            return s, rows + [_released(s, seq, "late", at)]
         if row.get("failed"):
             if seq not in s["failed"]:
                 s["failed"].append(seq)
-            return s, rows + drain(s, at)
+            return s, rows + _drain(s, at)
         if len(s["held"]) >= capacity:
             furthest = max(int(k) for k in s["held"])
             if furthest > seq:
                 del s["held"][str(furthest)]
-                rows.append(out(s, furthest, "skipped", at))
+                rows.append(_released(s, furthest, "skipped", at))
             else:
-                return s, rows + [out(s, seq, "skipped", at)]
+                return s, rows + [_released(s, seq, "skipped", at)]
         s["held"][str(seq)] = at
-        return s, rows + drain(s, at)
-
-    def finish(state: dict) -> list[dict]:
-        return release({**state, "held": dict(state["held"]), "failed": list(state["failed"])})
-
-    def release(s: dict) -> list[dict]:
-        rows: list[dict] = []
-        while s["held"]:
-            at = max(s["held"].values())
-            waiting = min(int(k) for k in s["held"])
-            while s["next"] < waiting:
-                if s["next"] in s["failed"]:
-                    s["failed"].remove(s["next"])
-                rows.append(out(s, s["next"], "skipped", at))
-                s["next"] += 1
-            rows += drain(s, at)
-        return rows
+        return s, rows + _drain(s, at)
 
     def quiet(state: dict) -> tuple[dict, list[dict]]:
         """A stream that pauses longer than the timeout gives up all holes and goes on."""
-        s = {**state, "held": dict(state["held"]), "failed": list(state["failed"])}
-        rows = release(s)
-        return s, rows
+        return settle(_own(state), float("inf"))
 
     return Fold(lambda: {"next": first, "held": {}, "failed": [], "place": 0}, step,
-                RELEASE_SCHEMA, finish, counters=("place",), quiet=quiet)
+                RELEASE_SCHEMA, lambda state: quiet(state)[1], counters=("place",), quiet=quiet)
 
 
 # -- warning throttle --------------------------------------------------------------------------

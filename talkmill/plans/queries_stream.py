@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from talkmill import dims
 from talkmill.operators import segmentation as S
 from talkmill.plans import bindings as B
-from talkmill.plans.queries_telemetry import DELTA, SNAP, growing_lines, snapshots
+from talkmill.plans.queries_live import DELAY, END_MS, timed_feed
+from talkmill.plans.queries_telemetry import SNAP, snapshots
 from talkmill.plans.queries_time import HYST, KEY, UNITS
 from talkmill.plans.registry import query
 from talkmill.session import shared_folder
@@ -22,21 +23,15 @@ from talkmill.streaming import jobs as SJ
 from talkmill.streaming import processors as SP
 
 
-def _streamed(spark, df, order: str, middle: int):
-    """Write a feed in two rounds and open it as a stream, one file per trigger.
-
-    Rows up to ``middle`` are written first, so a session's state has to survive from the
-    first round's triggers to the second's.  Within a round a session is in one file.
-    """
-    folder = f"{shared_folder(spark)}/feeds/{uuid.uuid4().hex}"
-    for part in (F.col(order) < middle, F.col(order) >= middle):
-        df.where(part).repartition(2, "session_id").write.mode("append").parquet(folder)
-    schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _second(order: str):
+    """An event time that runs with the order of a session's rows: a minute a turn."""
+    return F.timestamp_seconds(F.floor(F.col(order) / B.PIECES_PER_TURN) * 60 + 60)
 
 
-#: Turns before this one are the first round.
-MIDDLE = 3 * B.PIECES_PER_TURN
+def _ending(feed, fold, order: list[str]):
+    """A fold whose sessions end, and free their state, when they have been silent for long."""
+    return SP.stream_fold(feed, fold, KEY, order, event_time="ts", delay=DELAY,
+                          quiet_ms=END_MS, end_ms=END_MS)
 
 
 def _with_end(feed, order: str):
@@ -53,22 +48,11 @@ SELECT session_id, snap, n - len(fresh) + i + 1 AS stable_seq, l.t AS text, l.a
 UNION ALL SELECT session_id, snap, -1, '', -1e0, -1e0, rev, true FROM st WHERE back AND len(fresh) = 0""")
 def stable_spans(spark, sf_dir):
     s, _ = snapshots(spark, sf_dir)
-    feed = _streamed(spark, s.select("session_id", "snap", "lines"), "snap", MIDDLE)
-    out = SJ.drain(SP.stream_fold(feed, S.SNAPSHOTS, KEY, ["snap"]))
+    feed = s.select("session_id", "snap", "lines", _second("snap").alias("ts"))
+    out = SJ.drain(_ending(timed_feed(spark, feed, "session_id"), S.SNAPSHOTS, ["snap"]))
     return out.fillna({"stable_seq": -1, "text": "", "start_s": -1.0, "end_s": -1.0})
 
 
-@query("h02_stream_line_deltas", f"""
-WITH RECURSIVE {DELTA}
-SELECT session_id, seq, delta, round(a, 6) AS start_s, round(b, 6) AS end_s, rev AS revisions
-FROM dl WHERE delta <> ''""")
-def line_deltas(spark, sf_dir):
-    g, blk = growing_lines(spark, sf_dir)
-    g = g.drop(blk) if blk else g
-    out = SJ.drain(SP.stream_fold(_streamed(spark, g, "seq", 3 * MIDDLE), S.DELTAS, KEY, ["seq"]))
-    return out.withColumns({"start_s": F.round("start_s", 6), "end_s": F.round("end_s", 6)})
-
-
 @query("h03_stream_units", f"""
 WITH RECURSIVE {UNITS}
 SELECT session_id, unit, text, start_s, end_s, coalesce(speaker, -1) AS speaker, language, reason
@@ -77,8 +61,8 @@ def stream_units(spark, sf_dir):
     seg, _ = B.segments(spark, sf_dir)
     feed = S.with_profiles(seg.select("session_id", "seq", "text", "start_s", "end_s", "speaker",
                                       "language"), dims.lang_profiles(spark))
-    feed = _streamed(spark, _with_end(feed, "seq"), "seq", MIDDLE)
-    out = SJ.drain(SP.stream_fold(feed, S.UNITS, KEY, ["seq"]))
+    feed = _with_end(feed, "seq").withColumn("ts", _second("seq"))
+    out = SJ.drain(_ending(timed_feed(spark, feed, "session_id"), S.UNITS, ["seq"]))
     return out.withColumn("speaker", F.coalesce("speaker", F.lit(-1)))
 
 
@@ -89,9 +73,8 @@ def stream_language(spark, sf_dir):
     seg, _ = B.segments(spark, sf_dir)
     feed = seg.select("session_id", "seq", "detected",
                       F.col("language_probability").alias("probability"),
-                      (F.col("dur_ms") / 1000.0).alias("seconds"))
-    out = SJ.drain(SP.stream_fold(_streamed(spark, feed, "seq", MIDDLE), S.language_fold(),
-                                  KEY, ["seq"]))
+                      (F.col("dur_ms") / 1000.0).alias("seconds"), _second("seq").alias("ts"))
+    out = SJ.drain(_ending(timed_feed(spark, feed, "session_id"), S.language_fold(), ["seq"]))
     return out.withColumn("stable", F.coalesce("stable", F.lit("")))
 
 

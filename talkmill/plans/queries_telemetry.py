@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkmill import dims
+from talkmill.operators import intervals as I
 from talkmill.operators import ordered as O
 from talkmill.operators import segmentation as S
 from talkmill.operators import telemetry as T
@@ -470,8 +471,7 @@ def filled_windows(spark, sf_dir):
         "win_start_s")
 
 
-@query("h04_gated_chunks", f"""
-WITH RECURSIVE {B.EVT}, ch AS (SELECT user_id, event_id AS seq, 100 + event_id % 4 * 50 AS ms,
+GATED = f"""{B.EVT}, ch AS (SELECT user_id, event_id AS seq, 100 + event_id % 4 * 50 AS ms,
     value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM evt),
 fl AS (SELECT user_id, seq, rn, value, event_type, 1::BIGINT AS win, ms AS filled FROM ch WHERE rn = 1
   UNION ALL
@@ -480,6 +480,11 @@ fl AS (SELECT user_id, seq, rn, value, event_type, 1::BIGINT AS win, ms AS fille
     CASE WHEN f.filled >= 600 THEN c.ms ELSE f.filled + c.ms END
   FROM fl f JOIN ch c ON c.user_id = f.user_id AND c.rn = f.rn + 1),
 v AS (SELECT *, max(value) OVER (PARTITION BY user_id, win) >= 60 AS passed FROM fl)
+"""
+
+
+@query("h04_gated_chunks", f"""
+WITH RECURSIVE {GATED}
 SELECT user_id, seq, win, passed, CASE WHEN passed THEN event_type ELSE '' END AS payload FROM v""")
 def gated_chunks(spark, sf_dir):
     """One verdict per filled window, for all its chunks; refused payloads are blanked."""
@@ -509,7 +514,48 @@ arr AS (SELECT user_id, event_id, rn AS seq, rn + ((event_id*7) % 5) * 1.3e0 AS
 """
 
 
-@query("h05_reordered_clips")
+_OPEN = lambda q, held, failed: (
+    f"NOT list_contains(list_transform({held}, lambda x: x.s), {q}) AND NOT list_contains({failed}, {q})")
+_FIRST_OPEN = lambda start, held, failed: (
+    f"list_min(list_filter(range({start}, {start} + 1 + len({held}) + len({failed})), lambda q: "
+    f"{_OPEN('q', held, failed)}))")
+#: At one clip a second and a timeout of five, the buffer of 64 never fills, so SQL has no limit.
+RELEASES = REORDER + f"""
+, ar AS (SELECT user_id, seq, tm, failed AS bad, row_number() OVER (PARTITION BY user_id ORDER BY tm, seq) AS rn
+  FROM arr UNION ALL SELECT user_id, NULL, 1e18, false, count(*) + 1 FROM arr GROUP BY user_id),
+buf AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, 1::BIGINT AS nxt, 0::BIGINT AS place,
+    []::STRUCT(s BIGINT, a DOUBLE)[] AS held, []::BIGINT[] AS failed,
+    []::STRUCT(s BIGINT, o VARCHAR, a DOUBLE)[] AS out FROM arr
+  UNION ALL
+  SELECT user_id, rn, n2, base, list_filter(held2, lambda x: x.s >= n2), list_filter(failed2, lambda f: f >= n2),
+    list_concat(out1, CASE WHEN seq < n1 THEN [{{'s': seq, 'o': 'late', 'a': tm}}]
+      ELSE list_transform(range(n1, n2), lambda q: {{'s': q, 'o': CASE WHEN list_contains(failed2, q)
+        THEN 'skipped' ELSE 'released' END, 'a': tm}}) END)
+  FROM (
+    SELECT *, CASE WHEN seq IS NULL OR seq < n1 THEN n1 ELSE {_FIRST_OPEN('n1', 'held2', 'failed2')} END AS n2
+    FROM (
+      SELECT *, CASE WHEN seq >= n1 AND NOT bad THEN list_append(held1, {{'s': seq, 'a': tm}}) ELSE held1 END AS held2,
+        CASE WHEN seq >= n1 AND bad THEN list_append(failed1, seq) ELSE failed1 END AS failed2
+      FROM (
+        SELECT *, list_filter(held, lambda x: x.s >= n1) AS held1, list_filter(failed, lambda f: f >= n1) AS failed1,
+          list_transform(range(nxt, n1), lambda q: {{'s': q, 'o': CASE WHEN list_contains(list_transform(held,
+            lambda x: x.s), q) THEN 'released' ELSE 'skipped' END, 'a': 5e0 + list_min(list_transform(list_filter(
+              held, lambda x: x.s > list_max(list_filter(range(nxt, q + 1), lambda h: {_OPEN('h', 'held', 'failed')}))),
+              lambda x: x.a))}}) AS out1
+        FROM (
+          SELECT *, CASE WHEN due IS NULL THEN nxt ELSE {_FIRST_OPEN('(due + 1)', 'held', 'failed')} END AS n1
+          FROM (
+            SELECT b.user_id, a.rn, b.nxt, b.place + len(b.out) AS base, b.held, b.failed, a.seq, a.tm, a.bad,
+              list_max(list_transform(list_filter(b.held, lambda x: a.tm - x.a >= 5e0), lambda x: x.s)) AS due
+            FROM buf b JOIN ar a ON a.user_id = b.user_id AND a.rn = b.rn + 1)))))),
+released AS (SELECT user_id, o.s AS seq, o.o AS outcome, round(o.a, 3) AS released_at, place + i + 1 AS place
+  FROM (SELECT user_id, place, unnest(out) AS o, unnest(range(len(out))) AS i FROM buf))
+"""
+
+
+@query("h05_reordered_clips", f"""
+WITH RECURSIVE {B.EVT}, {RELEASES} SELECT user_id, seq, outcome, released_at, place FROM released""")
 def reordered_clips(spark, sf_dir):
     a, blk = arrivals(spark, sf_dir)
     if blk:
@@ -547,6 +593,61 @@ def recent_history(spark, sf_dir):
         "session_id", "seq", "lines", "speech_ms")
 
 
+def gate_history(spark, sf_dir):
+    """Windows of two seconds in eight long sessions, and every fifth window a span to judge
+    that lies up to 300 windows back, as of a recogniser that lags."""
+    e = B.event_rows(spark, sf_dir).withColumn("session_id", F.col("user_id") % 8)
+    e, blk = O.split_hot(e, KEY, "us")
+    n = O.scan(e, KEY, ["us", "event_id"], blk, n=O.Scan("number"))
+    windows = n.select(
+        "session_id", "n", "ts", ((F.col("n") - 1) * 2.0).alias("start_s"),
+        (F.col("n") * 2.0).alias("end_s"), (F.col("value") >= 50).alias("should_transcribe"),
+        "event_type", (F.col("event_id") * 7 % 100 / 100.0).alias("confidence"),
+        F.lit("scores").alias("reason"))
+    start = (F.col("n") - F.col("event_id") * 13 % 300) * 2.0 - 1.3
+    spans = n.where("n % 5 = 0").select(
+        "session_id", F.col("event_id").alias("span"), "n", "ts", start.alias("start_s"),
+        (start + 3.1).alias("end_s"))
+    return windows, spans
+
+
+HISTORY = B.EVT + """
+, dec AS (SELECT user_id % 8 AS session_id, event_id, value >= 50 AS k, event_type AS e,
+    event_id * 7 % 100 / 100e0 AS c,
+    row_number() OVER (PARTITION BY user_id % 8 ORDER BY us, event_id) AS n FROM evt),
+spn AS (SELECT session_id, event_id AS span, n, a, a + 3.1e0 AS b,
+    CASE WHEN n <= 256 THEN n ELSE 129 + (n - 257) % 128 END AS held
+  FROM (SELECT *, (n - event_id * 13 % 300) * 2e0 - 1.3e0 AS a FROM dec WHERE n % 5 = 0)),
+ovl AS (SELECT s.session_id, s.span, s.b - s.a AS len, w.k, w.e, w.c, w.n,
+    least(s.b + 0.5e0, w.n * 2e0) - greatest(s.a - 0.5e0, (w.n - 1) * 2e0) AS ov
+  FROM spn s JOIN dec w ON w.session_id = s.session_id AND w.n <= s.n AND w.n > s.n - s.held
+    AND w.n BETWEEN floor(s.a / 2) - 1 AND ceil(s.b / 2) + 2),
+vdt AS (SELECT session_id, span, any_value(len) AS len, sum(ov) FILTER (k) AS approved,
+    arg_max({'e': e, 'c': c, 'k': true}, {'c': c, 'n': -n}) FILTER (k) AS yes,
+    arg_max({'e': e, 'c': c, 'k': false}, {'c': ov, 'n': -n}) FILTER (NOT k) AS no
+  FROM ovl WHERE ov > 0 GROUP BY session_id, span),
+hist AS (SELECT session_id, span, held, coalesce(v.e, 'none') AS event_type,
+    coalesce(v.k, false) AS should_transcribe, round(coalesce(v.c, -1e0), 6) AS confidence
+  FROM (SELECT s.session_id, s.span, s.held,
+      CASE WHEN approved / greatest(1e-6, len) >= 0.25e0 THEN yes ELSE coalesce(no, yes) END AS v
+    FROM spn s LEFT JOIN vdt USING (session_id, span)))
+"""
+
+
+@query("h07_decision_history", f"""
+WITH {HISTORY}
+SELECT session_id, span, held, event_type, should_transcribe, confidence FROM hist""")
+def decision_history(spark, sf_dir):
+    """A span is judged by the 129 to 256 windows that are still remembered."""
+    windows, spans = gate_history(spark, sf_dir)
+    out = I.remembered_verdicts(spans.drop("ts"), windows.drop("ts"), KEY, "span", "n", "n")
+    return out.select(
+        "session_id", "span", "held",
+        F.coalesce("decision.event_type", F.lit("none")).alias("event_type"),
+        F.coalesce("decision.should_transcribe", F.lit(False)).alias("should_transcribe"),
+        F.round(F.coalesce("decision.confidence", F.lit(-1.0)), 6).alias("confidence"))
+
+
 @query("h08_sliding_latency", f"""
 WITH {B.EVT}, k AS (SELECT *, unnest(range(0, 12)) AS i FROM evt)
 SELECT (us // 3600000000 - i) * 3600 AS window_start, event_type AS stage, count(*) AS n,

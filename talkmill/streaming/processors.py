@@ -65,17 +65,29 @@ class FoldProcessor(StatefulProcessor):
         # A key's rows of one micro-batch; the trigger's rate limit bounds them.
         batch = pd.concat(list(rows), ignore_index=True)
         state, latest = self._current()
-        out, ended = [], False
+        heard, out, ended = latest, [], False
         if self.event_time:
             # A late batch must not move the timer back.
             seen = int(pd.Timestamp(batch[self.event_time].max()).timestamp() * 1000)
             latest = seen if latest is None else max(latest, seen)
+            at = pd.to_datetime(batch[self.event_time])
+            batch["_ms"] = (at - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
         for row in plain_rows(batch.sort_values(self.order, kind="stable")):
+            if row[self.order[0]] is None:
+                continue
+            now = row.get("_ms")
+            if self.quiet_ms is not None and heard is not None and now - heard >= self.quiet_ms:
+                # The pause that a timer would have seen, had this row come in a later batch.
+                state, emitted = self._paused(state, now - heard)
+                out += emitted
+            heard = now if heard is None else max(heard, now)
             if row.get(END):
                 ended = True
                 continue
             state, emitted = self.fold.step(state, row)
             out += emitted
+        if heard is None and self.event_time:
+            return  # rows that only move the watermark
         if ended:
             out += self.fold.finish(state)
             self.state.clear()
@@ -85,6 +97,11 @@ class FoldProcessor(StatefulProcessor):
             self._wait(None if ended else latest + self.quiet_ms)
         yield from self._emit(key, out)
 
+    def _paused(self, state: dict, silence: int) -> tuple[dict, list[dict]]:
+        if self.end_ms is not None and silence >= self.end_ms:
+            return self.fold.initial(), self.fold.finish(state)
+        return self.fold.quiet(state)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
@@ -110,9 +127,10 @@ def stream_fold(events: DataFrame, fold: Fold, key: Sequence[str], order: Sequen
                 end_ms: int | None = None) -> DataFrame:
     """Apply a fold to a keyed stream, append mode.
 
-    With ``event_time`` and ``quiet_ms`` a key gives out what it holds once the watermark
-    passes its last row by that much, and goes on where it was when it is heard again;
-    ``end_ms`` after its last row (no less than ``quiet_ms``) it ends and its state goes.
+    With ``event_time`` and ``quiet_ms`` a key gives out what it holds once its rows pause for
+    that much, which the next row shows or else the watermark, and goes on where it was when
+    it is heard again; ``end_ms`` after its last row (no less than ``quiet_ms``) it ends and
+    its state goes.  A row without a value in the order column only moves the watermark.
     Without timers ``ttl_ms`` drops abandoned state (processing time).
     """
     if event_time:
@@ -153,11 +171,3 @@ def utterances(samples: DataFrame, event_time: str, key: Sequence[str], pause: s
     return (samples.withWatermark(event_time, delay)
             .groupBy(*key, F.session_window(event_time, pause))
             .agg(F.count(F.lit(1)).alias("n")))
-
-
-def tumbling_gate(windows: DataFrame, event_time: str, key: Sequence[str],
-                  width: str = "600 milliseconds", delay: str = "10 seconds") -> DataFrame:
-    """Time-aligned twin of the gate windows that fill by duration."""
-    return (windows.withWatermark(event_time, delay)
-            .groupBy(*key, F.window(event_time, width))
-            .agg(F.count(F.lit(1)).alias("members"), F.sum("duration").alias("duration")))
