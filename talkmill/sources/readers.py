@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill import dims
+from talkmill.sources.media import media_files
 
 ITEM_FIELDS = ["id", "audio", "source_language", "target_language", "reference_text",
                "reference_translation", "category"]
@@ -63,17 +64,13 @@ def scan_media(spark: SparkSession, root: str, source: str, target: str,
                suffixes: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Media files under a folder as items: the file stem is the id.
 
-    Only names are read; file contents stay on disk because the column is pruned.
-    ``limit`` keeps the first files in path order (Spark's bounded top-n).
+    Only names are read.  ``limit`` keeps the first files in path order (Spark's bounded
+    top-n).
     """
-    wanted = [s[1:] for s in (suffixes or list(dims.MEDIA_TYPES))]
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path"))
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    files = files.where(suffix.isin(wanted))
+    files = media_files(spark, root, 0, suffixes or list(dims.MEDIA_TYPES)).select("path")
     if limit is not None:
         files = files.orderBy("path").limit(limit)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
     return files.select(
         F.regexp_extract(name, r"^(.*)\.[^.]+$", 1).alias("id"), F.col("path").alias("audio"),
         F.lit(source).alias("source_language"), F.lit(target).alias("target_language"))
@@ -103,29 +100,15 @@ def audit_verdict(name: Column, size: Column, head: Column, max_bytes: int) -> C
             .when(size > max_bytes, "too_large").when(size == 0, "empty"))
 
 
-#: The largest file whose content Spark's file source can hold in a row.
-LARGEST_ROW = (1 << 31) - 1
-
-
-def audit_media(spark: SparkSession, root: str, max_bytes: int = 2048 << 20,
-                largest_row: int = LARGEST_ROW) -> DataFrame:
+def audit_media(spark: SparkSession, root: str, max_bytes: int = 2048 << 20) -> DataFrame:
     """Audit a media folder: container type by content against the extension.
 
-    Files are listed first, which reads no content; those over the limit, or too large for
-    a row, are refused by their names and sizes alone and have no container.  Spark's file
-    scan leaves out files of zero bytes, so those have no row here.
+    Twelve bytes of every file are read, whatever its size; a file of zero bytes has a row
+    like any other, and no container.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    limit = min(max_bytes, largest_row)
-    head = F.substring("content", 1, 12)
-    read = files.where(F.col("length") <= limit).select(
-        "path", "length", container_type(head).alias("container"),
-        audit_verdict(F.col("path"), F.col("length"), head, max_bytes).alias("error"))
-    known = F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)).isin(list(dims.MEDIA_TYPES))
-    large = files.where(F.col("length") > limit).select(
-        "path", "length", F.lit(None).cast("string").alias("container"),
-        F.when(known, "too_large").otherwise("unsupported_type").alias("error"))
-    return read.unionByName(large)
+    return media_files(spark, root).select(
+        "path", "length", container_type(F.col("head")).alias("container"),
+        audit_verdict(F.col("path"), F.col("length"), F.col("head"), max_bytes).alias("error"))
 
 
 REPORT_SCHEMA = "title string, environment map<string,string>, results array<map<string,string>>"
@@ -153,22 +136,32 @@ def read_reports(spark: SparkSession, root: str,
 EVENT_SCHEMA = "session_id string, sequence_id bigint, event_type string, timestamp double"
 
 
-def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Flattened event envelopes (JSON text) -> fixed fields and the rest as JSON text."""
+def parse_events(lines: DataFrame, value: str = "value", unreadable: str | None = None
+                 ) -> DataFrame:
+    """Flattened event envelopes (JSON text) -> fixed fields and the rest as JSON text.
+
+    ``unreadable`` names a column for lines that are no envelopes, whole; without it they
+    are rows of nulls.
+    """
     text = F.col(value)
-    fixed = F.from_json(text, EVENT_SCHEMA.replace("event_type", "event"))
+    fixed = F.from_json(text, EVENT_SCHEMA.replace("event_type", "event") + ", _bad string",
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rest = F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, v: ~k.isin(
         "session_id", "sequence_id", "event", "timestamp"))
-    return lines.select(fixed.alias("e"), F.to_json(rest).alias("payload")).select(
+    bad = F.col("e._bad").isNotNull() | F.col("e.event").isNull()
+    more = [] if unreadable is None else [F.when(bad, text).alias(unreadable)]
+    return lines.select(fixed.alias("e"), F.to_json(rest).alias("payload"), text).select(
         "e.session_id", "e.sequence_id", F.col("e.event").alias("event_type"),
-        F.timestamp_micros((F.col("e.timestamp") * 1e6).cast("bigint")).alias("ts"), "payload")
+        F.timestamp_micros((F.col("e.timestamp") * 1e6).cast("bigint")).alias("ts"),
+        F.when(~bad, F.col("payload")).alias("payload") if more else F.col("payload"), *more)
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """The same as a stream over a folder of JSON lines."""
+    """The same as a stream over a folder of JSON lines; lines that are no envelopes come
+    whole in ``unreadable``."""
     lines = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger)
              .load(path))
-    return parse_events(lines)
+    return parse_events(lines, unreadable="unreadable")
 
 
 def truth_timeline(pieces: DataFrame, key: list[str], order: list[str], blk: str | None

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from talkmill.session import shared_folder
 
@@ -32,3 +34,28 @@ def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) ->
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def append_log(stream: DataFrame, folder: str, progress: str,
+               crash: Callable[[int], None] | None = None) -> None:
+    """Append all available rows of a stream to a log, exactly once.
+
+    Every micro-batch owns the folder ``batch=<id>`` and overwrites it.  A run that dies
+    between writing a batch and committing it finds the same batch again, by its id and with
+    the same input, and writes it once more in the same place.  ``crash`` is called after
+    each write; tests raise from it.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if crash is not None:
+            crash(number)
+
+    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", progress)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def read_log(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """All rows of such a log; ``batch`` tells by which micro-batch each came."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(
+        "batch", T.LongType())])).parquet(folder)

@@ -45,6 +45,9 @@ def test_media_scan_and_audit(spark, tmp_path):
     assert got["ok.wav"] == ("wav", None) and got["film.mp4"] == ("isobmff", None)
     assert got["fake.MP3"] == ("wav", "content_mismatch")
     assert got["note.txt"][1] == "unsupported_type"
+    (tmp_path / "in" / "none.wav").write_bytes(b"")
+    empty = RD.audit_media(spark, f"file://{tmp_path}").where("path LIKE '%none.wav'").head()
+    assert (empty["length"], empty["container"], empty["error"]) == (0, None, "content_mismatch")
     small = {r["path"].rsplit("/", 1)[1]: r["error"]
              for r in RD.audit_media(spark, str(tmp_path), 10).collect()}
     assert small["ok.wav"] == "too_large"
@@ -123,3 +126,48 @@ def test_job_records(spark, tmp_path):
     W.write_jobs(j, str(tmp_path / "jobs"))
     record = spark.read.json(str(tmp_path / "jobs" / "status=completed")).head()["record"]
     assert json.loads(record)["input"] == {"filename": "f.wav"}
+
+
+def test_a_media_tree_is_shared_out_and_written_once(spark, tmp_path, monkeypatch):
+    """A wide and deep tree: every file once, whether a task lists one folder or all below."""
+    from talkmill.sources import media as M
+
+    rows = [(f"a{i % 7}/b{i % 5}/c{i % 3}/f{i}.wav", bytes([i % 256]) * (i % 40)) for i in range(300)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    M.write_media(files, str(tmp_path / "m"))
+    M.write_media(files.limit(50), f"file://{tmp_path}/m")
+    for most in (1, 4, 50, 100_000):
+        monkeypatch.setattr(M, "FOLDERS", most)
+        reader = M.MediaFolder({"path": str(tmp_path / "m")}).reader(None)
+        found = [e.path for part in reader.partitions() for e in reader._files(part.path, part.whole)]
+        assert sorted(found) == sorted(f"{tmp_path}/m/{p}" for p, _ in rows)
+    got = {r["path"]: (r["length"], bytes(r["head"])) for r in M.media_files(
+        spark, str(tmp_path / "m")).collect()}
+    assert got == {f"{tmp_path}/m/{p}": (len(c), c[:12]) for p, c in rows}
+    assert M.media_files(spark, str(tmp_path / "m"), 0).where("head IS NOT NULL").count() == 0
+
+
+def test_event_log_survives_a_crash_between_write_and_commit(spark, tmp_path):
+    import pytest
+
+    from talkmill.streaming import jobs as SJ
+
+    good = ['{"event":"ASR_FINAL","session_id":"s","sequence_id":%d,"timestamp":1.5,"n":%d}' % (i, i)
+            for i in range(40)]
+    bad = ['{"event":"ASR', "", "[1, 2]", "plain text"]
+    for i in range(4):
+        spark.createDataFrame([(v,) for v in good[10 * i:10 * i + 10] + bad[i:i + 1]], "value string"
+                              ).coalesce(1).write.mode("append").text(str(tmp_path / "lines"))
+    events = RD.stream_events(spark, str(tmp_path / "lines"), files_per_trigger=1)
+
+    def crash(number):
+        if number == 2:
+            raise RuntimeError("died before the commit")
+
+    with pytest.raises(Exception, match="died before the commit"):
+        SJ.append_log(events, str(tmp_path / "log"), str(tmp_path / "progress"), crash)
+    SJ.append_log(events, str(tmp_path / "log"), str(tmp_path / "progress"))
+    rows = SJ.read_log(spark, str(tmp_path / "log"), events.schema).collect()
+    assert sorted(r["sequence_id"] for r in rows if r["unreadable"] is None) == list(range(40))
+    assert sorted(r["unreadable"] for r in rows if r["unreadable"] is not None) == sorted(bad)
+    assert {r["batch"] for r in rows} == {0, 1, 2, 3}
