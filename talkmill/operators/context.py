@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkmill import dims
 from talkmill.functions import text as X
 from talkmill.operators.ordered import Scan, scan, split_hot
 
-#: Placed terms (over all languages) that may travel to every task; beyond it terms are
-#: joined by text.
-ARRAY_TERMS = 5000
+#: Placed terms (over all languages), and characters of terms, that may travel to every task;
+#: beyond it terms are joined by their starts.
+AUTOMATON_TERMS = 100_000
+AUTOMATON_CHARS = 4_000_000
 
 
 # -- glossary --------------------------------------------------------------------------------
@@ -55,37 +60,90 @@ def per_language(terms: DataFrame, lines: DataFrame, language: str, name: str) -
 
 
 def attach_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: str,
-                 language: str, limit: int = ARRAY_TERMS) -> DataFrame:
+                 language: str, limit: int = AUTOMATON_TERMS) -> DataFrame:
     """Add ``terms``: the applicable glossary terms that occur in ``haystack``, longest
     first, each with ``place``, its index among all applicable terms of that language.
 
-    A small glossary goes to every task as one map of placed terms per language.  A large
-    one is joined: every line offers the substrings that can begin a term.
+    A glossary of bounded size is one automaton in every task, which finds all terms in one
+    pass over a line.  A larger one is joined: every line offers hashes of the substrings
+    that can begin a term.
     """
     # A blank language is none: all terms apply, in both plans.
     lines = lines.withColumn("_tag", F.nullif(F.col(language), F.lit("")))
-    size = terms.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(
-        "source_language").alias("langs")).head()
-    if size["n"] * (size["langs"] + 2) > limit:
+    size = terms.limit(limit + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("source_language").alias("langs"),
+        F.coalesce(F.sum(F.char_length("source") + F.char_length("target") + F.coalesce(
+            F.char_length("romanized"), F.lit(0))), F.lit(0)).alias("chars")).head()
+    if size["n"] * (size["langs"] + 2) > limit or size["chars"] > AUTOMATON_CHARS:
         return _join_terms(lines, terms, key, haystack, "_tag").drop("_tag")
-    term = F.struct(*[F.col(c) for c in (
-        "source", "target", "romanized", "source_language", "part", "idx")])
-    ordered = F.array_sort(F.collect_list(_rank(term)))
-    placed = lambda all_, keep: F.transform(F.filter(all_, keep), lambda t, i: F.struct(
-        i.cast("bigint").alias("place"), t["source"].alias("source"),
-        t["target"].alias("target"), t["romanized"].alias("romanized")))
-    free = lambda t: t["source_language"].isNull()
-    tags = F.filter(F.collect_set("source_language"), lambda x: x.isNotNull())
-    lists = terms.agg(ordered.alias("all"), tags.alias("tags")).select(F.struct(
-        placed(F.col("all"), lambda t: F.lit(True)).alias("any"),
-        placed(F.col("all"), free).alias("other"),
-        F.map_from_arrays("tags", F.transform("tags", lambda tag: placed(
-            F.col("all"), lambda t: free(t) | (t["source_language"] == tag)))).alias("own")))
-    held = lines.withColumn("_g", lists.scalar())
-    mine = F.when(F.col("_tag").isNull(), F.col("_g.any")).otherwise(
-        F.coalesce(F.try_element_at("_g.own", F.col("_tag")), F.col("_g.other")))
-    return held.withColumn("terms", F.filter(
-        mine, lambda t: F.contains(F.col(haystack), t["source"]))).drop("_g", "_tag")
+    found = _term_finder([tuple(t) for t in terms.select(
+        "source", "target", "romanized", "source_language", "part", "idx").collect()])
+    return lines.withColumn("terms", found(F.col(haystack), F.col("_tag"))).drop("_tag")
+
+
+_TERMS = T.ArrayType(T.StructType([
+    T.StructField("place", T.LongType()), T.StructField("source", T.StringType()),
+    T.StructField("target", T.StringType()), T.StructField("romanized", T.StringType())]))
+
+
+_FOUND = pa.struct([("place", pa.int64()), ("source", pa.string()), ("target", pa.string()),
+                    ("romanized", pa.string())])
+
+
+class TermFinder:
+    """A glossary as one automaton, a trie of its sources with failure links, and per language
+    the places of the terms that apply.  Both are built in the task, on first use."""
+
+    def __init__(self, terms: list[tuple]) -> None:
+        # As ranked in the join: longest first, then the given order.
+        self.terms = sorted(terms, key=lambda t: (
+            -len(t[0]), *t[4:6], t[0], t[1], t[2] or "", t[3] or ""))
+        self.languages = {t[3] for t in terms}
+        self.number = {s: i for i, s in enumerate(dict.fromkeys(t[0] for t in self.terms))}
+        self.trie, self.places = None, {}
+
+    def applicable(self, tag: str | None) -> dict[int, list[tuple]]:
+        """Terms that apply to a language, by the number of their source."""
+        # Languages without terms of their own share what applies to all.
+        tag = tag if tag is None or tag in self.languages else ""
+        if tag not in self.places:
+            out: dict[int, list[tuple]] = {}
+            fit = [t for t in self.terms if tag is None or t[3] is None or t[3] == tag]
+            for place, (source, target, romanized, *_) in enumerate(fit):
+                out.setdefault(self.number[source], []).append((place, source, target, romanized))
+            self.places[tag] = out
+        return self.places[tag]
+
+    def find(self, text: str | None, tag: str | None) -> list[tuple]:
+        """The terms of a line by place, from one pass over it."""
+        if not text or not self.terms:
+            return []
+        if self.trie is None:
+            import ahocorasick
+
+            self.trie = ahocorasick.Automaton()
+            for source, i in self.number.items():
+                self.trie.add_word(source, i)
+            self.trie.make_automaton()
+        fit = self.applicable(tag)
+        return sorted(t for i in {i for _, i in self.trie.iter(text)} for t in fit.get(i, ()))
+
+
+def _term_finder(terms: list[tuple]):
+    """An Arrow function of text and language that lists the terms of a line."""
+    finder = TermFinder(terms)
+
+    @F.arrow_udf(returnType=_TERMS)
+    def find(texts: pa.Array, tags: pa.Array) -> pa.Array:
+        sizes, flat = [0], []
+        for text, tag in zip(texts.to_pylist(), tags.to_pylist(), strict=True):
+            flat += finder.find(text, tag)
+            sizes.append(len(flat))
+        columns = [pa.array([t[k] for t in flat], f.type) for k, f in enumerate(_FOUND)]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(
+            columns, fields=list(_FOUND)))
+
+    return find
 
 
 def _join_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: str,
@@ -93,33 +151,39 @@ def _join_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: st
     """The join for large glossaries.
 
     A term is found by its first 2^k characters, the largest such start it has; a line
-    offers its distinct substrings of those few lengths, and a hit is then checked whole.
+    offers hashes of its distinct substrings of those few lengths.  Only keys and hashes are
+    shuffled; the terms that a line may hold come back to it once, and are checked there
+    against its whole text.
     """
     sized = terms.withColumn("_t", _rank(F.struct(*[F.col(c) for c in (
         "source", "target", "romanized", "source_language", "part", "idx")])))
     placed = per_language(sized, lines, language, "_lang").select(
         "_lang", "_t", "source", "target", "romanized", F.col("_t.n").alias("_n"))
-    # A language may hold most terms, so places are numbered like any hot key's rows.
+    # A language may hold most terms, and most terms one length, so places are numbered like
+    # any hot key's rows, along the length and then the given order.
+    placed = placed.withColumn("_n", F.col("_n") * (1 << 40) + F.least(
+        F.col("_t.part") * (1 << 32) + F.col("_t.idx"), F.lit((1 << 40) - 1)))
     placed, blk = split_hot(placed, ["_lang"], "_n")
     ranked = scan(placed, ["_lang"], ["_t"], blk, place=Scan("number"))
     power = lambda n: F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("int")
-    ranked = ranked.withColumn("_start", F.left("source", power(F.char_length("source"))))
+    ranked = ranked.withColumn("_start", F.xxhash64(
+        F.left("source", power(F.char_length("source")))))
     lengths = sized.agg(F.collect_set(power(F.char_length("source")))).scalar()
     text = F.col(haystack)
     pieces = F.array_distinct(F.flatten(F.transform("_lengths", lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - n + 1)),
-        lambda i: F.substring(text, i, n)))))
-    offers = (lines.select(*key, F.coalesce(language, F.lit("")).alias("_lang"), haystack)
+        lambda i: F.xxhash64(F.substring(text, i, n))))))
+    offers = (lines.where(F.char_length(text) > 0)
+              .select(*key, F.coalesce(language, F.lit("")).alias("_lang"), haystack)
               .withColumn("_lengths", lengths)
-              .select(*key, "_lang", haystack, F.explode(pieces).alias("_start")))
-    hits = (offers.join(ranked, ["_lang", "_start"])
-            .where(F.contains(text, F.col("source"))).groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct(
-            (F.col("place") - 1).alias("place"), "source", "target", "romanized")))
-        .alias("terms")))
+              .select(*key, "_lang", F.explode(pieces).alias("_start")))
+    term = F.struct((F.col("place") - 1).alias("place"), "source", "target", "romanized")
+    maybe = offers.join(ranked.select("_lang", "_start", term.alias("_term")), ["_lang", "_start"]
+                        ).groupBy(*key).agg(F.collect_list("_term").alias("_maybe"))
     empty = F.array().cast("array<struct<place:bigint,source:string,target:string,"
                            "romanized:string>>")
-    return lines.join(hits, key, "left").withColumn("terms", F.coalesce("terms", empty))
+    return lines.join(maybe, key, "left").withColumn("terms", F.coalesce(F.array_sort(F.filter(
+        "_maybe", lambda t: F.contains(text, t["source"]))), empty)).drop("_maybe")
 
 
 def protect(text: Column, terms: Column) -> Column:

@@ -17,45 +17,54 @@ KEY = ["session_id"]
 
 # -- glossaries --------------------------------------------------------------------------
 
+#: Words of fewer letters are left to the lines themselves.
+LETTERS = 5
+
+
+def _words(spark, sf_dir):
+    """Every word of every benchmark text with the one before and the one after it."""
+    words = B.table(spark, sf_dir, "benchmark").select("item_id", F.split("text", r"\s+").alias("w"))
+    at = words.select("item_id", "w", F.posexplode("w").alias("p", "word"))
+    near = lambda k: F.coalesce(F.get("w", F.col("p") + k), F.lit(""))
+    return at.where(F.char_length("word") >= LETTERS).select(
+        (F.col("item_id") * 4096 + F.col("p")).alias("idx"), "word", near(-1).alias("before"),
+        near(1).alias("after"))
+
+
 def global_terms(spark, sf_dir):
-    """First two words of every benchmark text as a term; some rows are malformed."""
-    b = B.table(spark, sf_dir, "benchmark")
-    n, words = F.col("item_id"), F.split("text", " ")
-    return b.select(
-        F.when(n % 10 == 9, " ").otherwise(F.element_at(words, 2)).alias("source"),
-        F.upper(F.element_at(words, 1)).alias("target"),
-        F.when(n % 2 == 0, F.initcap(F.element_at(words, 2))).alias("romanized"),
-        F.when(n % 3 == 1, "en").when(n % 3 == 2, "ja").alias("source_language"),
-        n.alias("idx"))
+    """The long words of all benchmark texts as terms; some rows are malformed."""
+    n = F.col("idx")
+    return _words(spark, sf_dir).select(
+        F.when(n % 10 == 9, " ").otherwise(F.col("word")).alias("source"),
+        F.concat(F.lit("<"), "before", F.lit(">")).alias("target"),
+        F.when(n % 2 == 0, F.concat(F.lit("~"), "word")).alias("romanized"),
+        F.when(n % 3 == 1, "en").when(n % 3 == 2, "ja").alias("source_language"), "idx")
 
 
 def job_terms(spark, sf_dir):
-    b = B.table(spark, sf_dir, "benchmark")
-    words = F.split("text", " ")
-    return b.select(
-        F.concat_ws(" ", F.element_at(words, 2), F.element_at(words, 3)).alias("source"),
-        F.when(F.col("item_id") % 8 == 1, "").otherwise(F.lower(F.element_at(words, 3)))
-        .alias("target"), F.lit("").alias("romanized"), F.lit("").alias("source_language"),
-        F.col("item_id").alias("idx"))
+    """Each with the word after it; some have no target."""
+    return _words(spark, sf_dir).select(
+        F.concat_ws(" ", "word", "after").alias("source"),
+        F.when(F.col("idx") % 8 == 1, "").otherwise(F.col("after")).alias("target"),
+        F.lit("").alias("romanized"), F.lit("").alias("source_language"), "idx")
 
 
 def all_terms(spark, sf_dir):
-    """Global and job terms; the shortest words are left to the lines themselves."""
+    """Global and job terms in this order."""
     return C.glossary(global_terms(spark, sf_dir), job_terms(spark, sf_dir))
 
 
-TERMS = """
+TERMS = f"""
+word AS (SELECT * FROM (SELECT item_id * 4096 + p AS idx, w[p + 1] AS word, coalesce(w[p], '') AS before,
+    coalesce(w[p + 2], '') AS after FROM (SELECT item_id, w, unnest(range(len(w))) AS p FROM (
+      SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark))) WHERE length(word) >= {LETTERS}),
 raw_terms AS (
-  SELECT CASE WHEN item_id % 10 = 9 THEN ' ' ELSE string_split(text, ' ')[2] END AS source,
-    upper(string_split(text, ' ')[1]) AS target,
-    CASE WHEN item_id % 2 = 0 THEN upper(left(string_split(text, ' ')[2], 1))
-      || lower(substr(string_split(text, ' ')[2], 2)) END AS romanized,
-    CASE item_id % 3 WHEN 1 THEN 'en' WHEN 2 THEN 'ja' END AS source_language,
-    0 AS part, item_id AS idx FROM benchmark
+  SELECT CASE WHEN idx % 10 = 9 THEN ' ' ELSE word END AS source,
+    '<' || before || '>' AS target, CASE WHEN idx % 2 = 0 THEN '~' || word END AS romanized,
+    CASE idx % 3 WHEN 1 THEN 'en' WHEN 2 THEN 'ja' END AS source_language, 0 AS part, idx FROM word
   UNION ALL
-  SELECT string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3],
-    CASE WHEN item_id % 8 = 1 THEN '' ELSE lower(string_split(text, ' ')[3]) END,
-    NULL, NULL, 1, item_id FROM benchmark),
+  SELECT word || ' ' || after, CASE WHEN idx % 8 = 1 THEN '' ELSE after END, NULL, NULL, 1, idx
+  FROM word),
 terms AS (SELECT trim(source) AS source, trim(target) AS target, romanized, source_language,
     part, idx FROM raw_terms WHERE trim(source) <> '' AND trim(target) <> '')
 """
@@ -83,7 +92,7 @@ def _lines(spark, sf_dir):
                       "speaker"), blk
 
 
-def with_terms(spark, sf_dir, limit=C.ARRAY_TERMS):
+def with_terms(spark, sf_dir, limit=C.AUTOMATON_TERMS):
     lines, blk = _lines(spark, sf_dir)
     return C.attach_terms(lines, all_terms(spark, sf_dir), ["session_id", "seq"], "text",
                           "language", limit), blk
@@ -135,8 +144,8 @@ def relevant_joined(spark, sf_dir):
 _PROTECT = PLACED_TERMS + """
 , mine AS (SELECT s.session_id, s.seq, s.text, list({'p': r.place, 's': r.source, 't': r.target,
       'r': r.romanized} ORDER BY r.place) AS ts
-  FROM seg s JOIN ranked r ON r.language = s.language GROUP BY ALL),
-swapped AS (SELECT session_id, seq, text, list_reduce(ts, lambda st, t:
+  FROM seg s LEFT JOIN ranked r ON r.language = s.language AND contains(s.text, r.source) GROUP BY ALL),
+swapped AS (SELECT session_id, seq, text, list_reduce(list_filter(ts, lambda t: t.s IS NOT NULL), lambda st, t:
     CASE WHEN contains(st.x, t.s) THEN {'x': replace(st.x, t.s, 'VBX' || t.p || 'X'),
       'm': list_append(st.m, t)} ELSE st END,
     {'x': text, 'm': []::STRUCT(p BIGINT, s VARCHAR, t VARCHAR, r VARCHAR)[]}) AS st FROM mine)
