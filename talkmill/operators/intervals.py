@@ -181,80 +181,125 @@ CHUNK_SCHEMA = T.StructType([T.StructField("chunk", T.LongType()),
                              T.StructField("end_s", T.DoubleType())])
 
 
+#: Seconds of a level frame.
+FRAME = 0.1
+
+
 def packing(max_seconds: float = 28.0, gap: float = 0.8, strict: bool = False,
             split: bool = True) -> Fold:
     """Greedy packing: join a region to the open chunk while both limits hold.
 
-    A region longer than the limit is cut at ``quiet_at`` (a list of candidate cut times,
-    the quietest moment of each stretch) or after ``max_seconds``.  ``strict`` asks for a
-    gap below the limit instead of up to it.
+    A region longer than the limit is cut in the second half of every ``max_seconds``, in the
+    middle of the quietest whole level frame there (the first of equals); in the middle of that
+    half if it holds no frame, and at the limit if the region has none at all.  ``strict`` asks
+    for a gap below the limit instead of up to it.
+
+    Rows are regions (``start_s``, ``end_s``) and after each over-long one its level frames
+    (``t``, ``level``) in time order.  The state keeps only frames that may still be the
+    quietest of a stretch: later ones that are louder drop out as they come.
     """
-    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+    def put(s: dict, a: float, b: float) -> list[dict]:
+        """Join a piece to the open chunk, or give that out and open another."""
+        near = s["open"] and (a - s["open"][1] < gap if strict else a - s["open"][1] <= gap)
+        if near and b - s["open"][0] <= max_seconds:
+            s["open"] = [s["open"][0], b]
+            return []
+        out = close(s)
+        s["open"] = [a, b]
+        return out
+
+    def close(s: dict) -> list[dict]:
+        if not s["open"]:
+            return []
+        s["n"] += 1
+        return [{"chunk": s["n"], "start_s": s["open"][0], "end_s": s["open"][1]}]
+
+    def cut_once(s: dict) -> list[dict]:
+        a, b, framed = s["long"]
+        low, high = a + max_seconds / 2, a + max_seconds
+        if s["quiet"]:
+            at = s["quiet"][0][0] + FRAME / 2
+        else:
+            at = (low + high) / 2 if framed else high
+        out = close(s)
+        s["open"], s["long"] = [a, at], [at, b, framed]
+        low = at + max_seconds / 2
+        s["quiet"] = [f for f in s["quiet"] if f[0] >= low - 1e-9]
+        return out
+
+    def settle(s: dict) -> list[dict]:
+        """Cut what is left of an over-long region and join its end."""
         out: list[dict] = []
-        n, open_ = state["n"], state["open"]
+        if s["long"]:
+            while s["long"][1] - s["long"][0] > max_seconds:
+                out += cut_once(s)
+            a, b, _ = s["long"]
+            s.update(long=None, quiet=[])
+            out += put(s, a, b)
+        return out
+
+    def hear(s: dict, t: float, level: float) -> list[dict]:
+        out: list[dict] = []
+        if not s["long"]:
+            return out
+        s["long"] = [*s["long"][:2], True]
+        while s["long"][1] - s["long"][0] > max_seconds and \
+                t + FRAME > s["long"][0] + max_seconds + 1e-9:
+            out += cut_once(s)
+        if t >= s["long"][0] + max_seconds / 2 - 1e-9:
+            while s["quiet"] and s["quiet"][-1][1] > level:
+                s["quiet"].pop()
+            s["quiet"].append([t, level])
+        return out
+
+    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+        s = {**state, "quiet": list(state["quiet"])}
+        if row.get("t") is not None:
+            return s, hear(s, row["t"], row["level"])
+        out = settle(s)
         a, b = row["start_s"], row["end_s"]
-        cuts = row.get("quiet") if split else None
-        while split and b - a > max_seconds:
-            at = quietest(cuts, a + max_seconds / 2, a + max_seconds)
-            if open_:
-                n += 1
-                out.append({"chunk": n, "start_s": open_[0], "end_s": open_[1]})
-            open_, a = [a, at], at
-        near = open_ and (a - open_[1] < gap if strict else a - open_[1] <= gap)
-        if near and b - open_[0] <= max_seconds:
-            open_ = [open_[0], b]
+        if split and b - a > max_seconds:
+            s["long"] = [a, b, False]
         else:
-            if open_:
-                n += 1
-                out.append({"chunk": n, "start_s": open_[0], "end_s": open_[1]})
-            open_ = [a, b]
-        return {"n": n, "open": open_}, out
+            out += put(s, a, b)
+        return s, out
 
     def finish(state: dict) -> list[dict]:
-        if not state["open"]:
-            return []
-        return [{"chunk": state["n"] + 1, "start_s": state["open"][0],
-                 "end_s": state["open"][1]}]
-
-    return Fold(lambda: {"n": 0, "open": None}, step, CHUNK_SCHEMA, finish, counters=("n",))
+        s = {**state, "quiet": list(state["quiet"])}
+        return settle(s) + close(s)
 
-
-def quietest(frames, lo: float, hi: float, frame: float = 0.1) -> float:
-    """Middle of the quietest whole frame counted from ``lo``; ``hi`` without frames.
-
-    ``frames`` is a list of (time, level) in time order, one per ``frame`` seconds.
-    """
-    if frames is None:
-        return hi
-    best = None
-    for f in frames:
-        t, level = (f["t"], f["level"]) if isinstance(f, dict) else (f[0], f[1])
-        if lo - 1e-9 <= t and t + frame <= hi + 1e-9 and (best is None or level < best[0]):
-            best = (level, t)
-    return (lo + hi) / 2 if best is None else best[1] + frame / 2
+    return Fold(lambda: {"n": 0, "open": None, "long": None, "quiet": []}, step, CHUNK_SCHEMA,
+                finish, counters=("n",))
 
 
 def pack_regions(regions: DataFrame, key: Sequence[str], order: Sequence[str],
-                 blk: str | None, **limits) -> DataFrame:
-    """Chunks per session from its speech regions in order."""
-    return run_fold(regions, packing(**limits), key, order, blk)
-
+                 blk: str | None, frames: DataFrame | None = None, **limits) -> DataFrame:
+    """Chunks per session from its speech regions in order.
 
-def quiet_frames(regions: DataFrame, frames: DataFrame, key: Sequence[str], ident: str,
-                 max_seconds: float = 28.0) -> DataFrame:
-    """Attach to over-long regions their frame levels (``quiet``: array of (t, level)).
-
-    Only frames that lie inside an over-long region travel, and a region's frames are
-    bounded by its length.
+    ``frames`` (``t``, ``level`` every tenth of a second) say where over-long regions are
+    quiet; only those inside such regions travel, each as a row of its own.
     """
-    key = list(key)
-    long_ = regions.where(F.col("end_s") - F.col("start_s") > max_seconds)
-    f = frames.select(*key, F.struct(F.col("t"), F.col("level")).alias("_f"),
-                      F.col("t").alias("_fs"), (F.col("t") + 0.1).alias("_fe"))
-    inside = overlap_join(long_.select(*key, ident, "start_s", "end_s"), f, key,
-                          (F.col("start_s"), F.col("end_s")), ("_fs", "_fe"), how="inner")
-    found = inside.groupBy(*key, ident).agg(F.array_sort(F.collect_list("_f")).alias("quiet"))
-    return regions.join(found, [*key, ident], "left")
+    fold = packing(**limits)
+    place = [*key, *order, *([blk] if blk else [])]
+    rows = regions.select(*place, "start_s", "end_s")
+    if frames is not None:
+        inside = frames_inside(rows, frames, key, place, limits.get("max_seconds", 28.0))
+        rows = rows.unionByName(inside, allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("t", F.lit(None).cast("double"))
+    return run_fold(rows, fold, key, [*order, "t"], blk)
+
+
+def frames_inside(regions: DataFrame, frames: DataFrame, key: Sequence[str],
+                  ident: Sequence[str], longer: float) -> DataFrame:
+    """Level frames that overlap a region longer than ``longer`` seconds: ``ident`` of the
+    region, ``t`` and ``level``."""
+    long_ = regions.where(F.col("end_s") - F.col("start_s") > longer)
+    f = frames.select(*key, "t", "level", F.col("t").alias("_fs"),
+                      (F.col("t") + FRAME).alias("_fe"))
+    pairs = overlap_join(long_.select(*ident, "start_s", "end_s"), f, key,
+                         (F.col("start_s"), F.col("end_s")), ("_fs", "_fe"), how="inner")
+    return pairs.select(*ident, "t", "level")
 
 
 # -- voiced regions from frame probabilities ---------------------------------------------

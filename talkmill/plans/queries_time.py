@@ -316,20 +316,71 @@ def _speech(spark, sf_dir):
     return O.split_hot(m, KEY, "island") if blk else (m, None)
 
 
-@query("f07_speech_chunks")
-def speech_chunks(spark, sf_dir):
-    """Regions packed up to 28 s; longer ones cut at their quietest frame (F8)."""
-    m, blk = _speech(spark, sf_dir)
+def _levels(spark, sf_dir):
+    """A level every tenth of a second of every classifier window."""
     w, _ = B.windows(spark, sf_dir)
-    frames = w.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"),
-                      "w").select("session_id", (F.col("w") * 2 + F.col("i") * 0.1).alias("t"), (
-        (F.col("w") * 131 + F.col("i") * 17) % 97).cast("double").alias("level"))
-    quiet = I.quiet_frames(m, frames, KEY, "island")
-    return I.pack_regions(quiet, KEY, ["island"], blk).select(
+    return w.select("session_id", "w", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select(
+        "session_id", (F.col("w") * 2 + F.col("i") * 0.1).alias("t"),
+        ((F.col("w") * 131 + F.col("i") * 17) % 97).cast("double").alias("level"))
+
+
+def _cut(limit: float, gap: float = 0.8) -> str:
+    """Packing one region or cut at a time; ``rest`` is what is left of an over-long region."""
+    return MERGED + f"""
+, lv AS (SELECT session_id, list({{'t': w * 2 + i * 0.1e0, 'l': ((w*131 + i*17) % 97)::DOUBLE}}) AS f
+  FROM win, (SELECT unnest(range(20)) AS i) GROUP BY session_id),
+reg AS (SELECT session_id, start_s, end_s, row_number() OVER (
+    PARTITION BY session_id ORDER BY island) AS rn FROM merged WHERE should_transcribe),
+pack AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS rn, 0::BIGINT AS step, NULL::DOUBLE AS a, NULL::DOUBLE AS b,
+    NULL::DOUBLE AS oa, NULL::DOUBLE AS ob, NULL::DOUBLE AS ea, NULL::DOUBLE AS eb FROM reg
+  UNION ALL
+  SELECT session_id, rn2, step + 1, CASE WHEN cuts THEN here WHEN a IS NULL THEN ra END,
+    CASE WHEN cuts THEN b WHEN a IS NULL THEN rb END,
+    CASE WHEN cuts THEN a WHEN a IS NULL THEN oa WHEN joins THEN oa ELSE a END,
+    CASE WHEN cuts THEN here WHEN a IS NULL THEN ob ELSE b END,
+    CASE WHEN a IS NULL OR (joins AND NOT cuts) THEN NULL ELSE oa END,
+    CASE WHEN a IS NULL OR (joins AND NOT cuts) THEN NULL ELSE ob END
+  FROM (
+    SELECT *, CASE WHEN len(q) = 0 THEN a + 0.75e0 * {limit} ELSE list_min(list_transform(q,
+        lambda x: {{'l': x.l, 't': x.t}})).t + 0.1e0 / 2 END AS here
+    FROM (
+      SELECT *, CASE WHEN cuts THEN list_filter(f, lambda x: a + {limit} / 2e0 - 1e-9 <= x.t
+          AND x.t + 0.1e0 <= a + {limit} + 1e-9) ELSE [] END AS q
+      FROM (
+        SELECT p.*, r.rn AS nrn, coalesce(r.rn, p.rn) AS rn2, r.start_s AS ra, r.end_s AS rb, lv.f,
+          coalesce(p.b - p.a > {limit}, false) AS cuts,
+          coalesce(p.a - p.ob <= {gap} AND p.b - p.oa <= {limit}, false) AS joins
+        FROM pack p JOIN lv USING (session_id)
+        LEFT JOIN reg r ON r.session_id = p.session_id AND r.rn = p.rn + 1 AND p.a IS NULL
+        WHERE p.a IS NOT NULL OR r.rn IS NOT NULL)))),
+chunk AS (
+  SELECT session_id, step, ea AS a, eb AS b FROM pack WHERE ea IS NOT NULL
+  UNION ALL SELECT session_id, step + 1, oa, ob FROM pack WHERE oa IS NOT NULL AND step = (
+    SELECT max(step) FROM pack z WHERE z.session_id = pack.session_id))
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY step) AS chunk,
+  round(a, 3) AS start_s, round(b, 3) AS end_s FROM chunk"""
+
+
+def _chunks(spark, sf_dir, **limits):
+    m, blk = _speech(spark, sf_dir)
+    return I.pack_regions(m, KEY, ["island"], blk, _levels(spark, sf_dir), **limits).select(
         "session_id", "chunk", F.round("start_s", 3).alias("start_s"),
         F.round("end_s", 3).alias("end_s"))
 
 
+@query("f07_speech_chunks", f"WITH RECURSIVE {_cut('28e0')}")
+def speech_chunks(spark, sf_dir):
+    """Regions packed up to 28 s; longer ones cut at their quietest frame (F8)."""
+    return _chunks(spark, sf_dir)
+
+
+@query("f08_cut_chunks", f"WITH RECURSIVE {_cut('3e0')}")
+def cut_chunks(spark, sf_dir):
+    """The same with a limit of 3 s, which most regions exceed, some of them several times."""
+    return _chunks(spark, sf_dir, max_seconds=3.0)
+
+
 @query("f07_packed_regions", f"""
 WITH RECURSIVE {_packed('1e9', '<= 3')}
 SELECT session_id, start_s, end_s FROM chunks""")
@@ -358,15 +409,12 @@ FROM long l JOIN frames f ON f.session_id = l.session_id AND f.t >= l.start_s -
   AND f.t + 0.1e0 <= l.end_s + 1e-9 GROUP BY ALL""")
 def quietest_frame(spark, sf_dir):
     m, _ = _speech(spark, sf_dir)
-    w, _ = B.windows(spark, sf_dir)
-    frames = w.select("session_id", "w", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")
-                      ).select("session_id", (F.col("w") * 2 + F.col("i") * 0.1).alias("t"), (
-        (F.col("w") * 131 + F.col("i") * 17) % 97).cast("double").alias("level"))
-    quiet = I.quiet_frames(m, frames, KEY, "island", max_seconds=6.0).where("quiet is not null")
-    inside = F.filter("quiet", lambda f: (f["t"] >= F.col("start_s") - 1e-9)
-                      & (f["t"] + 0.1 <= F.col("end_s") + 1e-9))
-    least = F.array_min(F.transform(inside, lambda f: F.struct(f["level"], f["t"].alias("t"))))
-    return quiet.select("session_id", "island", F.round(least["t"], 3).alias("quiet_at"))
+    inside = I.frames_inside(m, _levels(spark, sf_dir), KEY, ["session_id", "island"], 6.0)
+    spans = m.select("session_id", "island", "start_s", "end_s")
+    return inside.join(spans, ["session_id", "island"]).where(
+        (F.col("t") >= F.col("start_s") - 1e-9) & (F.col("t") + 0.1 <= F.col("end_s") + 1e-9)
+    ).groupBy("session_id", "island").agg(
+        F.round(F.min(F.struct("level", "t"))["t"], 3).alias("quiet_at"))
 
 
 # -- F10-F13 -----------------------------------------------------------------------------

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 QUERIES, SQL = registered()
 #: Queries without SQL, and the tests that check their rules.
-OTHERWISE = {"b06_compression_ratio": "test_text.py", "f07_speech_chunks": "test_rules.py"}
+OTHERWISE = {"b06_compression_ratio": "test_text.py"}
 
 
 @pytest.fixture(scope="module")

@@ -110,13 +110,56 @@ def test_chunks_cut_at_the_breath(spark):
     frames = spark.createDataFrame(
         [("s", i / 10, 1.0 if 240 <= i < 244 else 50.0 + i % 3) for i in range(500)],
         "k string, t double, level double")
-    quiet = I.quiet_frames(regions, frames, ["k"], "island")
     out = sorted((r["start_s"], r["end_s"]) for r in I.pack_regions(
-        quiet, ["k"], ["island"], None).collect())
+        regions, ["k"], ["island"], None, frames).collect())
     assert out[0] == (1.0, 8.0) and out[-1][1] == 39.0
     assert 24.0 <= out[1][1] <= 24.4 and out[1][1] == out[2][0]
 
 
+def cut_at_quietest(regions, frames, most, gap=0.8):
+    """Chunks by looking at all frames for every cut."""
+    chunks, open_ = [], None
+    for a, b in regions:
+        mine = [(t, v) for t, v in frames if t + 0.1 > a and t < b]
+        while b - a > most:
+            low, high = a + most / 2, a + most
+            fit = [(v, t) for t, v in mine if low - 1e-9 <= t and t + 0.1 <= high + 1e-9]
+            at = min(fit)[1] + 0.05 if fit else (low + high) / 2 if mine else high
+            chunks += [open_] if open_ else []
+            open_, a = (a, at), at
+        if open_ and a - open_[1] <= gap and b - open_[0] <= most:
+            open_ = (open_[0], b)
+        else:
+            chunks += [open_] if open_ else []
+            open_ = (a, b)
+    return chunks + ([open_] if open_ else [])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_equal_a_look_at_all_frames(spark, seed):
+    """Long regions with ties, missing frames and no frames at all; with blocks too."""
+    import random
+
+    rng = random.Random(seed)
+    regions, frames, at = [], [], 0.0
+    for i in range(12):
+        length = rng.choice([2.0, 9.5, 31.25, 70.0, 131.7])
+        regions.append((at, at + length))
+        if i % 5 != 3:
+            frames += [(k / 10, float(rng.randint(0, 6))) for k in range(
+                int(at * 10) - 2, int((at + length) * 10) + 2) if rng.random() > 0.02 * seed
+                and not (seed == 3 and 300 < k % 1000 < 700)]
+        at += length + rng.choice([0.5, 3.0])
+    df = spark.createDataFrame([("s", i, a, b, i // 4) for i, (a, b) in enumerate(regions)],
+                               "k string, island int, start_s double, end_s double, blk int")
+    levels = spark.createDataFrame([("s", t, v) for t, v in frames],
+                                   "k string, t double, level double")
+    for blk in (None, "blk"):
+        rows = I.pack_regions(df, ["k"], ["island"], blk, levels).orderBy("chunk").collect()
+        assert [(round(r["start_s"], 6), round(r["end_s"], 6)) for r in rows] == [
+            (round(a, 6), round(b, 6)) for a, b in cut_at_quietest(regions, frames, 28.0)]
+
+
 def test_chunk_limit_without_frames(spark):
     regions = spark.createDataFrame([("s", 0, 0.0, 100.0)],
                                     "k string, island int, start_s double, end_s double")
