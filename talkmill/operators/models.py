@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeResult
 
 from talkmill.functions import text as X
 from talkmill.operators import context as C
@@ -69,6 +70,59 @@ def transcribe_with(chunks: DataFrame, key: list[str], payload: str, start: str,
     return chunks.select(*key, start, payload).mapInPandas(decode, schema)
 
 
+#: Characters of what a session has said that a recogniser is reminded of.
+PROMPT_CHARS = 200
+
+_SEGMENT_FIELDS = [("part", T.LongType()), ("place", T.LongType()), ("text", T.StringType()),
+                   ("start_s", T.DoubleType()), ("end_s", T.DoubleType()),
+                   ("language", T.StringType()), ("confidence", T.DoubleType())]
+
+
+def register_transcriber(spark: SparkSession, name: str,
+                         factory: Callable[[], Callable[[object, str], list[dict]]],
+                         prompt_chars: int = PROMPT_CHARS) -> None:
+    """Make a recogniser a table function of SQL.
+
+    ``name(payload => 'column', start => 'column', chunks => TABLE(chunks) PARTITION BY session
+    ORDER BY seq)`` decodes the chunks of a session in order.  ``payload`` and ``start`` name
+    the columns of a chunk's payload and of its start in seconds; all others come back with
+    every segment, and
+    ``part`` (within the chunk), ``place`` (within the session, from 1), ``text``,
+    ``start_s``, ``end_s``, ``language``, ``confidence``.  ``model(payload, prompt)`` gets
+    the end of what the session said before, a line each, and returns dicts as in
+    :func:`transcribe_with`.  A null payload has no segments.
+    """
+    class Transcriber:
+        @staticmethod
+        def analyze(chunks, payload, start):
+            names = (payload.value, start.value)
+            if not chunks.isTable:
+                raise ValueError("the first argument must be a table of chunks")
+            have = {f.name: f for f in chunks.dataType.fields}
+            gone = [n for n in names if n not in have]
+            if gone:
+                raise ValueError(f"the table of chunks has no column {', '.join(map(str, gone))}")
+            kept = [f for f in chunks.dataType.fields if f.name not in names]
+            schema = T.StructType(kept + [T.StructField(n, t) for n, t in _SEGMENT_FIELDS])
+            return AnalyzeResult(schema=schema)
+
+        def __init__(self) -> None:
+            self.model, self.place, self.said = factory(), 0, ""
+
+        def eval(self, chunks, payload, start):
+            if chunks[payload] is None:
+                return
+            kept = [chunks[c] for c in chunks.__fields__ if c not in (payload, start)]
+            begin = chunks[start]
+            for part, seg in enumerate(self.model(chunks[payload], self.said)):
+                self.place += 1
+                self.said = (self.said + seg["text"] + "\n")[-prompt_chars:]
+                yield (*kept, part, self.place, seg["text"], begin + seg["start"],
+                       begin + seg["end"], seg.get("language"), seg.get("confidence"))
+
+    spark.udtf.register(name, F.udtf(Transcriber))
+
+
 def score_with(factory: Callable[[], Callable[[list], list[dict]]], batch: int = 8):
     """A scalar function payload -> map of scores, for detectors and classifiers."""
     @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talkmill.operators import quality as Q
+from talkmill.operators import sketches as SK
 from talkmill.operators import telemetry as T
 from talkmill.plans import bindings as B
 from talkmill.plans.queries_rules import FRAMES, frames
 from talkmill.plans.queries_time import FITTED, PLACED, fitted
 from talkmill.operators import timeline as L
 from talkmill.plans.registry import query
+from talkmill.session import shared_folder
 
 
 def items(spark, sf_dir):
@@ -202,6 +206,30 @@ def latency_percentiles(spark, sf_dir):
     return T.latency_summary(e, ["stage"], "seconds")
 
 
+@query("d09_sketched_percentiles", f"""
+WITH {B.EVT}
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS stage, count(*) AS n, round(avg(seconds), 9) AS mean,
+  min(seconds) AS low, max(seconds) AS high, true AS p50_close, true AS p95_close
+FROM evt GROUP BY ALL""")
+def sketched_percentiles(spark, sf_dir):
+    """Stored hourly sketches merged to days; the shares of samples up to each percentile
+    are within the rank error."""
+    e = B.event_rows(spark, sf_dir).withColumnRenamed("event_type", "stage")
+    folder = f"{shared_folder(spark)}/sketches/{uuid.uuid4().hex}"
+    SK.hourly_sketches(e, ["stage"], "ts", "seconds").write.parquet(folder)
+    day = F.date_format("hour", "yyyy-MM-dd").alias("day")
+    hours = spark.read.parquet(folder).select("*", day)
+    days = SK.sketched_summary(hours, ["day", "stage"], p50=0.5, p95=0.95)
+    samples = e.select("stage", "seconds", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    met = SK.rank_bounds(days, samples, ["day", "stage"], "seconds", "p50", "p95")
+    close = lambda name, share: (
+        (F.col(f"{name}_below") <= share + SK.RANK_ERROR)
+        & (F.col(f"{name}_upto") >= share - SK.RANK_ERROR)).alias(f"{name}_close")
+    return days.join(met, ["day", "stage"]).select(
+        "day", "stage", "n", F.round("mean", 9).alias("mean"), "low", "high",
+        close("p50", 0.5), close("p95", 0.95))
+
+
 @query("d10_real_time_factor", f"""
 WITH {ITEMS}
 SELECT model, round(avg(CASE WHEN media_s > 0 THEN latency / media_s ELSE 0 END), 3) AS rtf
