@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,23 +17,27 @@ from talkmill.session import cut
 
 #: Bytes of a gram; every byte is predicted from the ORDER - 1 bytes before it.
 ORDER = 6
-#: Share of the trusted segments that each language's threshold lets pass.
+#: Share of the held-out trusted segments that each language's threshold lets pass.
 QUANTILE = 0.99
-#: Parts of the trusted segments; each is scored by a model of the others.
-FOLDS = 4
-#: Most frequent grams that go to every task with their probabilities; others are joined.
-SHARD_GRAMS = 2_000_000
-#: Grams counted at once; bounds the memory of a task.
-GRAMS_AT_ONCE = 4_000_000
+#: One in so many trusted segments is held out of the model, for the threshold.
+HELD_OUT = 4
+#: Entries of the model that go to every task; a larger model is joined by gram.
+LOCAL_ENTRIES = 6_000_000
+#: Grams of one shard of such a join, and grams counted or looked up at once in a task.
+SHARD_GRAMS = 1_000_000
+GRAMS_AT_ONCE = 1_000_000
 #: Trusted names that may be broadcast, and values of a language in one sort.
 BROADCAST_NAMES = 1_000_000
 BROADCAST_LANGUAGES = 100_000
 ROWS_PER_SORT = 20_000
 
+OTHER, LEARNED, UNSEEN = 0, 1, 2
+
 
 def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
-                  quantile: float = QUANTILE, folds: int = FOLDS,
-                  shard_grams: int = SHARD_GRAMS) -> DataFrame:
+                  quantile: float = QUANTILE, held_out: int = HELD_OUT,
+                  local_entries: int = LOCAL_ENTRIES, shard_grams: int = SHARD_GRAMS
+                  ) -> DataFrame:
     """Perplexity of every segment under a model of its language's trusted segments.
 
     Reads ``sequence_id, text, language`` of ``segments`` and ``sequence_id`` of ``trusted``.
@@ -39,47 +45,48 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
     ``threshold`` (the language's quantile of trusted perplexities) and ``kept`` (not above
     it).
 
-    Trusted segments fall into ``folds`` parts by hash of their ids.  A trusted segment is
-    scored by a model of the other parts, so that its perplexity compares with that of a
-    segment which no model has seen; all other segments are scored by a model of all parts.
-
-    One scan counts byte grams per (language, part, gram), combined in each task; a part's
-    counts are subtracted from all trusted ones, which gives each model, interpolated,
-    modified Kneser-Ney.  Counts, contexts and lower orders are
-    tables sharded by (language, gram) and joined by it, order by order, for all grams that
-    occur anywhere, so no table of the model is ever whole in one place.  A second scan
-    counts each text's distinct grams.  The most frequent grams, at most ``shard_grams``
-    whatever the input, go to the tasks and are added up there, so that no gram that many
-    texts share is shuffled; a text's other grams are joined with the table by (language,
-    gram), and the logarithms are summed per text.
-
-    A missing language is a language of its own.  A language without trusted text (for a
-    trusted segment: without any in other parts), or a text without bytes, has no perplexity, hence nothing against it, and stays.  Null text counts
+    One in ``held_out`` trusted segments, by hash of their ids, is not learned from: their
+    perplexities are those of unseen trusted text and give the threshold.  (A language
+    without any takes all its trusted segments for it.)  All segments are scored by the one
+    model of the others.
+
+    A scan of the trusted text counts byte grams per language, combined in each task.  The
+    model is tables by (language, gram), one of probabilities and one of back-off weights per
+    order, made by joins order by order; their size follows the trusted text.  A model of up
+    to ``local_entries`` entries goes to every task, which then prices texts by itself.  Of a
+    larger one only the most frequent grams do; what a text holds beside them comes out as
+    arrays per text and shard of grams, is priced once per distinct gram by joins with the
+    model, and is summed up shard by shard.
+
+    A missing language is a language of its own.  A language without learned text, or a text
+    without bytes, has no perplexity, hence nothing against it, and stays.  Null text counts
     as empty.  Rows that repeat an id are judged each by its own text.
     """
     rows = segments.select("sequence_id", F.coalesce("language", F.lit("")).alias("language"),
                            F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     names = cut(trusted.select(F.col("sequence_id").alias("_name")).distinct())
     side = F.broadcast(names) if at_most(names, BROADCAST_NAMES) else names.hint("shuffle_hash")
-    part = F.when(F.col("_name").isNotNull(), F.pmod(F.xxhash64("_name"), F.lit(folds)))
+    role = F.when(F.col("_name").isNull(), OTHER).when(
+        F.pmod(F.xxhash64("_name"), F.lit(held_out)) == 0, UNSEEN).otherwise(LEARNED)
     marked = rows.join(side, rows["sequence_id"] == F.col("_name"), "left").select(
-        "sequence_id", "language", F.coalesce(part, F.lit(folds)).cast("int").alias("part"),
-        "text")
-    counted = (marked.select("language", "part", "text").mapInArrow(
-        _count_grams(order), "language string, part int, gram bigint, n bigint")
-        .groupBy("language", "gram").agg(*[
-            F.coalesce(F.sum(F.when(F.col("part") == i, F.col("n"))), F.lit(0)).alias(f"n{i}")
-            for i in range(folds + 1)]))
-    seen = cut(_seen_by_models(counted, folds))
-    priced = gram_probabilities(seen, order)
-    scored = _scored(marked.withColumn("model", _model(F.col("part"))), seen, priced, order,
-                     shard_grams)
-    perplexity = F.when((F.col("bytes") > 0) & F.col("total").isNotNull(),
-                        F.exp(-F.col("total") / F.col("bytes")))
-    judged = cut(scored.select("sequence_id", "language", perplexity.alias("perplexity")))
-    good = judged.join(names, judged["sequence_id"] == names["_name"], "left_semi").where(
-        F.col("perplexity").isNotNull())
-    limits = quantiles.linear(good, ["language"], "perplexity", ROWS_PER_SORT, limit=quantile)
+        "sequence_id", "language", F.xxhash64("language").alias("lang"), role.alias("role"), "text")
+    learned = rows.join(side, rows["sequence_id"] == F.col("_name")).where(role == LEARNED)
+    counts = learned.select(F.xxhash64("language").alias("lang"), "text").mapInArrow(
+        _count_grams(order), "lang bigint, gram bigint, n bigint").groupBy("lang", "gram").agg(
+        F.sum("n").alias("n"))
+    model = gram_model(counts, order)
+    known = _small(model.seen[1].select(F.col("lang").alias("_known")).distinct())
+    asked = marked.join(known, marked["lang"] == F.col("_known"), "left").select(
+        "sequence_id", "language", "role", F.col("_known").alias("lang"), "text")
+    judged = cut(_scored(asked, model, order, local_entries, shard_grams).select(
+        "sequence_id", "language", "role", F.when(
+            (F.col("bytes") > 0) & F.col("total").isNotNull(),
+            F.exp(-F.col("total") / F.col("bytes"))).alias("perplexity")))
+    good = judged.where((F.col("role") != OTHER) & F.col("perplexity").isNotNull())
+    unseen = good.where(F.col("role") == UNSEEN)
+    without = good.join(_small(unseen.select("language").distinct()), "language", "left_anti")
+    limits = quantiles.linear(unseen.unionByName(without), ["language"], "perplexity",
+                              ROWS_PER_SORT, limit=quantile)
     limits = limits.select(F.col("language").alias("_language"),
                            F.col("limit").alias("threshold"))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
@@ -87,60 +94,126 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
         "sequence_id", "language", "perplexity", "threshold", kept.alias("kept"))
 
 
-def grams(data: bytes, order: int = ORDER) -> np.ndarray:
-    """The gram that ends at each byte, as a number; zeros precede the text."""
-    padded = np.concatenate((np.zeros(order - 1, np.uint8), np.frombuffer(data, np.uint8)))
-    kind = np.uint32 if order <= 4 else np.uint64
-    out = np.zeros(len(data), kind)
+def _small(by_language: DataFrame) -> DataFrame:
+    """A table of one row per language, sent to all tasks unless there are too many."""
+    table = cut(by_language)
+    return F.broadcast(table) if at_most(table, BROADCAST_LANGUAGES) else table
+
+
+# -- grams -------------------------------------------------------------------------------------
+
+def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each byte of each text, as a number (zeros precede a text), and
+    the texts' sizes."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    gap = bytes(order - 1)
+    data = np.frombuffer(gap + gap.join(texts), np.uint8).astype(np.uint64)
+    out = np.zeros(len(data) - order + 1 if len(data) >= order else 0, np.uint64)
     for i in range(order):
-        out = (out << kind(8)) | padded[i:i + len(data)]
-    return out
+        out = (out << np.uint64(8)) | data[i:i + len(out)]
+    # Between two texts lie the grams that end in the gap.
+    keep = np.ones(len(out), bool)
+    ends = np.cumsum(sizes + order - 1)
+    for i in range(order - 1):
+        at = ends[:-1] - (order - 1) + i
+        keep[at[at < len(keep)]] = False
+    return out[keep], sizes
+
+
+def _slices(texts: list, most: int = GRAMS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes; a text is never split."""
+    at = 0
+    while at < len(texts):
+        stop, held = at, 0
+        while stop < len(texts) and (stop == at or held + len(texts[stop]) <= most):
+            held += len(texts[stop])
+            stop += 1
+        yield at, stop
+        at = stop
 
 
 def _count_grams(order: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        many = 0
         for part in parts:
-            groups: dict[tuple, list[np.ndarray]] = {}
-            held = 0
-            for language, fold, text in zip(part.column(0).to_pylist(),
-                                            part.column(1).to_pylist(), part.column(2),
-                                            strict=True):
-                groups.setdefault((language, fold), []).append(grams(text.as_py(), order))
-                held += len(groups[language, fold][-1])
-                if held >= GRAMS_AT_ONCE:
-                    yield from _tallied(groups)
-                    groups, held = {}, 0
-            yield from _tallied(groups)
+            by: dict[int, list[bytes]] = {}
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                by.setdefault(lang, []).append(text.as_py())
+            for lang, texts in by.items():
+                for at, stop in _slices(texts):
+                    found = np.unique(grams_of(texts[at:stop], order)[0], return_counts=True)
+                    held.setdefault(lang, []).append(found)
+                    many += len(found[0])
+                    # Counts of a task's texts are combined before any leave it.
+                    if many > 4 * GRAMS_AT_ONCE:
+                        held = {k: [_combined(v)] for k, v in held.items()}
+                        many = sum(len(v[0][0]) for v in held.values())
+                        if many > 2 * GRAMS_AT_ONCE:
+                            yield from _tallied(held)
+                            held, many = {}, 0
+        yield from _tallied({k: [_combined(v)] for k, v in held.items()})
     return run
 
 
-def _tallied(groups: dict[tuple, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for (language, fold), found in groups.items():
-        values, counts = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([language] * len(values), pa.string()),
-             pa.array(np.full(len(values), fold, np.int32)),
-             pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
-            ["language", "part", "gram", "n"])
+def _combined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    values, where = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
+    counts = np.bincount(where, np.concatenate([n for _, n in found]), len(values))
+    return values, counts.astype(np.int64)
 
 
-def _model(part: Column) -> Column:
-    """Names the model that scores a part of a language's segments."""
-    return F.concat(part.cast("string"), F.lit(":"), F.col("language"))
-
-
-def _seen_by_models(counted: DataFrame, folds: int) -> DataFrame:
-    """``language`` (and model), ``gram, n, uses`` from a gram's counts ``n0, n1, ...`` in the
-    parts, the last of which is not trusted: ``n`` is the count that a model learns from,
-    null for none, ``uses`` how often the model is asked for the gram."""
-    everything = sum((F.col(f"n{i}") for i in range(1, folds)), F.col("n0"))
-    models = F.array(*[F.struct(
-        F.lit(i).alias("part"), F.nullif(everything - F.col(f"n{i}") if i < folds else everything,
-                                         F.lit(0)).alias("n"), F.col(f"n{i}").alias("uses"))
-        for i in range(folds + 1)])
-    return (counted.select("language", "gram", F.explode(models).alias("_m"))
-            .where(F.col("_m.n").isNotNull() | (F.col("_m.uses") > 0))
-            .select(_model(F.col("_m.part")).alias("language"), "gram", "_m.n", "_m.uses"))
+def _tallied(held: dict) -> Iterator[pa.RecordBatch]:
+    for lang, found in held.items():
+        for values, counts in found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(values), lang, np.int64)), pa.array(values.astype(np.int64)),
+                 pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+
+
+# -- the model ---------------------------------------------------------------------------------
+
+@dataclass
+class GramModel:
+    """Per order: ``seen`` (``lang, gram, n, p``), the probability of grams that were counted,
+    and ``spread`` (``lang, context, weight``), what a context gives to the order below."""
+
+    order: int
+    seen: dict[int, DataFrame]
+    spread: dict[int, DataFrame]
+
+    def entries(self) -> DataFrame:
+        """``key, value``: logarithms by the hash of language, kind and gram or context."""
+        out = None
+        for k in range(1, self.order + 1):
+            for kind, table, gram, value in ((2 * k, self.seen[k], "gram", "p"),
+                                             (2 * k + 1, self.spread[k], "context", "weight")):
+                rows = table.select(_key(kind, gram).alias("key"), F.log(value).alias("value"))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def prices(self, asked: DataFrame) -> DataFrame:
+        """``lang, gram, logp`` of distinct grams asked for, seen or not: order by order, from
+        the bytes' equal chances up.  A context never seen passes its order by."""
+        below = None
+        for k in range(1, self.order + 1):
+            kinds = asked if k == self.order else asked.select(
+                "lang", _suffix(k).alias("gram")).distinct()
+            rows = (kinds.withColumn("context", _context(k))
+                    .join(self.seen[k].select("lang", "gram", "p"), ["lang", "gram"], "left")
+                    .join(self.spread[k], ["lang", "context"], "left"))
+            if below is None:
+                rows = rows.withColumn("lower", F.lit(1 / 256))
+            else:
+                rows = rows.withColumn("_suffix", _suffix(k - 1)).join(below.select(
+                    "lang", F.col("gram").alias("_suffix"), F.col("p").alias("lower")),
+                    ["lang", "_suffix"])
+            below = cut(rows.select("lang", "gram", F.coalesce(
+                "p", F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p")))
+        return below.select("lang", "gram", F.log("p").alias("logp"))
+
+
+def _key(kind: int, gram: str) -> Column:
+    return F.xxhash64(F.col("lang"), F.lit(kind).cast("bigint"), F.col(gram))
 
 
 def _suffix(order: int, gram: str = "gram") -> Column:
@@ -148,61 +221,49 @@ def _suffix(order: int, gram: str = "gram") -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-def gram_probabilities(seen: DataFrame, order: int = ORDER) -> DataFrame:
-    """``language, gram, logp`` of all grams of ``seen`` (``language, gram, n``; ``n`` is
-    the trusted count, null for grams found elsewhere only), or of those with ``uses``, if it
-    has that column.
+def _context(order: int) -> Column:
+    return F.shiftright("gram", 8) if order > 1 else F.lit(0).cast("bigint")
+
+
+def gram_model(counts: DataFrame, order: int = ORDER) -> GramModel:
+    """Interpolated, modified Kneser-Ney from ``lang, gram, n``.
 
     Of the highest order raw counts are used, below it the number of distinct bytes that
     precede a gram.  Each order subtracts the three Kneser-Ney discounts, estimated per
     language and order from its counts of counts, and gives what they free, per context, to
-    the order below; below one byte all bytes are equally likely.  A context never seen
-    passes its order by.  Languages without trusted grams have no rows.
+    the order below; below one byte all bytes are equally likely.
     """
-    counts = {order: cut(seen.where(F.col("n") > 0))}
-    asked = seen.where("uses > 0") if "uses" in seen.columns else seen
-    kinds = {order: asked.select("language", "gram")}
+    of = {order: cut(counts)}
     for k in range(order - 1, 0, -1):
-        lower = counts[k + 1].select("language", _suffix(k).alias("gram"))
-        counts[k] = cut(lower.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n")))
-        kinds[k] = kinds[k + 1].select("language", _suffix(k).alias("gram")).distinct()
-    known = _small(counts[1].select("language").distinct())
-    below = None
+        of[k] = cut(of[k + 1].select("lang", _suffix(k).alias("gram")).groupBy(
+            "lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    seen, spread = {}, {}
     for k in range(1, order + 1):
-        held = counts[k].join(_small(_discounts(counts[k])), "language")
-        context = F.shiftright("gram", 8) if k > 1 else F.lit(0).cast("bigint")
         discount = F.when(F.col("n") == 1, F.col("d1")).when(
             F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        held = held.withColumn("context", context).withColumn("freed", F.least(
-            discount, F.col("n").cast("double")))
-        spread = held.groupBy("language", "context").agg(
+        held = of[k].join(_small(_discounts(of[k])), "lang").select(
+            "lang", "gram", "n", _context(k).alias("context"),
+            F.least(discount, F.col("n").cast("double")).alias("freed"))
+        whole = held.groupBy("lang", "context").agg(
             F.sum("n").alias("total"), F.sum("freed").alias("freed_all"))
-        own = held.select("language", "gram", (F.col("n") - F.col("freed")).alias("own"))
-        asked = kinds[k].join(known, "language", "left_semi").withColumn("context", context)
-        asked = (asked.join(own, ["language", "gram"], "left")
-                 .join(spread, ["language", "context"], "left"))
-        if below is None:
-            base = asked.withColumn("lower", F.lit(1 / 256))
+        spread[k] = cut(whole.select("lang", "context", "total", (
+            F.col("freed_all") / F.col("total")).alias("weight")))
+        rows = held.join(spread[k], ["lang", "context"])
+        if k == 1:
+            rows = rows.withColumn("lower", F.lit(1 / 256))
         else:
-            base = asked.withColumn("_suffix", _suffix(k - 1)).join(
-                below.select("language", F.col("gram").alias("_suffix"),
-                             F.col("p").alias("lower")), ["language", "_suffix"])
-        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(
-            (F.coalesce("own", F.lit(0.0)) + F.col("freed_all") * F.col("lower"))
-            / F.col("total"))
-        below = cut(base.select("language", "gram", p.alias("p")))
-    return below.select("language", "gram", F.log("p").alias("logp"))
-
-
-def _small(by_language: DataFrame) -> DataFrame:
-    """A table of one row per language, sent to all tasks unless there are too many."""
-    table = cut(by_language)
-    return F.broadcast(table) if at_most(table, BROADCAST_LANGUAGES) else table
+            rows = rows.withColumn("_suffix", _suffix(k - 1)).join(seen[k - 1].select(
+                "lang", F.col("gram").alias("_suffix"), F.col("p").alias("lower")),
+                ["lang", "_suffix"])
+        p = (F.col("n") - F.col("freed")) / F.col("total") + F.col("weight") * F.col("lower")
+        seen[k] = cut(rows.select("lang", "gram", "n", p.alias("p")))
+        spread[k] = spread[k].drop("total")
+    return GramModel(order, seen, spread)
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
     """Discounts of counts of one, two, and three or more, per language."""
-    of = counts.groupBy("language").agg(*[
+    of = counts.groupBy("lang").agg(*[
         F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
     y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
 
@@ -211,47 +272,134 @@ def _discounts(counts: DataFrame) -> DataFrame:
         # Small samples may lack a count; half of it is then subtracted.
         return F.greatest(F.lit(0.05), F.least(F.coalesce(raw, F.lit(i / 2)), F.lit(i - 0.05)))
 
-    return of.select("language", *[amount(i).alias(f"d{i}") for i in (1, 2, 3)])
-
-
-def _scored(rows: DataFrame, seen: DataFrame, priced: DataFrame, order: int,
-            most: int) -> DataFrame:
-    """``sequence_id, language, total`` (log-probability) and ``bytes`` of every row."""
-    spark = rows.sparkSession
-    kind = rows.schema["sequence_id"].dataType.simpleString()
-    known = _small(seen.where("n > 0").select(F.col("language").alias("_known")).distinct())
-    keyed = rows.join(known, rows["model"] == F.col("_known"), "left").select(
-        "sequence_id", "language", F.col("_known").alias("model"),
-        F.xxhash64("text").alias("version"), "text")
-    least = _least_uses(seen, most)
-    often = seen.where(F.col("uses") >= least).select("language", "gram")
-    table = priced.join(often, ["language", "gram"], "left_semi").orderBy(
-        "language", "gram").toArrow()
-    shared = spark.sparkContext.broadcast(_by_language(table))
-    # One row per text with what its frequent grams give, and one per other gram of it.
-    found = cut(keyed.mapInArrow(_add_up(shared, order), (
-        f"sequence_id {kind}, language string, model string, version bigint, total double, "
-        "bytes bigint, gram bigint, n bigint")))
-    heads = found.where(F.col("gram").isNull()).drop("gram", "n")
-    rest = found.where(F.col("gram").isNotNull()).alias("r").join(
-        priced.alias("p"), (F.col("r.model") == F.col("p.language"))
-        & (F.col("r.gram") == F.col("p.gram"))).select(
-        "sequence_id", "r.language", "r.model", "version",
-        (F.col("n") * F.col("logp")).alias("total"), F.lit(None).cast("bigint").alias("bytes"))
-    sums = heads.unionByName(rest).groupBy("sequence_id", "language", "model", "version").agg(
-        F.sum("total").alias("total"), F.max("bytes").alias("bytes"),
-        F.count("bytes").cast("int").alias("n"))
-    # Rows that are equal in all were added up together and are told apart by their number.
-    return sums.select("sequence_id", "language", (F.col("total") / F.col("n")).alias("total"),
-                       "bytes", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")
-                       ).drop("_copy")
-
-
-def _least_uses(seen: DataFrame, most: int) -> int:
-    """The least power of two that at most ``most`` grams are used so often."""
-    level = F.floor(F.log2(F.col("uses").cast("double"))).cast("int")
-    sizes = {r["level"]: r["n"] for r in seen.where("uses > 0").groupBy(level.alias("level"))
-             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    return of.select("lang", *[amount(i).alias(f"d{i}") for i in (1, 2, 3)])
+
+
+# -- entries in a task -------------------------------------------------------------------------
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
+    0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashed(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of longs, as the SQL function has it; a hash is the next column's seed."""
+    h = seed.astype(np.uint64) + _P5 + np.uint64(8)
+    h = h ^ (_turned(values.astype(np.uint64) * _P2, 31) * _P1)
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+class Entries:
+    """Values by 64-bit key, in open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys) * 1.4).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size)
+        keys = np.maximum(keys.view(np.uint64), np.uint64(1))
+        slot = self._home(keys)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            here = self.keys[slot] == keys
+            self.values[slot[here]] = values[here]
+            keys, values, slot = keys[~here], values[~here], (slot[~here] + 1) & (size - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and their values (0 for the others)."""
+        keys = np.maximum(keys, np.uint64(1))
+        slot = self._home(keys)
+        there = self.keys[slot]
+        found = there == keys
+        values = np.where(found, self.values[slot], 0.0)
+        left = np.flatnonzero(~found & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            found[left[hit]] = True
+            values[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there != 0)]
+        return found, values
+
+
+def _priced(entries: Entries, lang: np.ndarray, gram: np.ndarray, order: int, whole: bool
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of grams, and which of them are known: all if the entries are the
+    ``whole`` model, else those of the highest order that are there."""
+    def key(kind: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        first = hashed(lang[at], np.full(len(at), 42, np.uint64))
+        return hashed(values, hashed(np.full(len(at), kind), first))
+
+    total, left = np.zeros(len(gram)), np.arange(len(gram))
+    for k in range(order, 0, -1):
+        values = gram[left] & np.uint64((1 << 8 * k) - 1)
+        found, value = entries.get(key(2 * k, left, values))
+        total[left] += value
+        left, values = left[~found], values[~found]
+        if not whole:
+            known = np.ones(len(gram), bool)
+            known[left] = False
+            return total, known
+        total[left] += entries.get(key(2 * k + 1, left, values >> np.uint64(8)))[1]
+    total[left] -= np.log(256)
+    return total, np.ones(len(gram), bool)
+
+
+# -- scores ------------------------------------------------------------------------------------
+
+_HEAD = ["row", "sequence_id", "language", "role", "bytes", "total"]
+
+
+def _scored(asked: DataFrame, model: GramModel, order: int, local_entries: int,
+            shard_grams: int) -> DataFrame:
+    """``sequence_id, language, role, total`` (log-probability) and ``bytes`` of every row."""
+    spark = asked.sparkSession
+    kind = asked.schema["sequence_id"].dataType.simpleString()
+    entries = model.entries()
+    whole = at_most(entries, local_entries)
+    if not whole:
+        entries = model.seen[order].where(F.col("n") >= _least_count(
+            model.seen[order], local_entries)).select(
+            _key(2 * order, "gram").alias("key"), F.log("p").alias("value"))
+    table = entries.toArrow()
+    local = spark.sparkContext.broadcast(Entries(
+        table.column("key").to_numpy(), table.column("value").to_numpy()))
+    del table
+    shards = 1 if whole else max(1, -(-model.seen[order].count() // shard_grams))
+    found = asked.mapInArrow(_score(local, order, whole, shards), (
+        f"row bigint, sequence_id {kind}, language string, role int, bytes bigint, "
+        "total double, lang bigint, shard int, grams array<bigint>, counts array<int>"))
+    if whole:
+        return found.select(*_HEAD)
+    # A row's head, and one row per shard that it has grams of.
+    found = cut(found)
+    rest = found.where(F.col("shard").isNotNull()).select("row", "lang", "shard", "grams", "counts")
+    one = rest.select("lang", F.explode("grams").alias("gram")).distinct()
+    price = model.prices(cut(one)).select(
+        F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard"), "lang", "gram", "logp")
+    sums = _by_shard(price, rest).groupBy("row").agg(F.sum("total").alias("more"))
+    heads = found.where(F.col("shard").isNull()).select(*_HEAD)
+    return heads.join(sums, "row", "left").withColumn(
+        "total", F.col("total") + F.coalesce("more", F.lit(0.0))).select(*_HEAD)
+
+
+def _least_count(seen: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` grams are counted so often."""
+    level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = {r["level"]: r["n"] for r in seen.groupBy(level.alias("level")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
     least, total = 63, 0
     for at in range(62, -1, -1):
         total += sizes.get(at, 0)
@@ -261,56 +409,94 @@ def _least_uses(seen: DataFrame, most: int) -> int:
     return (1 << least) - (least == 63)
 
 
-def _by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    languages = np.array(table.column("language").to_pylist(), object)
-    values, logs = (table.column(c).to_numpy() for c in ("gram", "logp"))
-    starts = np.flatnonzero(np.concatenate(([True], languages[1:] != languages[:-1]))[
-        :len(languages)])
-    stops = np.concatenate((starts[1:], [len(languages)]))
-    return {languages[a]: (values[a:b], logs[a:b])
-            for a, b in zip(starts.tolist(), stops.tolist(), strict=False)}
-
-
-def _add_up(shared, order: int):
-    nothing = np.array([-1]), np.zeros(1)
-
+def _score(local, order: int, whole: bool, shards: int):
+    """One row per text: the logarithms of the grams that the task knows.  Of others, rows of
+    its distinct grams and their numbers, by shard."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+        entries, number = local.value, TaskContext.get().partitionId() << 40
         for part in parts:
-            totals, sizes, rest, held = [], [], [], 0
-            at_row: list[np.ndarray] = []
-            for i, (model, text) in enumerate(zip(part.column(2).to_pylist(), part.column(4),
-                                                  strict=True)):
-                data = text.as_py()
-                sizes.append(len(data))
-                if model is None or not data:
-                    totals.append(None)
-                    continue
-                keys, logs = tables.get(model, nothing)
-                asked, n = np.unique(grams(data, order).astype(np.int64), return_counts=True)
-                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                hit = keys[at] == asked
-                totals.append(float((n[hit] * logs[at[hit]]).sum()))
-                rest.append(np.stack((asked[~hit], n[~hit])))
-                at_row.append(np.full(rest[-1].shape[1], i))
-                held += len(at_row[-1])
-                if held >= GRAMS_AT_ONCE:
-                    yield _others(part, at_row, rest)
-                    rest, at_row, held = [], [], 0
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:4], pa.array(totals, pa.float64()), pa.array(sizes, pa.int64()),
-                 pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64())], NAMES)
-            if held:
-                yield _others(part, at_row, rest)
+            texts = part.column(4).to_pylist()
+            langs = part.column(3).to_pylist()
+            for at, stop in _slices(texts):
+                some = part.slice(at, stop - at)
+                spoken = [t if lang is not None else b"" for t, lang in
+                          zip(texts[at:stop], langs[at:stop], strict=True)]
+                gram, sizes = grams_of(spoken, order)
+                owner = np.repeat(np.arange(len(spoken)), sizes)
+                lang = np.array([x or 0 for x in langs[at:stop]], np.int64)
+                total, known = _priced(entries, lang[owner], gram, order, whole)
+                sums = np.bincount(owner, total, len(spoken))
+                rows = np.arange(number, number + len(spoken))
+                number += len(spoken)
+                none = np.array([x is None for x in langs[at:stop]])
+                nothing = pa.nulls(len(spoken))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows), *some.columns[:3],
+                     pa.array([len(t) for t in texts[at:stop]], pa.int64()),
+                     pa.array(sums, mask=none), some.column(3), nothing.cast(pa.int32()),
+                     nothing.cast(pa.list_(pa.int64())), nothing.cast(pa.list_(pa.int32()))],
+                    [*_HEAD, "lang", "shard", "grams", "counts"])
+                if not known.all():
+                    yield _unknown(some, rows, lang, owner[~known], gram[~known], shards)
     return run
 
 
-NAMES = ["sequence_id", "language", "model", "version", "total", "bytes", "gram", "n"]
+def _unknown(some: pa.RecordBatch, rows: np.ndarray, lang: np.ndarray, owner: np.ndarray,
+             gram: np.ndarray, shards: int) -> pa.RecordBatch:
+    order = np.lexsort((gram, owner))
+    owner, gram = owner[order], gram[order]
+    at = np.flatnonzero(np.concatenate((
+        [True], (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1]))))
+    owner, gram, counts = owner[at], gram[at], np.diff(np.append(at, len(gram)))
+    place = hashed(gram, np.full(len(gram), 42, np.uint64)).view(np.int64) % shards
+    order = np.lexsort((place, owner))
+    owner, gram, counts, place = owner[order], gram[order], counts[order], place[order]
+    at = np.flatnonzero(np.concatenate((
+        [True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1]))))
+    edges = pa.array(np.append(at, len(gram)), pa.int32())
+    who, empty = owner[at], pa.nulls(len(at))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[who]), some.column(0).take(pa.array(who)), some.column(1).take(pa.array(who)),
+         some.column(2).take(pa.array(who)), empty.cast(pa.int64()), empty.cast(pa.float64()),
+         pa.array(lang[who]), pa.array(place[at].astype(np.int32)),
+         pa.ListArray.from_arrays(edges, pa.array(gram.astype(np.int64))),
+         pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32)))],
+        [*_HEAD, "lang", "shard", "grams", "counts"])
 
 
-def _others(part: pa.RecordBatch, at_row: list[np.ndarray], rest: list[np.ndarray]
-            ) -> pa.RecordBatch:
-    rows, (values, counts) = pa.array(np.concatenate(at_row)), np.concatenate(rest, axis=1)
-    return pa.RecordBatch.from_arrays(
-        [*[c.take(rows) for c in part.columns[:4]], pa.nulls(len(rows), pa.float64()),
-         pa.nulls(len(rows), pa.int64()), pa.array(values), pa.array(counts)], NAMES)
+def _by_shard(price: DataFrame, rest: DataFrame) -> DataFrame:
+    """``row, total``: the rows' grams of a shard against its prices, which come first."""
+    both = price.select("shard", F.lit(0).alias("kind"), "lang", "gram", "logp").unionByName(
+        rest.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    laid = both.repartition("shard").sortWithinPartitions("shard", "kind").select(
+        "shard", "kind", "lang", "gram", "logp", "row", "grams", "counts")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, entries, keys, logs = None, None, [], []
+        for part in parts:
+            shard, kind = (part.column(i).to_numpy() for i in (0, 1))
+            edges = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)], strict=True):
+                if a == b:
+                    continue
+                if shard[a] != now:
+                    now, entries, keys, logs = shard[a], None, [], []
+                some = part.slice(a, b - a)
+                lang = some.column(2).to_numpy().astype(np.int64)
+                if kind[a] == 0:
+                    gram = some.column(3).to_numpy().astype(np.int64)
+                    keys.append(hashed(gram, hashed(lang, np.full(len(lang), 42, np.uint64))))
+                    logs.append(some.column(4).to_numpy())
+                    continue
+                if entries is None:
+                    entries = Entries(np.concatenate([*keys, np.zeros(0, np.uint64)]),
+                                      np.concatenate([*logs, np.zeros(0)]))
+                gram = some.column(6).flatten().to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(some)), np.diff(some.column(6).offsets.to_numpy()))
+                key = hashed(gram, hashed(lang[owner], np.full(len(owner), 42, np.uint64)))
+                value = entries.get(key)[1] * some.column(7).flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(5), pa.array(np.bincount(owner, value, len(some)))],
+                    ["row", "total"])
+
+    return laid.mapInArrow(run, "row bigint, total double")

@@ -425,60 +425,111 @@ def plain_probability(counts, order, vocabulary=256):
 
 
 def test_gram_probabilities(spark):
-    from talkmill.llm.fluency import gram_probabilities
+    """Joined prices and those that a task works out by itself, against the definition."""
+    from talkmill.llm import fluency as Y
 
     rnd = random.Random(8)
     text = bytes(rnd.choices(b"aab", k=60)) + b"abcabd"
     counts = Counter(text[i:i + 3] for i in range(len(text) - 2))
-    asked = {bytes(g): counts.get(bytes(g)) for g in
-             ([97, 97, 97], [99, 99, 99], [122, 97, 98], [97, 122, 97], *map(list, counts))}
-    seen = spark.createDataFrame([("x", int.from_bytes(g, "big"), n) for g, n in asked.items()]
-                                 + [("y", 1, None)], "language string, gram bigint, n bigint")
+    asked = [bytes(g) for g in ([97, 97, 97], [99, 99, 99], [122, 97, 98], [97, 122, 97],
+                                *map(list, counts))]
+    asked = list(dict.fromkeys(asked))
+    number = {g: int.from_bytes(g, "big") for g in [*asked, *counts]}
+    model = Y.gram_model(spark.createDataFrame(
+        [(5, number[g], n) for g, n in counts.items()], "lang bigint, gram bigint, n bigint"), 3)
     p = plain_probability(counts, 3)
-    got = {r["gram"]: r["logp"] for r in gram_probabilities(seen, 3).collect()}
-    assert got == {int.from_bytes(g, "big"): pytest.approx(np.log(p(g))) for g in asked}
+    want = {number[g]: pytest.approx(np.log(p(g))) for g in asked}
+    got = model.prices(spark.createDataFrame([(5, number[g]) for g in asked],
+                                             "lang bigint, gram bigint"))
+    assert {r["gram"]: r["logp"] for r in got.collect()} == want
+    table = model.entries().toArrow()
+    entries = Y.Entries(table.column("key").to_numpy(), table.column("value").to_numpy())
+    grams = np.array([number[g] for g in asked], np.uint64)
+    logs, known = Y._priced(entries, np.full(len(grams), 5), grams, 3, True)
+    assert known.all() and dict(zip(grams.tolist(), logs.tolist(), strict=True)) == want
 
 
-@pytest.mark.parametrize("shard", [2_000_000, 40])
-def test_fluency(spark, shard):
+def test_grams_end_at_every_byte():
+    from talkmill.llm.fluency import grams_of
+
+    texts = [b"", b"a", b"abcdefgh", b"", bytes([255] * 7), b"xy", b""]
+    found, sizes = grams_of(texts, 6)
+    want = [int.from_bytes((bytes(5) + t)[i:i + 6], "big") for t in texts for i in range(len(t))]
+    assert found.tolist() == want and sizes.tolist() == [len(t) for t in texts]
+    assert grams_of([], 6)[0].tolist() == [] and grams_of([b""], 6)[0].tolist() == []
+
+
+def test_entries_hold_every_key():
+    from talkmill.llm.fluency import Entries
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate((rng.integers(0, 2**63, 5000), [0, 7], np.arange(90) << 57)))
+    entries = Entries(keys, np.arange(len(keys), dtype=float))
+    found, values = entries.get(keys.view(np.uint64))
+    assert found.all() and values.tolist() == list(range(len(keys)))
+    missing = np.setdiff1d(rng.integers(0, 2**63, 5000), keys).view(np.uint64)
+    found, values = entries.get(missing)
+    assert not found.any() and not values.any()
+
+
+#: The whole model in every task; a part of it; nothing of it, and several shards.
+PLACES = [{}, {"local_entries": 40, "shard_grams": 50}, {"local_entries": 0, "shard_grams": 7}]
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_fluency(spark, place):
+    """Every perplexity against the definition, from what is held out to the thresholds."""
     from talkmill.llm.fluency import judge_fluency
 
     rnd = random.Random(6)
     words = "the and of that with have this from they which".split()
-    rows = [(i, "s", " ".join(rnd.choices(words, k=30)), "en") for i in range(60)]
+    rows = [(i, "s", " ".join(rnd.choices(words, k=12)), "en") for i in range(60)]
     rows += [(100, "s", "QXJ ZZV!! KQ#% WVX 0x99 " * 5, "en"), (101, "s", None, "en"),
              (102, "s", "no trusted text here", "fr"), (103, "s", "nor here", None),
              (104, "s", "the and of", "en"), (104, "s", "the and of", "en")]
-    trusted = spark.createDataFrame([(i, "x") for i in range(0, 60, 2)],
-                                    "sequence_id bigint, text string")
-    found = judge_fluency(edge_segments(spark, rows), trusted, shard_grams=shard).collect()
+    rows += [(i, "s", "und die den " + "der " * (i % 5), "de") for i in range(200, 212)]
+    trusted = [*range(0, 60, 2), *range(200, 208)]
+    segments = edge_segments(spark, rows)
+    names = spark.createDataFrame([(i, "x") for i in trusted], "sequence_id bigint, text string")
+    found = judge_fluency(segments, names, order=4, **place).collect()
     assert len(found) == len(rows)
+    unseen = {r["sequence_id"] for r in names.where("pmod(xxhash64(sequence_id), 4) = 0").collect()}
+    assert unseen & set(range(60)) and set(trusted) - unseen
+    for language in ("en", "de"):
+        mine = {i: (t or "").encode() for i, _, t, tag in rows if tag == language}
+        counts = Counter()
+        for i in set(trusted) - unseen:
+            data = bytes(3) + mine.get(i, b"")
+            counts.update(data[k:k + 4] for k in range(len(data) - 3))
+        p = plain_probability(counts, 4)
+        want = {}
+        for i, data in mine.items():
+            logs = [np.log(p((bytes(3) + data)[k:k + 4])) for k in range(len(data))]
+            want[i] = float(np.exp(-np.mean(logs))) if logs else None
+        got = {r["sequence_id"]: r["perplexity"] for r in found if r["language"] == language}
+        assert got == {i: v if v is None else pytest.approx(v) for i, v in want.items()}
+        held = [want[i] for i in mine if i in unseen] or [want[i] for i in mine if i in trusted]
+        limit = np.quantile(held, 0.99)
+        for r in found:
+            if r["language"] == language:
+                assert r["threshold"] == pytest.approx(limit)
+                assert r["kept"] == (r["perplexity"] is None or r["perplexity"] <= r["threshold"])
     by = {r["sequence_id"]: r for r in found}
     assert not by[100]["kept"] and by[100]["perplexity"] > 3 * by[100]["threshold"]
-    assert sum(by[i]["kept"] for i in range(60)) >= 58
     assert by[101]["perplexity"] is None and by[102]["perplexity"] is None
     assert by[101]["kept"] and by[102]["kept"] and by[103]["kept"]
-    assert judge_fluency(empty(spark), trusted).count() == 0
-    nobody = judge_fluency(edge_segments(spark, rows), trusted.where("false"))
-    assert nobody.where("kept").count() == len(rows)
 
 
-def test_fluency_thresholds_are_quantiles_of_unseen_text(spark):
+@pytest.mark.parametrize("place", PLACES[::2])
+def test_fluency_of_nothing(spark, place):
     from talkmill.llm.fluency import judge_fluency
 
-    rnd = random.Random(9)
-    words = "the and of that with have this from they which".split()
-    rows = [(i, "s", " ".join(rnd.choices(words, k=30)), "en") for i in range(80)]
-    odd = "QXJ ZZV KQJ WVX ZXQ JVK " * 3
-    rows += [(200, "s", odd, "en"), (201, "s", odd + "ZZV", "en")]
-    trusted = spark.createDataFrame([(i, "x") for i in [*range(0, 80, 2), 200]],
-                                    "sequence_id bigint, text string")
-    by = {r["sequence_id"]: r for r in
-          judge_fluency(edge_segments(spark, rows), trusted).collect()}
-    good = [by[i]["perplexity"] for i in [*range(0, 80, 2), 200]]
-    assert by[0]["threshold"] == pytest.approx(np.quantile(good, 0.99))
-    # The model of the one trusted segment of its kind has not seen it.
-    assert by[200]["perplexity"] > 3 * by[201]["perplexity"] and not by[200]["kept"]
+    rows = [(1, "s", "some text", "en"), (2, "s", "", "de"), (3, "s", None, None)]
+    names = spark.createDataFrame([(1,), (2,)], "sequence_id bigint")
+    assert judge_fluency(empty(spark), names, **place).count() == 0
+    nobody = judge_fluency(edge_segments(spark, rows), names.where("false"), **place)
+    assert nobody.where("kept").count() == len(rows)
+    assert judge_fluency(edge_segments(spark), names, **place).count() == edge_segments(spark).count()
 
 
 def test_fluency_sees_whole_words(spark):
