@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.common import at_most
 from talkmill.operators import quantiles
-from talkmill.session import cut
+from talkmill.session import cut, discard, shared_folder
 
 #: Bytes of a gram; every byte is predicted from the ORDER - 1 bytes before it.
 ORDER = 6
-#: Share of the held-out trusted segments that each language's threshold lets pass.
+#: Share of the held-out trusted segments that each of a language's two thresholds lets pass.
 QUANTILE = 0.99
+#: Nats beyond which a byte is a surprise.
+SURPRISE = 6.0
 #: One in so many trusted segments is held out of the model, for the threshold.
 HELD_OUT = 4
 #: Entries of the model that go to every task; a larger model is joined by gram.
@@ -42,11 +45,13 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
 
     Reads ``sequence_id, text, language`` of ``segments`` and ``sequence_id`` of ``trusted``.
     Returns one row per row read: ``sequence_id, language, perplexity`` (per byte),
-    ``threshold`` (the language's quantile of trusted perplexities) and ``kept`` (not above
-    it).
+    ``threshold`` (the language's quantile of trusted perplexities), ``surprise``,
+    ``surprise_threshold`` (its quantile) and ``kept`` (above neither).  ``surprise`` is what
+    bytes cost beyond ``SURPRISE`` nats, over the root of the number of bytes: a few strange
+    words hardly move a mean over a long text, but they do that.
 
     One in ``held_out`` trusted segments, by hash of their ids, is not learned from: their
-    perplexities are those of unseen trusted text and give the threshold.  (A language
+    perplexities are those of unseen trusted text and give the thresholds.  (A language
     without any takes all its trusted segments for it.)  All segments are scored by the one
     model of the others.
 
@@ -56,7 +61,8 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
     to ``local_entries`` entries goes to every task, which then prices texts by itself.  Of a
     larger one only the most frequent grams do; what a text holds beside them comes out as
     arrays per text and shard of grams, is priced once per distinct gram by joins with the
-    model, and is summed up shard by shard.
+    model, and is summed up shard by shard.  The tables lie in the shared folder until all
+    texts are scored.
 
     A missing language is a language of its own.  A language without learned text, or a text
     without bytes, has no perplexity, hence nothing against it, and stays.  Null text counts
@@ -74,24 +80,30 @@ def judge_fluency(segments: DataFrame, trusted: DataFrame, order: int = ORDER,
     counts = learned.select(F.xxhash64("language").alias("lang"), "text").mapInArrow(
         _count_grams(order), "lang bigint, gram bigint, n bigint").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
-    model = gram_model(counts, order)
+    folder = f"{shared_folder(segments.sparkSession)}/models/{uuid.uuid4().hex}"
+    model = gram_model(counts, order, folder)
     known = _small(model.seen[1].select(F.col("lang").alias("_known")).distinct())
     asked = marked.join(known, marked["lang"] == F.col("_known"), "left").select(
         "sequence_id", "language", "role", F.col("_known").alias("lang"), "text")
+    spoken = (F.col("bytes") > 0) & F.col("total").isNotNull()
     judged = cut(_scored(asked, model, order, local_entries, shard_grams).select(
-        "sequence_id", "language", "role", F.when(
-            (F.col("bytes") > 0) & F.col("total").isNotNull(),
-            F.exp(-F.col("total") / F.col("bytes"))).alias("perplexity")))
+        "sequence_id", "language", "role",
+        F.when(spoken, F.exp(-F.col("total") / F.nullif("bytes", F.lit(0)))).alias("perplexity"),
+        F.when(spoken, F.col("beyond") / F.sqrt(F.nullif("bytes", F.lit(0)))).alias("surprise")))
+    discard(segments.sparkSession, folder)
     good = judged.where((F.col("role") != OTHER) & F.col("perplexity").isNotNull())
     unseen = good.where(F.col("role") == UNSEEN)
     without = good.join(_small(unseen.select("language").distinct()), "language", "left_anti")
-    limits = quantiles.linear(unseen.unionByName(without), ["language"], "perplexity",
-                              ROWS_PER_SORT, limit=quantile)
-    limits = limits.select(F.col("language").alias("_language"),
-                           F.col("limit").alias("threshold"))
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    basis = unseen.unionByName(without)
+    limits = [quantiles.linear(basis, ["language"], value, ROWS_PER_SORT, limit=quantile).select(
+        F.col("language").alias("_language"), F.col("limit").alias(name))
+        for value, name in (("perplexity", "threshold"), ("surprise", "surprise_threshold"))]
+    limits = limits[0].join(limits[1], "_language")
+    kept = F.coalesce((F.col("perplexity") <= F.col("threshold"))
+                      & (F.col("surprise") <= F.col("surprise_threshold")), F.lit(True))
     return judged.join(limits, F.col("language") == F.col("_language"), "left").select(
-        "sequence_id", "language", "perplexity", "threshold", kept.alias("kept"))
+        "sequence_id", "language", "perplexity", "threshold", "surprise", "surprise_threshold",
+        kept.alias("kept"))
 
 
 def _small(by_language: DataFrame) -> DataFrame:
@@ -225,18 +237,24 @@ def _context(order: int) -> Column:
     return F.shiftright("gram", 8) if order > 1 else F.lit(0).cast("bigint")
 
 
-def gram_model(counts: DataFrame, order: int = ORDER) -> GramModel:
-    """Interpolated, modified Kneser-Ney from ``lang, gram, n``.
+def gram_model(counts: DataFrame, order: int, folder: str) -> GramModel:
+    """Interpolated, modified Kneser-Ney from ``lang, gram, n``, as tables in ``folder``.
 
     Of the highest order raw counts are used, below it the number of distinct bytes that
     precede a gram.  Each order subtracts the three Kneser-Ney discounts, estimated per
     language and order from its counts of counts, and gives what they free, per context, to
     the order below; below one byte all bytes are equally likely.
     """
-    of = {order: cut(counts)}
+    spark = counts.sparkSession
+
+    def saved(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    of = {order: saved(counts, f"counts{order}")}
     for k in range(order - 1, 0, -1):
-        of[k] = cut(of[k + 1].select("lang", _suffix(k).alias("gram")).groupBy(
-            "lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+        of[k] = saved(of[k + 1].select("lang", _suffix(k).alias("gram")).groupBy(
+            "lang", "gram").agg(F.count(F.lit(1)).alias("n")), f"counts{k}")
     seen, spread = {}, {}
     for k in range(1, order + 1):
         discount = F.when(F.col("n") == 1, F.col("d1")).when(
@@ -246,8 +264,8 @@ def gram_model(counts: DataFrame, order: int = ORDER) -> GramModel:
             F.least(discount, F.col("n").cast("double")).alias("freed"))
         whole = held.groupBy("lang", "context").agg(
             F.sum("n").alias("total"), F.sum("freed").alias("freed_all"))
-        spread[k] = cut(whole.select("lang", "context", "total", (
-            F.col("freed_all") / F.col("total")).alias("weight")))
+        spread[k] = saved(whole.select("lang", "context", "total", (
+            F.col("freed_all") / F.col("total")).alias("weight")), f"spread{k}")
         rows = held.join(spread[k], ["lang", "context"])
         if k == 1:
             rows = rows.withColumn("lower", F.lit(1 / 256))
@@ -256,7 +274,7 @@ def gram_model(counts: DataFrame, order: int = ORDER) -> GramModel:
                 "lang", F.col("gram").alias("_suffix"), F.col("p").alias("lower")),
                 ["lang", "_suffix"])
         p = (F.col("n") - F.col("freed")) / F.col("total") + F.col("weight") * F.col("lower")
-        seen[k] = cut(rows.select("lang", "gram", "n", p.alias("p")))
+        seen[k] = saved(rows.select("lang", "gram", "n", p.alias("p")), f"seen{k}")
         spread[k] = spread[k].drop("total")
     return GramModel(order, seen, spread)
 
@@ -334,6 +352,19 @@ class Entries:
         return found, values
 
 
+class Packed:
+    """Keys and values on their way to the tasks, each of whose workers lays them out once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values, self.entries = keys, values, None
+
+    def laid_out(self) -> Entries:
+        if self.entries is None:
+            self.entries = Entries(self.keys, self.values)
+            self.keys = self.values = None
+        return self.entries
+
+
 def _priced(entries: Entries, lang: np.ndarray, gram: np.ndarray, order: int, whole: bool
             ) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of grams, and which of them are known: all if the entries are the
@@ -359,12 +390,13 @@ def _priced(entries: Entries, lang: np.ndarray, gram: np.ndarray, order: int, wh
 
 # -- scores ------------------------------------------------------------------------------------
 
-_HEAD = ["row", "sequence_id", "language", "role", "bytes", "total"]
+_HEAD = ["row", "sequence_id", "language", "role", "bytes", "total", "beyond"]
 
 
 def _scored(asked: DataFrame, model: GramModel, order: int, local_entries: int,
             shard_grams: int) -> DataFrame:
-    """``sequence_id, language, role, total`` (log-probability) and ``bytes`` of every row."""
+    """``sequence_id, language, role, bytes, total`` (log-probability) and ``beyond`` (what is
+    over ``SURPRISE``) of every row."""
     spark = asked.sparkSession
     kind = asked.schema["sequence_id"].dataType.simpleString()
     entries = model.entries()
@@ -374,13 +406,14 @@ def _scored(asked: DataFrame, model: GramModel, order: int, local_entries: int,
             model.seen[order], local_entries)).select(
             _key(2 * order, "gram").alias("key"), F.log("p").alias("value"))
     table = entries.toArrow()
-    local = spark.sparkContext.broadcast(Entries(
+    local = spark.sparkContext.broadcast(Packed(
         table.column("key").to_numpy(), table.column("value").to_numpy()))
     del table
     shards = 1 if whole else max(1, -(-model.seen[order].count() // shard_grams))
     found = asked.mapInArrow(_score(local, order, whole, shards), (
         f"row bigint, sequence_id {kind}, language string, role int, bytes bigint, "
-        "total double, lang bigint, shard int, grams array<bigint>, counts array<int>"))
+        "total double, beyond double, lang bigint, shard int, grams array<bigint>, "
+        "counts array<int>"))
     if whole:
         return found.select(*_HEAD)
     # A row's head, and one row per shard that it has grams of.
@@ -389,10 +422,11 @@ def _scored(asked: DataFrame, model: GramModel, order: int, local_entries: int,
     one = rest.select("lang", F.explode("grams").alias("gram")).distinct()
     price = model.prices(cut(one)).select(
         F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard"), "lang", "gram", "logp")
-    sums = _by_shard(price, rest).groupBy("row").agg(F.sum("total").alias("more"))
+    sums = _by_shard(price, rest).groupBy("row").agg(F.sum("total").alias("_total"),
+                                                     F.sum("beyond").alias("_beyond"))
     heads = found.where(F.col("shard").isNull()).select(*_HEAD)
-    return heads.join(sums, "row", "left").withColumn(
-        "total", F.col("total") + F.coalesce("more", F.lit(0.0))).select(*_HEAD)
+    return heads.join(sums, "row", "left").withColumns({
+        c: F.col(c) + F.coalesce(f"_{c}", F.lit(0.0)) for c in ("total", "beyond")}).select(*_HEAD)
 
 
 def _least_count(seen: DataFrame, most: int) -> int:
@@ -413,7 +447,7 @@ def _score(local, order: int, whole: bool, shards: int):
     """One row per text: the logarithms of the grams that the task knows.  Of others, rows of
     its distinct grams and their numbers, by shard."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, number = local.value, TaskContext.get().partitionId() << 40
+        entries, number = local.value.laid_out(), TaskContext.get().partitionId() << 40
         for part in parts:
             texts = part.column(4).to_pylist()
             langs = part.column(3).to_pylist()
@@ -426,6 +460,7 @@ def _score(local, order: int, whole: bool, shards: int):
                 lang = np.array([x or 0 for x in langs[at:stop]], np.int64)
                 total, known = _priced(entries, lang[owner], gram, order, whole)
                 sums = np.bincount(owner, total, len(spoken))
+                beyond = np.bincount(owner, _beyond(total) * known, len(spoken))
                 rows = np.arange(number, number + len(spoken))
                 number += len(spoken)
                 none = np.array([x is None for x in langs[at:stop]])
@@ -433,7 +468,8 @@ def _score(local, order: int, whole: bool, shards: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), *some.columns[:3],
                      pa.array([len(t) for t in texts[at:stop]], pa.int64()),
-                     pa.array(sums, mask=none), some.column(3), nothing.cast(pa.int32()),
+                     pa.array(sums, pa.float64(), mask=none), pa.array(beyond, pa.float64()), some.column(3),
+                     nothing.cast(pa.int32()),
                      nothing.cast(pa.list_(pa.int64())), nothing.cast(pa.list_(pa.int32()))],
                     [*_HEAD, "lang", "shard", "grams", "counts"])
                 if not known.all():
@@ -441,6 +477,10 @@ def _score(local, order: int, whole: bool, shards: int):
     return run
 
 
+def _beyond(logs: np.ndarray) -> np.ndarray:
+    return np.maximum(-logs - SURPRISE, 0.0)
+
+
 def _unknown(some: pa.RecordBatch, rows: np.ndarray, lang: np.ndarray, owner: np.ndarray,
              gram: np.ndarray, shards: int) -> pa.RecordBatch:
     order = np.lexsort((gram, owner))
@@ -458,14 +498,15 @@ def _unknown(some: pa.RecordBatch, rows: np.ndarray, lang: np.ndarray, owner: np
     return pa.RecordBatch.from_arrays(
         [pa.array(rows[who]), some.column(0).take(pa.array(who)), some.column(1).take(pa.array(who)),
          some.column(2).take(pa.array(who)), empty.cast(pa.int64()), empty.cast(pa.float64()),
-         pa.array(lang[who]), pa.array(place[at].astype(np.int32)),
+         empty.cast(pa.float64()), pa.array(lang[who]), pa.array(place[at].astype(np.int32)),
          pa.ListArray.from_arrays(edges, pa.array(gram.astype(np.int64))),
          pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32)))],
         [*_HEAD, "lang", "shard", "grams", "counts"])
 
 
 def _by_shard(price: DataFrame, rest: DataFrame) -> DataFrame:
-    """``row, total``: the rows' grams of a shard against its prices, which come first."""
+    """``row, total, beyond``: the rows' grams of a shard against its prices, which come
+    first."""
     both = price.select("shard", F.lit(0).alias("kind"), "lang", "gram", "logp").unionByName(
         rest.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     laid = both.repartition("shard").sortWithinPartitions("shard", "kind").select(
@@ -494,9 +535,10 @@ def _by_shard(price: DataFrame, rest: DataFrame) -> DataFrame:
                 gram = some.column(6).flatten().to_numpy().astype(np.int64)
                 owner = np.repeat(np.arange(len(some)), np.diff(some.column(6).offsets.to_numpy()))
                 key = hashed(gram, hashed(lang[owner], np.full(len(owner), 42, np.uint64)))
-                value = entries.get(key)[1] * some.column(7).flatten().to_numpy()
+                value, many = entries.get(key)[1], some.column(7).flatten().to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(5), pa.array(np.bincount(owner, value, len(some)))],
-                    ["row", "total"])
+                    [some.column(5), *[pa.array(np.bincount(owner, v * many, len(some)), pa.float64())
+                                       for v in (value, _beyond(value))]],
+                    ["row", "total", "beyond"])
 
-    return laid.mapInArrow(run, "row bigint, total double")
+    return laid.mapInArrow(run, "row bigint, total double, beyond double")

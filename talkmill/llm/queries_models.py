@@ -63,4 +63,4 @@ def op3_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("sequence_id"))
     return judge_fluency(segments_of(documents(spark, sf_dir)), trusted).select(
         F.col("sequence_id").alias("doc_id"), F.nullif("language", F.lit("")).alias("lang"),
-        "perplexity", "threshold", "kept")
+        "perplexity", "threshold", "surprise", "surprise_threshold", "kept")

@@ -424,7 +424,7 @@ def plain_probability(counts, order, vocabulary=256):
     return p
 
 
-def test_gram_probabilities(spark):
+def test_gram_probabilities(spark, tmp_path):
     """Joined prices and those that a task works out by itself, against the definition."""
     from talkmill.llm import fluency as Y
 
@@ -436,7 +436,8 @@ def test_gram_probabilities(spark):
     asked = list(dict.fromkeys(asked))
     number = {g: int.from_bytes(g, "big") for g in [*asked, *counts]}
     model = Y.gram_model(spark.createDataFrame(
-        [(5, number[g], n) for g, n in counts.items()], "lang bigint, gram bigint, n bigint"), 3)
+        [(5, number[g], n) for g, n in counts.items()], "lang bigint, gram bigint, n bigint"), 3,
+        str(tmp_path / "model"))
     p = plain_probability(counts, 3)
     want = {number[g]: pytest.approx(np.log(p(g))) for g in asked}
     got = model.prices(spark.createDataFrame([(5, number[g]) for g in asked],
@@ -502,18 +503,23 @@ def test_fluency(spark, place):
             data = bytes(3) + mine.get(i, b"")
             counts.update(data[k:k + 4] for k in range(len(data) - 3))
         p = plain_probability(counts, 4)
-        want = {}
+        want, odd = {}, {}
         for i, data in mine.items():
             logs = [np.log(p((bytes(3) + data)[k:k + 4])) for k in range(len(data))]
             want[i] = float(np.exp(-np.mean(logs))) if logs else None
+            odd[i] = (sum(max(0, -v - 6) for v in logs) / len(logs) ** 0.5) if logs else None
         got = {r["sequence_id"]: r["perplexity"] for r in found if r["language"] == language}
         assert got == {i: v if v is None else pytest.approx(v) for i, v in want.items()}
-        held = [want[i] for i in mine if i in unseen] or [want[i] for i in mine if i in trusted]
-        limit = np.quantile(held, 0.99)
+        held = [i for i in mine if i in unseen] or [i for i in mine if i in trusted]
         for r in found:
             if r["language"] == language:
-                assert r["threshold"] == pytest.approx(limit)
-                assert r["kept"] == (r["perplexity"] is None or r["perplexity"] <= r["threshold"])
+                assert r["threshold"] == pytest.approx(np.quantile([want[i] for i in held], 0.99))
+                assert r["surprise_threshold"] == pytest.approx(
+                    np.quantile([odd[i] for i in held], 0.99), abs=1e-12)
+                assert r["surprise"] == (odd[r["sequence_id"]] and pytest.approx(
+                    odd[r["sequence_id"]]))
+                assert r["kept"] == (r["perplexity"] is None or (
+                    r["perplexity"] <= r["threshold"] and r["surprise"] <= r["surprise_threshold"]))
     by = {r["sequence_id"]: r for r in found}
     assert not by[100]["kept"] and by[100]["perplexity"] > 3 * by[100]["threshold"]
     assert by[101]["perplexity"] is None and by[102]["perplexity"] is None
