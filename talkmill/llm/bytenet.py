@@ -68,16 +68,22 @@ def windows_of(data: bytes) -> np.ndarray:
     return padded.reshape(count, WINDOW)
 
 
+def sample_windows(data: bytes, many: int = SAMPLE_WINDOWS) -> np.ndarray:
+    """At most so many windows of a text, spread evenly over it."""
+    found = windows_of(data)
+    return found[np.unique(np.linspace(0, len(found) - 1, many).round().astype(int))]
+
+
 def fit(texts: Sequence[bytes], labels: Sequence[str], epochs: int = EPOCHS, seed: int = 7
         ) -> ByteNet:
-    """Train by gradient descent (Adam) on windows of labelled texts; reruns agree."""
+    """Train by gradient descent (Adam) on at most ``SAMPLE_WINDOWS`` windows of each of the
+    labelled texts; reruns agree."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     xs, ys = [], []
     for text, label in zip(texts, labels, strict=True):
-        found = windows_of(text)
-        some = rng.permutation(len(found))[:SAMPLE_WINDOWS]
-        xs.append(found[some])
+        some = sample_windows(text)
+        xs.append(some)
         ys += [languages.index(label)] * len(some)
     x, y = np.concatenate(xs), np.array(ys)
     net = ByteNet(languages,
@@ -127,11 +133,14 @@ def learn_languages(segments: DataFrame, sample: int = SAMPLE, languages: int =
                     ) -> ByteNet | None:
     """Fit a network on labelled segments (``sequence_id, text, language``).
 
-    Learns from at most ``sample`` segments of each of at most ``languages`` languages, the
-    first by hash of their ids (of rows that repeat an id, one); the whole sample is bounded by their product and is all that
+    Learns from at most ``sample`` segments of each of the ``languages`` commonest languages
+    (others are never predicted), the first by hash of their ids (of rows that repeat an id,
+    one), and of each from at most ``SAMPLE_WINDOWS`` windows of ``WINDOW`` bytes, which are
+    cut out in the tasks: the sample is bounded by the product of these and is all that
     reaches the driver.  Segments without a language or text are no labels.  None if there
     are no labels.
     """
+    kind = segments.schema["sequence_id"].dataType.simpleString()
     labelled = segments.where(F.col("language").isNotNull() & F.col("text").isNotNull())
     narrow = labelled.select("language", "sequence_id").withColumn(
         "_order", F.xxhash64("sequence_id"))
@@ -141,42 +150,56 @@ def learn_languages(segments: DataFrame, sample: int = SAMPLE, languages: int =
                    ["language"], [F.col("_order"), F.col("sequence_id")], sample)
     rows = (labelled.join(F.broadcast(picked.select("language", "sequence_id").distinct()),
                           ["language", "sequence_id"], "left_semi")
-            .groupBy("language", "sequence_id")
-            .agg(F.min(F.col("text").cast("binary")).alias("text")).collect())
+            .select("language", "sequence_id", F.col("text").cast("binary").alias("text"))
+            .mapInArrow(_cut_windows, f"language string, sequence_id {kind}, text binary")
+            .groupBy("language", "sequence_id").agg(F.min("text").alias("text")).collect())
     rows = sorted(rows, key=lambda r: (r["language"], r["sequence_id"], bytes(r["text"])))
     if not rows:
         return None
     return fit([bytes(r["text"]) for r in rows], [r["language"] for r in rows])
 
 
+def _cut_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        some = [sample_windows(t.as_py()).tobytes().rstrip(b"\0") for t in part.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(some, pa.binary())],
+            ["language", "sequence_id", "text"])
+
+
 def detect_language(segments: DataFrame, net: ByteNet | None) -> DataFrame:
-    """Language of every segment: ``sequence_id, detected, score``, one row per row read.
+    """Language of every segment: ``sequence_id, detected, score, confidence``, one row per
+    row read.
 
     Reads only ``sequence_id`` and ``text``; a label or session never reaches the network.
     The whole text is cut into fixed windows, evaluated ``BATCH`` at a time, and the
-    windows' probabilities are averaged by their bytes; ``score`` is that of ``detected``.  A null
-    text, one without any letter, or a missing network gives ``und`` with score 0.  Ties go
-    to the language that sorts first.
+    windows' probabilities are averaged by their bytes; ``score`` is that of ``detected``.
+    ``confidence`` averages what each window gives to its own best language, so it is high
+    for a text in several languages too.  A null text, one without any letter, or a missing
+    network gives ``und`` with score and confidence 0.  Ties go to the language that sorts
+    first.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = _detected(net, [t.as_py() for t in part.column(1)])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())],
-                ["sequence_id", "detected", "score"])
+                 *[pa.array([f[k] for f in found], pa.float64()) for k in (1, 2)]],
+                ["sequence_id", "detected", "score", "confidence"])
 
     kind = segments.schema["sequence_id"].dataType.simpleString()
     # Texts without a letter come as null.
     spoken = F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("binary"))
     return segments.select("sequence_id", spoken.alias("text")).mapInArrow(
-        run, f"sequence_id {kind}, detected string, score double")
+        run, f"sequence_id {kind}, detected string, score double, confidence double")
 
 
-def _detected(net: ByteNet | None, texts: list[bytes | None]) -> list[tuple[str, float]]:
+def _detected(net: ByteNet | None, texts: list[bytes | None]
+              ) -> list[tuple[str, float, float]]:
     if net is None:
-        return [(UNKNOWN, 0.0)] * len(texts)
-    sums = np.zeros((len(texts), len(net.languages)))
+        return [(UNKNOWN, 0.0, 0.0)] * len(texts)
+    # The last column sums up what windows give to their own best languages.
+    sums = np.zeros((len(texts), len(net.languages) + 1))
     pending, owners, held = [], [], 0
     for i, text in enumerate(texts):
         if text is None:
@@ -189,9 +212,9 @@ def _detected(net: ByteNet | None, texts: list[bytes | None]) -> list[tuple[str,
             pending, owners, held = [], [], 0
     if held:
         _add(net, sums, pending, owners)
-    best = sums.argmax(axis=1)
-    return [(UNKNOWN, 0.0) if text is None else
-            (net.languages[b], float(min(1.0, row[b] / max(1, len(text)))))
+    best = sums[:, :-1].argmax(axis=1)
+    return [(UNKNOWN, 0.0, 0.0) if text is None else
+            (net.languages[b], *[float(min(1.0, row[k] / max(1, len(text)))) for k in (b, -1)])
             for text, row, b in zip(texts, sums, best, strict=True)]
 
 
@@ -201,4 +224,6 @@ def _add(net: ByteNet, sums: np.ndarray, pending: list, owners: list) -> None:
         some = windows[at:at + BATCH]
         # A window weighs as many bytes as it has; only the last of a text is filled up.
         size = np.maximum(1, WINDOW - (some[:, ::-1] != 0).argmax(axis=1))
-        np.add.at(sums, owner[at:at + BATCH], net.probabilities(some) * size[:, None])
+        found = net.probabilities(some)
+        found = np.hstack([found, found.max(axis=1, keepdims=True)])
+        np.add.at(sums, owner[at:at + BATCH], found * size[:, None])

@@ -29,33 +29,34 @@ def exact_copies(segments: DataFrame, tracked: int = TRACKED, frequent: int = FR
     their copies without a shuffle.  Only the other digests are shuffled, as narrow rows.
 
     A null text counts as empty, and empty texts are copies of each other.  A null id sorts
-    last.  Rows that repeat an id in one group stay or go together.  An empty table gives an
+    last.  Of rows that repeat an id in one group the longest may stay, of equally long ones one
+    text; rows that are equal in both stay or go together.  An empty table gives an
     empty result.
     """
     rows = cut(segments.select(
         "sequence_id",
         F.sha2(F.regexp_replace(whole(), r"[ \t-\r]+", ""), 256).alias("text_sha256"),
-        F.char_length(whole()).alias("_chars")))
+        F.char_length(whole()).alias("_chars"), F.xxhash64(whole()).alias("_version")))
     winners = _frequent_winners(rows, tracked, frequent)
     marked = rows.join(F.broadcast(winners), "text_sha256", "left")
     copies = Window.partitionBy("text_sha256")
-    best_first = copies.orderBy(F.desc("_chars"), F.asc_nulls_last("sequence_id"))
-    rest = (marked.where(F.col("group_size").isNull())
-            .withColumn("keep_id", F.first("sequence_id").over(best_first))
-            .withColumn("group_size", F.count(F.lit(1)).over(copies)))
+    rest = marked.where(F.col("group_size").isNull()).withColumns({
+        "best": F.min(_rank()).over(copies), "group_size": F.count(F.lit(1)).over(copies)})
     return _settled(marked.where(F.col("group_size").isNotNull()).unionByName(rest))
 
 
 def _settled(rows: DataFrame) -> DataFrame:
-    return rows.select("sequence_id", "keep_id", "group_size",
-                       F.col("sequence_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                       "text_sha256")
+    """A row stays if it is the best of its group, in its id and in its text."""
+    best = ((F.col("sequence_id").eqNullSafe(F.col("best.id")))
+            & (F.col("_version") == F.col("best.version")))
+    return rows.select("sequence_id", F.col("best.id").alias("keep_id"), "group_size",
+                       best.alias("kept"), "text_sha256")
 
 
 def _rank() -> Column:
     return F.struct((-F.col("_chars")).alias("chars"),
                     F.col("sequence_id").isNull().alias("missing"),
-                    F.col("sequence_id").alias("id"))
+                    F.col("sequence_id").alias("id"), F.col("_version").alias("version"))
 
 
 def _frequent_winners(rows: DataFrame, tracked: int, frequent: int) -> DataFrame:
@@ -70,5 +71,4 @@ def _frequent_winners(rows: DataFrame, tracked: int, frequent: int) -> DataFrame
     suspects = keyed.join(F.broadcast(named), "_key", "left_semi")
     counted = suspects.groupBy("text_sha256").agg(
         F.min(_rank()).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return cut(counted.select("text_sha256", F.col("best.id").alias("keep_id"), "group_size")
-               .where(F.col("group_size") > 1))
+    return cut(counted.where(F.col("group_size") > 1))

@@ -37,9 +37,10 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
   FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256
       ORDER BY n DESC, doc_id NULLS LAST) AS keep_id,
+    max(n) OVER (PARTITION BY text_sha256) AS longest,
     count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
-FROM g
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND n = longest AS kept,
+  text_sha256 FROM g
 """)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(segments(spark, sf_dir)).withColumnRenamed("sequence_id", "doc_id")

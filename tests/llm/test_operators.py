@@ -45,6 +45,21 @@ def test_exact_copies(spark, frequent):
     assert exact_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [0, 1000])
+def test_exact_copies_that_repeat_an_id(spark, frequent):
+    """Of one id's texts that differ in white space only, the longest stays, and only it."""
+    from talkmill.llm.copies import exact_copies
+
+    rows = [(1, "s", "a b", "en"), (1, "s", "a  b", "en"), (2, "s", "ab", "en"),
+            (3, "s", "c d", "en"), (3, "s", "c\td", "en"), (3, "s", "c d", "en")]
+    found = exact_copies(edge_segments(spark, rows), frequent=max(frequent, 1)).collect()
+    kept = [r for r in found if r["kept"]]
+    assert {r["keep_id"] for r in found} == {1, 3} and {r["group_size"] for r in found} == {3}
+    assert sum(r["sequence_id"] == 1 for r in kept) == 1
+    assert sum(r["sequence_id"] == 3 for r in kept) in (1, 2) and not any(
+        r["sequence_id"] == 2 for r in kept)
+
+
 def test_exact_copies_of_one_large_group(spark):
     from talkmill.llm.copies import exact_copies
 

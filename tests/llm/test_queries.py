@@ -137,6 +137,66 @@ def test_pipeline_judges_rows_one_by_one(spark):
     assert [r["text"] for r in kept] == [clean[0]]
 
 
+def test_pipeline_without_labels_and_on_nothing(spark):
+    """No label: no network and nothing to reject by.  An empty table passes every stage."""
+    import corpus_pipeline as pipeline
+
+    bare = rows_of(spark, [(i, "a", f"text number {i} of some words", None) for i in range(20)])
+    assert pipeline.language_id(spark, bare, SF).count() == 20
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, bare.where(F.lit(False)), SF)
+        assert out.count() == 0 and set(bare.columns) <= set(out.columns)
+
+
+def test_pipeline_language_stage_rejects_by_confidence(spark, monkeypatch):
+    """What windows of a text look like decides, not whether it has letters."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text", "lang")
+    seen = []
+
+    def spy(segments, net):
+        found = detect_language(segments, net)
+        seen.append(found)
+        return found.withColumn("confidence", F.when(
+            F.col("sequence_id.id") == -5, 0.3).otherwise(F.col("confidence")))
+
+    detect_language = pipeline.detect_language
+    monkeypatch.setattr(pipeline, "detect_language", spy)
+    more = docs.unionByName(rows_of(spark, [(-5, "m", "unclear " * 40, None), (-6, "m", "the and of", None)]))
+    kept = {r["doc_id"] for r in pipeline.language_id(spark, more, SF).collect()}
+    assert -5 not in kept and -6 in kept
+    labelled = {r["doc_id"] for r in docs.where("lang IS NOT NULL AND text RLIKE '[a-z]'").collect()}
+    assert labelled <= kept
+    row = seen[0].where("sequence_id.id = -6").first()
+    assert 0 < row["score"] <= row["confidence"] <= 1
+
+
+def test_pipeline_takes_any_column_name(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "a", "one text here", "en", 1, 2, 3)] * 2 + [(2, "a", "another text there", "de", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, lang string, "
+                                       "_pipeline_key int, `a.b` int, key int")
+    for stage in (pipeline.exact_dedup, pipeline.near_dedup):
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert sorted(tuple(r) for r in kept.collect()) == sorted({tuple(r) for r in rows})
+
+
+def test_pipeline_of_texts_of_megabytes(spark):
+    import corpus_pipeline as pipeline
+
+    long = "the quick brown fox runs over the lazy dog and on " * 60_000
+    rows = [(1, "a", long, "en"), (2, "a", long + " ", "en"), (3, "b", "a short text of words", "en"),
+            (4, "b", "der kurze Text hat Worte", "de")]
+    docs = rows_of(spark, rows)
+    for _, stage in pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} == {2, 3, 4}
+    assert pipeline.STAGES[4][1](spark, docs, SF).where("taken > 0").count() > 0
+
+
 def test_pipeline_keeps_texts_in_several_languages(spark):
     import corpus_pipeline as pipeline
 
