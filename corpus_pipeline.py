@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.bytenet import UNKNOWN, detect_language, learn_languages
+from talkmill.llm.bytenet import UNKNOWN, WINDOW, detect_language, learn_languages
 from talkmill.llm.common import at_most, whole
 from talkmill.llm.copies import exact_copies
 from talkmill.llm.mixing import mix_sessions
@@ -27,17 +27,19 @@ from talkmill.session import cut, shared_folder
 
 #: Rows to drop that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of the mix that may be broadcast to the texts.
+BROADCAST_USED = 250_000
 
 
-def _key() -> Column:
+def _key(*more: Column) -> Column:
     """Names rows by id and text; sorts rows without an id last."""
     return F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"),
-                    F.xxhash64(whole()).alias("version"))
+                    F.xxhash64(whole()).alias("version"), *more)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """Documents as segments named by their keys."""
-    return segments_of(docs.withColumn("doc_id", _key()))
+    return segments_of(docs.withColumn("doc_id", _key(*more)))
 
 
 def _without(docs: DataFrame, dropped: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,15 +63,39 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
     side = F.broadcast(gone) if at_most(gone, BROADCAST_ROWS) else gone.hint("shuffle_hash")
     some = docs.join(side, (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_version"])
                      & docs["doc_id"].eqNullSafe(gone["_id"]), "left_semi")
-    one = some.withColumn("_pipeline_key", _key()).dropDuplicates(["_pipeline_key"])
-    return _without(docs, repeated).unionByName(one.drop("_pipeline_key"))
+    # A row is held whole beside its key, so no name of the input can clash with the key's.
+    one = some.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                      _key().alias("key")).dropDuplicates(["key"]).select("row.*")
+    return _without(docs, repeated).unionByName(one)
+
+
+#: Labelled documents below the language stage's bar would be this few, were it their quantile.
+LOWEST_SHARE = 0.001
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which the network, learned from their labels, can read a language;
-    a text in several has a low score and stays."""
-    found = detect_language(_keyed(docs), learn_languages(segments_of(docs)))
-    return _without(docs, found.where(F.col("detected") == UNKNOWN))
+    """Keeps documents in which the network, learned from their labels, reads languages.
+
+    A document goes if it has no letter, or if the network's confidence (the mean of what
+    each window gives to its own best language) is nearer to a guess than to what the least
+    clear of the labelled documents have: below the middle between 1 / languages and the
+    ``LOWEST_SHARE`` quantile of their confidences.  A text shorter than a window is too
+    little for that and stays, as does one in several languages, which is read window by
+    window.  Without labels there is no network, and all documents stay.
+    """
+    net = learn_languages(segments_of(docs))
+    if net is None:
+        return docs
+    marks = (F.col("lang").isNotNull().alias("labelled"),
+             (F.octet_length(whole()) >= WINDOW).alias("enough"))
+    found = cut(detect_language(_keyed(docs, *marks), net))
+    enough = F.col("sequence_id.enough")
+    known = found.where(F.col("sequence_id.labelled") & enough & (F.col("detected") != UNKNOWN))
+    least = known.agg(F.percentile_approx("confidence", LOWEST_SHARE, 100_000)).head()[0]
+    guess = 1 / len(net.languages)
+    bar = 0.0 if least is None or len(net.languages) == 1 else (guess + least) / 2
+    return _without(docs, found.where(
+        (F.col("detected") == UNKNOWN) | (enough & (F.col("confidence") < bar))))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,7 +117,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with ``taken`` (words, repeats counted) and ``place``."""
+    """The documents of the mix with ``taken`` (words, repeats counted) and ``place``; columns
+    of these names, in any case, are not taken over from the input.
+
+    A mix of up to ``BROADCAST_USED`` rows is handed to the texts; a larger one is joined."""
     rows, mix = mix_sessions(segments_of(docs))
     names = ["sequence_id", "session_id", "version"]
     used = mix.groupBy(*names, "row").agg(F.sum("words").alias("taken"),
@@ -105,11 +134,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 & docs["doc_id"].eqNullSafe(other["sequence_id"])
                 & docs["source"].eqNullSafe(other["session_id"]))
 
+    def placed(side: DataFrame) -> DataFrame:
+        if at_most(side, BROADCAST_USED):
+            return F.broadcast(side)
+        return side.hint("shuffle_hash")
+
     def chosen(side: DataFrame, *more: Column) -> DataFrame:
         return side.select(*[docs[f"`{c}`"] for c in own], *more)
 
     if at_most(repeated, 0):
-        return chosen(docs.join(used.hint("shuffle_hash"), same(used)),
+        used = cut(used)
+        return chosen(docs.join(placed(used), same(used)),
                       used["taken"], used["place"])
     # Rows that are equal in id, source and text are numbered, each to get its own words.
     again = repeated.select(*[F.col(c).alias(f"_{c}") for c in names])
@@ -122,7 +157,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = docs.join(repeated, same(repeated), "left_semi").withColumn(
         "_nth", F.row_number().over(Window.partitionBy(
             "doc_id", "source", F.xxhash64("text")).orderBy(F.lit(1))))
-    return chosen(docs.join(single.hint("shuffle_hash"), same(single)),
+    single = cut(single)
+    return chosen(docs.join(placed(single), same(single)),
                   single["taken"], single["place"]).unionByName(
         chosen(numbered.join(several, same(several) & (F.col("_nth") == F.col("_number"))),
                several["taken"], several["place"]))
