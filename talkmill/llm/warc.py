@@ -84,9 +84,9 @@ def read_archive(spark: SparkSession, folder: str,
     The files are split at every occurrence of the version line, also over split boundaries
     of large files, and bytes stay as they are.  Such a candidate may lie inside a payload.
     Each task turns its candidates into (offset, offset of the successor by the stated
-    length); pointer jumping from offset 0 of each file, doubling its reach every round,
-    keeps exactly the records that the chain of lengths passes through.  A record whose
-    payload holds version lines is put together from its fragments.
+    length); the chain of lengths from offset 0 of each file keeps exactly the records that
+    it passes through (see :func:`chained`).  A record whose payload holds version lines is
+    put together from its fragments.
 
     An empty file has no records.  Where a length is damaged the chain of that file ends.
     """
@@ -101,8 +101,7 @@ def read_archive(spark: SparkSession, folder: str,
     at = F.col("_before") - len(MAGIC)
     candidates = cut(placed.select("file", "block", "seq", at.alias("at"), "_bytes", (
         at + len(MAGIC) + F.col("_whole")).alias("next")).where(F.col("at") >= 0))
-    reached = chained(candidates.where(F.col("next").isNotNull()))
-    real = cut(candidates.join(reached, ["file", "at"]))
+    real = cut(chained(candidates.where(F.col("next").isNotNull())))
     end = F.col("at") + len(MAGIC) + F.col("_bytes")
     intact = real.where(F.col("next") == end)
     broken = real.where(F.col("next") > end)
@@ -119,21 +118,39 @@ def read_archive(spark: SparkSession, folder: str,
     return out
 
 
-def chained(candidates: DataFrame) -> DataFrame:
-    """``file, at`` of what the chain ``at`` -> ``next`` reaches from offset 0 of each file.
+def chained(candidates: DataFrame, few: int = BROADCAST_REPEATED) -> DataFrame:
+    """The ``candidates`` (``file, block, seq, at, next``) that the chain ``at`` -> ``next``
+    reaches from offset 0 of each file.
 
-    Pointer jumping: after k rounds everything within 2^k steps of a start is reached, so
-    rounds grow with the logarithm of the longest chain.  Tables are checkpointed.
+    Candidates whose ``next`` is the following candidate form runs, told by a prefix scan; a
+    chain that enters a run goes on to its end.  So only the jumps from the ends of runs are
+    left: none in an intact file, one past each version line inside a payload.  Over these,
+    pointer jumping reaches all runs within 2^k jumps after k rounds, so rounds grow with the
+    logarithm of the jumps of a file.  Tables are checkpointed.
     """
-    jump = cut(candidates.select("file", "at", "next"))
-    reached = cut(jump.where(F.col("at") == 0).select("file", "at"))
-    while not jump.isEmpty():
-        ahead = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        reached = cut(reached.unionByName(ahead).distinct())
-        onward = jump.select("file", F.col("at").alias("next"), F.col("next").alias("_far"))
-        jump = cut(jump.join(onward, ["file", "next"])
-                   .select("file", "at", F.col("_far").alias("next")))
-    return reached
+    linked = scan(candidates, ["file"], ["seq"], "block", _from=Scan("lag", F.col("next")))
+    opens = F.coalesce(F.col("_from") != F.col("at"), F.lit(True)).cast("bigint")
+    runs = cut(scan(linked, ["file"], ["seq"], "block", run=Scan("sum", opens, inclusive=True))
+               .drop("_from"))
+    ends = cut(runs.groupBy("file", "run").agg(
+        F.min("at").alias("first"), F.max_by("next", "at").alias("next")))
+    side = F.broadcast(ends) if at_most(ends, few) else ends
+    jump = cut(runs.select("file", "at", F.col("run").alias("to")).join(
+        side.select("file", "run", F.col("next").alias("at")), ["file", "at"])
+        .select("file", "run", "to", F.col("at").alias("entry")))
+    reached = ends.where("first = 0").select("file", "run", F.col("first").alias("entry"))
+    far = jump
+    known = cut(reached.select("file", "run"))
+    while not far.isEmpty():
+        ahead = known.join(far, ["file", "run"]).select("file", F.col("to").alias("run"))
+        known = cut(known.unionByName(ahead).distinct())
+        onward = far.select("file", F.col("run").alias("to"), F.col("to").alias("_far"))
+        far = cut(far.join(onward, ["file", "to"]).select("file", "run", F.col("_far").alias("to")))
+    # A run is entered where the end of a reached one leads, once at most.
+    entered = cut(reached.unionByName(jump.join(known, ["file", "run"]).select(
+        "file", F.col("to").alias("run"), "entry")))
+    side = F.broadcast(entered) if at_most(entered, few) else entered
+    return runs.join(side, ["file", "run"]).where(F.col("at") >= F.col("entry")).drop("run", "entry")
 
 
 def _parsed(raw: DataFrame) -> DataFrame:

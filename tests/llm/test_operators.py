@@ -405,6 +405,28 @@ def test_archive_round_trip(spark, tmp_path):
     assert read_archive(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_chains_reach_what_lengths_lead_to(spark, few):
+    """Random candidates, some of which lead past or into runs of others, in several blocks."""
+    from talkmill.llm.warc import chained
+
+    rnd = random.Random(few)
+    rows, want = [], set()
+    for f in range(12):
+        places = [0, *sorted(rnd.sample(range(1, 300), 60))] if f else [5, 9, 14]
+        ends = [*places[1:], 400]
+        leads = {a: b if rnd.random() < 0.8 else rnd.choice([p for p in [*ends, 401] if p > a])
+                 for a, b in zip(places, ends, strict=True)}
+        rows += [(f"f{f}", a // 100, i, a, b) for i, (a, b) in enumerate(leads.items())]
+        at = 0
+        while at in leads:
+            want.add((f"f{f}", at))
+            at = leads[at]
+    df = spark.createDataFrame(rows, "file string, block bigint, seq bigint, at bigint, next bigint")
+    got = [(r["file"], r["at"]) for r in chained(df, few).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # -- quality ---------------------------------------------------------------------------
 
 def plain_probability(counts, order, vocabulary=256):
