@@ -12,16 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import at_most
-from talkmill.session import cut
+from talkmill.session import cut, discard
 
 #: Bytes of a repeated string, and of the anchors that sort strings into shards.
 LENGTH = 200
 ANCHOR = 32
 #: Bytes of a text handled at once; places inside fit PLACE_BITS.
-PIECE = 1 << 22
+PIECE = 1 << 20
 PLACE_BITS = 23
 #: Bytes of context that one suffix array is built over.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
+#: Texts of a batch handled at once, and stretches in a row that may be one of period.
+TEXTS = 500
+PERIODS = 8
 #: Distinct contexts of one anchor that stay together; more are dealt over several shards.
 TOGETHER = 2_000
 
@@ -42,12 +45,14 @@ def drop_repeated_bytes(segments: DataFrame, folder: str, length: int = LENGTH,
     Reads ``sequence_id`` and ``text``; texts are UTF-8 bytes and strings never cross
     segments.  Overlapping occurrences count, and strings are judged on the texts as they
     are read.  Returns one row per row read: ``sequence_id, n_bytes, n_removed, n_spans``
-    (runs removed) and ``kept`` (bytes left).  ``folder`` is new and shared by all executors.
+    (runs removed) and ``kept`` (bytes left).  ``folder`` is new and shared by all executors;
+    what is written there is deleted once the spans are known.
 
     1. Each window of ``length`` bytes picks the anchor (32 bytes) of least hash inside it.
        Equal windows pick equal anchors at equal offsets, so only windows whose anchor occurs
        twice can repeat.  Windows in a row with one anchor form a stretch, whose bytes are
-       its context: one narrow row, whatever the text's length.
+       its context: one narrow row.  A periodic passage has an anchor in every period; it is
+       two rows, the passage without its last and without its first period, which are equal.
     2. Contexts are counted map-side by (anchor, context hash).  All windows of a context
        that occurs twice repeat, so copies in any number are settled by counting.
     3. One of each context whose anchor has several goes with its bytes to a shard by anchor.
@@ -73,6 +78,7 @@ def drop_repeated_bytes(segments: DataFrame, folder: str, length: int = LENGTH,
                 .select("anchor"))
     side = F.broadcast(again) if at_most(again, broadcast_rows[0]) else again
     found.join(side, "anchor", "left_semi").write.parquet(f"{folder}/candidates")
+    discard(spark, f"{folder}/stretches")
     candidates = spark.read.parquet(f"{folder}/candidates")
     contexts = cut(candidates.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("copies"),
@@ -90,6 +96,7 @@ def drop_repeated_bytes(segments: DataFrame, folder: str, length: int = LENGTH,
     out = f"sequence_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     per = cut(spans.groupBy("sequence_id", "version").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")))
+    discard(spark, f"{folder}/candidates")
     if not at_most(per, broadcast_rows[1]):
         whole = texts.join(per.hint("shuffle_hash"), _same(texts, per), "left").select(
             texts["sequence_id"], texts["text"], "spans.start", "spans.stop")
@@ -138,7 +145,8 @@ def _remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretches(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (whole.slice(at, TEXTS) for whole in parts
+                     for at in range(0, whole.num_rows, TEXTS)):
             found = [stretches(text.as_py(), length) for text in part.column(2)]
             rows = np.concatenate([*found, np.zeros((0, 4), np.int64)])
             owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
@@ -177,11 +185,34 @@ def _stretches_of(data: bytes, length: int) -> np.ndarray:
     place = (least & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     count = np.diff(np.concatenate((first, [len(place)])))
+    first, count, anchor = _periodic(data, first, count, hashes[place[first]], length)
     digest = xxhash.xxh3_64_intdigest
     context = np.array([digest(data[s:s + n + length - 1])
                         for s, n in zip(first.tolist(), count.tolist(), strict=True)], np.uint64)
-    return np.stack([hashes[place[first]].view(np.int64), context.view(np.int64), first, count],
-                    axis=1)
+    return np.stack([anchor.view(np.int64), context.view(np.int64), first, count], axis=1)
+
+
+def _periodic(data: bytes, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, length: int
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches with those of a periodic passage replaced by two long ones of equal bytes."""
+    alike = (anchor[1:] == anchor[:-1]) & (count[1:] == count[:-1])
+    opens = np.flatnonzero(np.concatenate(([True], ~alike)))
+    many = np.diff(np.append(opens, len(first)))
+    keep, extra = np.ones(len(first), bool), []
+    for at, k in zip(opens[many >= PERIODS].tolist(), many[many >= PERIODS].tolist(),
+                     strict=True):
+        start, period = int(first[at]), int(count[at])
+        windows = (k - 1) * period
+        stop = start + windows + length - 1
+        if data[start:stop] == data[start + period:stop + period]:
+            keep[at:at + k] = False
+            extra += [(start, windows, anchor[at]), (start + period, windows, anchor[at])]
+    if not extra:
+        return first, count, anchor
+    begin, windows, hashes = zip(*extra, strict=True)
+    return (np.concatenate((first[keep], np.array(begin, first.dtype))),
+            np.concatenate((count[keep], np.array(windows, count.dtype))),
+            np.concatenate((anchor[keep], np.array(hashes, anchor.dtype))))
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -365,6 +365,23 @@ def test_language(spark):
     assert {r["detected"] for r in detect_language(segments, None).collect()} == {"und"}
 
 
+def test_periodic_text_is_a_few_stretches(spark, tmp_path):
+    """Texts of one byte or of a short period, alone and beside ones that share a window."""
+    from talkmill.llm.repeats import drop_repeated_bytes, stretches
+
+    assert len(stretches(b"a" * 300_000)) == 2
+    assert len(stretches(b"abcdefg" * 50_000)) < 10
+    texts = ["a" * 5000, "a" * 199, "b" * 200, "xyz " * 700, "q" * 90 + "xyz " * 60, "c" * 207,
+             "".join(chr(97 + i * i % 23) for i in range(900)), "d" * 400 + "e" * 400 + "d" * 250,
+             "-" * 201 + " end", "start " + "b" * 210, "xyz" + " xyz" * 49 + " "]
+    rows = [(i, "s", t, "en") for i, t in enumerate(texts)]
+    for size in (1 << 20, 700):
+        want = repeated_bytes([t.encode() for t in texts], 200)
+        got = {r["sequence_id"]: tuple(r)[1:] for r in drop_repeated_bytes(
+            edge_segments(spark, rows), str(tmp_path / f"p{size}"), shard_bytes=size).collect()}
+        assert got == {i: (w[0], w[1], w[2], bytearray(w[3])) for i, w in enumerate(want)}
+
+
 # -- archives --------------------------------------------------------------------------
 
 def test_archive_round_trip(spark, tmp_path):
