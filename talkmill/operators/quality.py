@@ -1,7 +1,7 @@
 """Recognition and translation quality.
 
-Per-row statistics are computed inside the row on the JVM; only a few sums per group are
-shuffled, however long the texts are.
+Per-row statistics are computed inside the row, on the JVM or for n-grams in Arrow batches;
+only a few sums per group are shuffled, however long the texts are.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talkmill import dims
 from talkmill.functions import text as X
+from talkmill.functions.grams import shared_character_grams, shared_word_grams
 
 
 def _letter(index: Column) -> Column:
@@ -62,35 +63,6 @@ def error_rates(df: DataFrame, reference: str, hypothesis: str, wer: str = "wer"
 
 # -- n-gram overlap ------------------------------------------------------------------------
 
-def shared_grams(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two arrays.
-
-    Both are sorted together with +1/-1 marks; the differences left per gram give
-    ``|L| + |R| - 2 * shared``.
-    """
-    marked = F.sort_array(F.concat(
-        F.transform(left, lambda g: F.struct(g.alias("g"), F.lit(1).alias("d"))),
-        F.transform(right, lambda g: F.struct(g.alias("g"), F.lit(-1).alias("d")))))
-    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("net"), F.lit(0).alias("gone"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["g"] == x["g"]
-        return F.struct(
-            x["g"].alias("g"),
-            F.when(same, s["net"] + x["d"]).otherwise(x["d"]).alias("net"),
-            F.when(same, s["gone"]).otherwise(s["gone"] + F.abs(s["net"])).alias("gone"))
-
-    apart = F.aggregate(marked, start, step, lambda s: s["gone"] + F.abs(s["net"]))
-    return ((F.size(left) + F.size(right) - apart) / 2).cast("bigint")
-
-
-def _word_grams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(words) - n + 1),
-        lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
-        F.array().cast("array<string>"))
-
-
 def tokenize_13a(text: Column) -> Column:
     """The standard evaluation tokens: punctuation apart, except inside numbers."""
     t = F.replace(text, F.lit("<skipped>"), F.lit(""))
@@ -110,9 +82,10 @@ def corpus_bleu(df: DataFrame, by: list[str], reference: str, hypothesis: str) -
     """Corpus BLEU per group: four n-gram orders, one reference, exponential smoothing."""
     n = df.withColumns({"_r": tokenize_13a(F.coalesce(reference, F.lit(""))),
                         "_h": tokenize_13a(F.coalesce(hypothesis, F.lit("")))})
+    n = n.withColumn("_shared", shared_word_grams(F.col("_h"), F.col("_r"), 4))
     stats = {"_rl": F.size("_r").cast("bigint"), "_hl": F.size("_h").cast("bigint")}
     for k in range(1, 5):
-        stats[f"_c{k}"] = shared_grams(_word_grams(F.col("_h"), k), _word_grams(F.col("_r"), k))
+        stats[f"_c{k}"] = F.col("_shared")[k - 1]
         stats[f"_t{k}"] = F.greatest(F.lit(0), F.size("_h") - (k - 1)).cast("bigint")
     sums = n.select(*by, *[v.alias(k) for k, v in stats.items()]).groupBy(*by).agg(
         *[F.sum(k).alias(k) for k in stats])
@@ -135,23 +108,13 @@ def corpus_chrf(df: DataFrame, by: list[str], reference: str, hypothesis: str,
                 order: int = 6, beta: int = 2) -> DataFrame:
     """Corpus chrF per group: character n-grams without spaces, recall weighted."""
     squeeze = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), f"[{X.SPACE}]+", "")
-    letters = lambda c: F.filter(F.split(squeeze(F.col(c)), ""), lambda x: x != "")
-    n = df.select(*by, letters(reference).alias("_r"), letters(hypothesis).alias("_h"))
-    n = n.withColumns({"_rg1": F.col("_r"), "_hg1": F.col("_h")})
-    # Grams of one length grow from those one shorter by one character.
-    for k in range(2, order + 1):
-        longer = {}
-        for side in "rh":
-            shorter, chars = F.col(f"_{side}g{k - 1}"), F.col(f"_{side}")
-            count = F.greatest(F.lit(0), F.size(chars) - (k - 1))
-            longer[f"_{side}g{k}"] = F.zip_with(
-                F.slice(shorter, F.lit(1), count), F.slice(chars, F.lit(k), count),
-                lambda a, b: F.concat(a, b))
-        n = n.withColumns(longer)
+    n = df.select(*by, squeeze(F.col(reference)).alias("_r"), squeeze(F.col(hypothesis)).alias("_h"))
+    n = n.withColumn("_shared", shared_character_grams(F.col("_h"), F.col("_r"), order))
+    size = lambda c, k: F.greatest(F.lit(0), F.char_length(c) - (k - 1)).cast("bigint")
     stats: dict[str, Column] = {}
     for k in range(1, order + 1):
-        refs, hyps = F.size(f"_rg{k}").cast("bigint"), F.size(f"_hg{k}").cast("bigint")
-        stats[f"_m{k}"] = shared_grams(F.col(f"_hg{k}"), F.col(f"_rg{k}"))
+        refs, hyps = size("_r", k), size("_h", k)
+        stats[f"_m{k}"] = F.col("_shared")[k - 1]
         stats[f"_h{k}"] = F.when(refs > 0, hyps).otherwise(0)
         stats[f"_r{k}"] = refs
     sums = n.select(*by, *[v.alias(k) for k, v in stats.items()]).groupBy(*by).agg(

@@ -165,3 +165,40 @@ def test_identical_texts_score_full_marks(spark):
                                "m string, r string, h string")
     assert Q.corpus_bleu(df, ["m"], "r", "h").head()["bleu"] == 100.0
     assert Q.corpus_chrf(df, ["m"], "r", "h").head()["chrf"] == 100.0
+
+
+def test_shared_grams_against_counters(spark):
+    """Multiset intersections of words and characters, in slices of any size."""
+    import random
+    from collections import Counter
+
+    from talkmill.functions import grams as G
+
+    rng = random.Random(7)
+    words = ["a", "bb", "ab", "日本", "😀", "", "c d"]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randint(0, 12))],
+             [rng.choice(words) for _ in range(rng.randint(0, 12))]) for i in range(60)]
+    rows += [(60, None, ["a"]), (61, [], None), (62, ["a"] * 50, ["a"] * 20)]
+    df = spark.createDataFrame(rows, "i int, x array<string>, y array<string>")
+    got = {r["i"]: r for r in df.select(
+        "i", G.shared_word_grams(F.col("x"), F.col("y"), 4).alias("w"),
+        G.shared_character_grams(F.array_join("x", ""), F.array_join("y", ""), 6).alias("c")).collect()}
+
+    def expected(x, y, order):
+        count = lambda s, k: Counter(tuple(s[i:i + k]) for i in range(len(s) - k + 1))
+        return [sum((count(x, k) & count(y, k)).values()) for k in range(1, order + 1)]
+
+    for i, x, y in rows:
+        assert got[i]["w"] == expected(x or [], y or [], 4)
+        assert got[i]["c"] == expected("".join(x or []), "".join(y or []), 6)
+    old, G.ITEMS_AT_ONCE = G.ITEMS_AT_ONCE, 7
+    try:
+        import numpy as np
+        pairs = [(x or [], y or []) for _, x, y in rows]
+        number = {w: i for i, w in enumerate(words)}
+        sides = [[number[w] for p in pairs for w in p[s]] for s in (0, 1)]
+        sizes = [np.array([len(p[s]) for p in pairs]) for s in (0, 1)]
+        found = G._counted([np.array(s) for s in sides], sizes, 4).to_pylist()
+        assert found == [expected(x, y, 4) for x, y in pairs]
+    finally:
+        G.ITEMS_AT_ONCE = old
