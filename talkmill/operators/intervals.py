@@ -46,37 +46,40 @@ def overlap_join(left: DataFrame, right: DataFrame, key: Sequence[str],
 
 def span_verdicts(segments: DataFrame, windows: DataFrame, key: Sequence[str], seq: str,
                   window_order: str, slack: float = 0.5, min_fraction: float = 0.25,
-                  within: Callable[[Column], Column] | None = None) -> DataFrame:
+                  within: Callable[[Column], Column] | None = None,
+                  carry: Sequence[str] = ()) -> DataFrame:
     """The gate's verdict for every segment, as struct column ``decision``.
 
     Approving windows must cover ``min_fraction`` of the segment; then the strongest of
     them is the verdict, else the rejecting window with the largest overlap, else whatever
     overlaps, else null.  The first window wins a tie.  ``within`` tells by a window's order
-    whether the segment may use it; the segment's columns are fields of ``_row``.
+    whether the segment may use it; the segment's times and the columns named in ``carry``
+    are fields of ``_row``.
     """
     key = list(key)
     w = windows.select(*key, F.struct(
         "should_transcribe", "event_type", "confidence", "reason", "start_s", "end_s")
         .alias("_w"), F.col(window_order).alias("_wi"),
         F.col("start_s").alias("_ws"), F.col("end_s").alias("_we"))
-    whole = F.struct(*[F.col(c) for c in segments.columns])
+    # Only the spans go through the join; the rest of a segment's row stays where it is.
     pairs = overlap_join(
-        segments.select(*key, F.col(seq).alias("_seq"), whole.alias("_row"), "start_s", "end_s"),
-        w, key, (F.col("start_s") - slack, F.col("end_s") + slack), ("_ws", "_we"))
+        segments.select(*key, F.col(seq).alias("_seq"), "start_s", "end_s",
+                        F.struct("start_s", "end_s", *carry).alias("_row")),
+        w, key, (F.col("start_s") - slack, F.col("end_s") + slack), ("_ws", "_we"), how="inner")
     ok = F.col("_w.should_transcribe")
     if within is not None:
-        usable = F.coalesce(within(F.col("_wi")), F.lit(False))
-        pairs = pairs.withColumns({"_w": F.when(usable, F.col("_w")),
-                                   "overlap": F.when(usable, F.col("overlap"))})
-    out = pairs.groupBy(*key, "_seq").agg(
-        F.any_value("_row").alias("_row"),
+        pairs = pairs.where(within(F.col("_wi")))
+    found = pairs.groupBy(*key, "_seq").agg(
+        F.any_value(F.col("_row.end_s") - F.col("_row.start_s")).alias("_span"),
         F.sum(F.when(ok, F.col("overlap"))).alias("_approved"),
         F.max_by("_w", F.when(ok, F.struct("_w.confidence", -F.col("_wi")))).alias("_yes"),
         F.max_by("_w", F.when(~ok, F.struct("overlap", -F.col("_wi")))).alias("_no"))
-    span = F.greatest(F.lit(1e-6), F.col("_row.end_s") - F.col("_row.start_s"))
-    enough = F.coalesce(F.col("_approved") / span >= min_fraction, F.lit(False))
-    return out.select("_row.*", F.when(enough, F.col("_yes")).otherwise(
+    enough = F.coalesce(F.col("_approved") / F.greatest(F.lit(1e-6), F.col("_span"))
+                        >= min_fraction, F.lit(False))
+    decided = found.select(*key, F.col("_seq").alias(seq), F.when(enough, F.col("_yes")).otherwise(
         F.coalesce("_no", "_yes")).alias("decision"))
+    return segments.join(decided, [*key, seq], "left").select(
+        *[segments[c] for c in segments.columns], "decision")
 
 
 #: Windows the gate remembers at most, and how many of the oldest go when one more comes.
@@ -121,7 +124,7 @@ def remembered_verdicts(spans: DataFrame, windows: DataFrame, key: Sequence[str]
     judged = spans.withColumn("held", held.cast("bigint"))
     w = windows.select(*key, number, "should_transcribe", "event_type", "confidence", "reason",
                        "start_s", "end_s")
-    return span_verdicts(judged, w, key, span, number,
+    return span_verdicts(judged, w, key, span, number, carry=[seen, "held"],
                          within=lambda at: (at <= F.col("_row." + seen)) & (
                              at > F.col("_row." + seen) - F.col("_row.held")))
 
