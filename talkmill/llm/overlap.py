@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import ascii_lower, at_most, whole, word_array
@@ -56,28 +56,51 @@ def overlapping_words(segments: DataFrame, bench_items: DataFrame, window: int =
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
     words = segments.select("sequence_id", F.xxhash64(whole()).alias("_v"),
                             words_of(whole()).alias("_w"))
-    places = words.select("sequence_id", "_v", "_w", F.size("_w").alias("_n"),
-                          F.posexplode_outer("_w").alias("_at", "_word"))
-    hits = _hits(places, windows, lengths or [window], at_most(windows, broadcast_windows))
-    found = F.struct(F.col("_at"), F.col("_length"))
-    kept = F.col("_length").isNotNull()
+    # Words are hashed once; a window's hash is that of its words' hashes.
+    places = words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).select(
+        "sequence_id", "_v", "_w", "_h", F.size("_w").alias("_n"),
+        F.posexplode_outer("_h").alias("_at", "_word"))
+    hits = cut(_hits(places, windows, lengths or [window], at_most(windows, broadcast_windows)))
     # Equal rows share a group, whose hits are the same, and are told apart again below.
-    per = hits.groupBy("sequence_id", "_v").agg(
-        F.max("_n").alias("n_words"), F.count_if("_first").alias("_rows"),
-        F.array_sort(F.collect_list(F.when(kept, found))).alias("_found"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(
-            kept, F.transform("ids", lambda i: i.cast("string"))))))).alias("ids"))
-    runs = per.withColumn("runs", _merged()).withColumn(
-        "_row", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))))
-    return runs.select(
+    per = hits.where("_first").groupBy("sequence_id", "_v").agg(
+        F.max("_n").alias("n_words"), F.count(F.lit(1)).cast("int").alias("_rows"))
+    kept = hits.where(F.col("_length").isNotNull())
+    runs = _runs(kept)
+    named = kept.groupBy("sequence_id", "_v").agg(F.array_sort(F.array_distinct(F.flatten(
+        F.collect_set(F.transform("ids", lambda i: i.cast("string")))))).alias("ids"))
+    for side in (runs, named):
+        per = per.join(side, per["sequence_id"].eqNullSafe(side["sequence_id"])
+                       & (per["_v"] == side["_v"]), "left").select(
+            per["*"], *[side[c] for c in side.columns if c not in ("sequence_id", "_v")])
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    return per.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows")))).select(
         "sequence_id", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"),
-        F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["length"])
-        .alias("n_hit"), "runs", "ids")
+        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("runs", none).alias("runs"),
+        F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """``runs`` and ``n_hit`` of every segment with hits: where a hit starts behind all that
+    come before it, a run opens."""
+    text = Window.partitionBy("sequence_id", "_v").orderBy("_at", "_length")
+    before = text.rowsBetween(Window.unboundedPreceding, -1)
+    upto = text.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_at") + F.col("_length")
+    opened = hits.select("sequence_id", "_v", "_at", "_length", end.alias("_end"), F.coalesce(
+        F.col("_at") > F.max(end).over(before), F.lit(True)).cast("int").alias("_opens"))
+    numbered = opened.withColumn("_run", F.sum("_opens").over(upto))
+    each = numbered.groupBy("sequence_id", "_v", "_run").agg(
+        F.min("_at").alias("start"), F.max("_end").alias("_end")).withColumn(
+        "length", F.col("_end") - F.col("start"))
+    return each.groupBy("sequence_id", "_v").agg(
+        F.array_sort(F.collect_list(F.struct("start", "length"))).alias("runs"),
+        F.sum("length").alias("n_hit"))
 
 
 def _hits(places: DataFrame, windows: DataFrame, lengths: list[int], small: bool) -> DataFrame:
     def words(n: int) -> list[Column]:
-        return [F.get("_w", F.col("_at") + i) for i in range(n)]
+        return [F.get("_h", F.col("_at") + i) for i in range(n)]
 
     # Of the windows of several lengths that start at a word, each is its own probe.
     probes = [F.struct(F.lit(n).alias("length"), F.xxhash64(*words(n)).alias("hash"))
@@ -90,7 +113,7 @@ def _hits(places: DataFrame, windows: DataFrame, lengths: list[int], small: bool
     here = F.col("_lead") & (F.coalesce(F.col("_at"), F.lit(0)) == 0)
     split = F.split("gram", " ")
     hashed = F.coalesce(*[F.when(F.col("length") == n, F.xxhash64(
-        *[F.get(split, F.lit(i)) for i in range(n)])) for n in lengths])
+        *[F.xxhash64(F.get(split, F.lit(i))) for i in range(n)])) for n in lengths])
     table = windows.select(F.col("length").alias("_length"), "gram", "ids",
                            hashed.alias("_hash"))
     gram = F.array_join(F.slice("_w", F.coalesce(F.col("_at"), F.lit(0)) + 1,
@@ -106,28 +129,3 @@ def _hits(places: DataFrame, windows: DataFrame, lengths: list[int], small: bool
                         & (F.col("_gram") == F.col("gram")), "left"))
     return joined.where(F.col("_length").isNotNull() | here).select(
         "sequence_id", "_v", "_n", "_at", "_length", "ids", here.alias("_first"))
-
-
-def _merged() -> Column:
-    """Union of the hit windows, which come sorted by start."""
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    start = F.struct(empty.alias("done"), F.lit(None).cast("int").alias("s"),
-                     F.lit(None).cast("int").alias("e"))
-
-    def step(acc: Column, hit: Column) -> Column:
-        end = hit["_at"] + hit["_length"]
-        grows = acc["s"].isNotNull() & (hit["_at"] <= acc["e"])
-        closed = F.when(acc["s"].isNull(), acc["done"]).otherwise(F.concat(
-            acc["done"], F.array(F.struct(acc["s"].alias("start"),
-                                          (acc["e"] - acc["s"]).alias("length")))))
-        return (F.when(grows, F.struct(acc["done"].alias("done"), acc["s"].alias("s"),
-                                       F.greatest(acc["e"], end).alias("e")))
-                .otherwise(F.struct(closed.alias("done"), hit["_at"].alias("s"),
-                                    end.alias("e"))))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["s"].isNull(), acc["done"]).otherwise(F.concat(
-            acc["done"], F.array(F.struct(acc["s"].alias("start"),
-                                          (acc["e"] - acc["s"]).alias("length")))))
-
-    return F.aggregate("_found", start, step, finish)
