@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import whole
+from talkmill.llm.common import at_most, whole
 from talkmill.session import cut
 
 #: Name of the rules below; raise it with every change, so that old blobs are scanned again.
@@ -23,11 +23,14 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]{14,}", r"AKIA[A-Z0-9]{14}", 18, 0),
     "hex": (r"[0-9a-f]{16,}", r"[0-9a-f]{16}", 16, 0),
 }
+#: Blobs that may be broadcast to pick the revisions to scan.
+BROADCAST_BLOBS = 200_000
 LEDGER_SCHEMA = ("blob string, rules string, n_assign bigint, n_access bigint, n_hex bigint, "
                  "spans string")
 
 
-def scan_revisions(revisions: DataFrame, ledger: str, rules: str = RULES) -> DataFrame:
+def scan_revisions(revisions: DataFrame, ledger: str, rules: str = RULES,
+                   broadcast_blobs: int = BROADCAST_BLOBS) -> DataFrame:
     """Find secrets in every revision of every transcript, scanning each text once.
 
     Reads ``session_id``, ``revision`` and ``text`` of all historical versions.  Returns one
@@ -38,7 +41,8 @@ def scan_revisions(revisions: DataFrame, ledger: str, rules: str = RULES) -> Dat
     ``ledger`` is a folder on storage that all executors share.  It holds one row per scanned
     (blob, rule version).  Only pairs that are not there are scanned: one revision of each
     unseen blob is picked with a map-side aggregate, so a text that a third of all revisions
-    share is read once.  The new rows are appended to the ledger (a failed append leaves no
+    share is read once.  Texts are scanned where they are read as long as the blobs that
+    repeat or are known (or those that are new) are at most ``broadcast_blobs``.  The new rows are appended to the ledger (a failed append leaves no
     part of it) and findings are joined back to all revisions; only blobs with findings take
     part in that join, clean ones need no row.
 
@@ -50,13 +54,9 @@ def scan_revisions(revisions: DataFrame, ledger: str, rules: str = RULES) -> Dat
                              F.sha2(whole(), 256).alias("blob"))
     known = _read(spark, ledger).where(F.col("rules") == rules).select("blob")
     copy = F.struct("session_id", "revision")
-    picked = (named.groupBy("blob").agg(F.min(copy).alias("copy"))
-              .join(known, "blob", "left_anti"))
-    unseen = named.join(
-        picked.hint("shuffle_hash").select(F.col("blob").alias("_blob"), "copy"),
-        (F.col("session_id").eqNullSafe(F.col("copy.session_id")))
-        & (F.col("revision").eqNullSafe(F.col("copy.revision")))
-        & (F.col("blob") == F.col("_blob")), "left_semi").select("blob", "text")
+    blobs = cut(named.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"), F.min(copy).alias("copy"))
+                .join(known.distinct().withColumn("known", F.lit(True)), "blob", "left"))
+    unseen = _unseen(named, blobs, broadcast_blobs).select("blob", "text")
     fresh = base_findings(unseen).select("blob", F.lit(rules).alias("rules"), "n_assign",
                                          "n_access", "n_hex", "spans")
     fresh.write.mode("append").parquet(ledger)
@@ -70,6 +70,22 @@ def scan_revisions(revisions: DataFrame, ledger: str, rules: str = RULES) -> Dat
                     F.coalesce("spans", F.lit("")).alias("spans")))
 
 
+def _unseen(named: DataFrame, blobs: DataFrame, few: int) -> DataFrame:
+    """One revision of every blob that the ledger doesn't have.
+
+    Texts stay where they are read if either the blobs that need a decision (repeated or
+    known ones) or those to be scanned are few; else they are shuffled by blob."""
+    wanted = blobs.where(F.col("known").isNull())
+    special = blobs.where((F.col("copies") > 1) | F.col("known").isNotNull())
+    mine = (F.col("session_id").eqNullSafe(F.col("copy.session_id"))
+            & F.col("revision").eqNullSafe(F.col("copy.revision")))
+    if at_most(special, few):
+        told = named.join(F.broadcast(special), "blob", "left")
+        return told.where(F.col("copies").isNull() | (F.col("known").isNull() & mine))
+    side = F.broadcast(wanted) if at_most(wanted, few) else wanted.hint("shuffle_hash")
+    return named.join(side.select("blob", "copy"), "blob").where(mine)
+
+
 def _read(spark, ledger: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER_SCHEMA).parquet(ledger)

@@ -132,8 +132,13 @@ def test_mix_of_awkward_rows(spark):
 
 # -- secrets ---------------------------------------------------------------------------
 
-def test_secret_scan_uses_the_ledger(spark, tmp_path):
-    from talkmill.llm.secrets import scan_revisions
+@pytest.mark.parametrize("few", [0, 2, 200_000])
+def test_secret_scan_uses_the_ledger(spark, tmp_path, few):
+    from functools import partial
+
+    from talkmill.llm import secrets
+
+    scan_revisions = partial(secrets.scan_revisions, broadcast_blobs=few)
 
     def revisions(rows):
         return edge_segments(spark, rows).drop("session_id").select(
