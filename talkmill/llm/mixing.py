@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import whole
@@ -29,33 +29,40 @@ def session_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: f
     of ``share`` times all words, but at most ``passes`` times the session's own words; what
     that leaves over goes to the other sessions by weight.  This is the time (``level``) at
     which queues served at rates ``weight`` have handed out the whole budget, so it has a
-    closed form over the sessions in the order in which their queues run dry.
+    closed form over the sessions in the order in which their queues run dry: prefix sums
+    over ranges of that order, so that no task holds all sessions.
     """
-    by_name = Window.orderBy(F.asc_nulls_last("session_id"))
-    by_dry = Window.orderBy(F.col("dry"), F.col("place"))
-    everything = Window.partitionBy()
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]),
                           ((F.col("place") - 1) % len(weights) + 1).cast("int"))
-    ranked = (sizes.select("session_id", "source_size")
-              .withColumn("place", F.row_number().over(by_name))
-              .withColumn("weight", weight)
+    named = sizes.select("session_id", "source_size", F.col("session_id").isNull().alias("_none"))
+    ranked = (scan(_ranges(named, "_none", "session_id"), [], ["_none", "session_id"], "_rng",
+                   place=Scan("number")).drop("_rng", "_none").withColumn("weight", weight)
               .withColumn("dry", passes * F.col("source_size") / F.col("weight")))
-    before = by_dry.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_dry.rowsBetween(0, Window.unboundedFollowing)
-    budget = F.lit(float(share)) * F.sum("source_size").over(everything)
-    used_up = F.coalesce(F.sum(passes * F.col("source_size")).over(before), F.lit(0))
-    levels = ranked.withColumn(
-        "reached", (budget - used_up) / F.sum("weight").over(after))
+    by_dry = _ranges(ranked, "dry", "place")
+    whole_ = by_dry.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).head()
+    words, all_weights = whole_["words"] or 0, whole_["weights"] or 0
+    handed = scan(by_dry, [], ["dry", "place"], "_rng",
+                  _used=Scan("sum", passes * F.col("source_size"), default=F.lit(0)),
+                  _gone=Scan("sum", F.col("weight"), default=F.lit(0)))
+    reached = (F.lit(share * words) - F.col("_used")) / (F.lit(all_weights) - F.col("_gone"))
     # The first queue that is not dry when the budget ends gives the time, and later ones give
     # earlier times; if all run dry, the last one does.
-    level = F.coalesce(F.max(F.when(F.col("reached") <= F.col("dry"), F.col("reached")))
-                       .over(everything), F.max("dry").over(everything))
-    return (levels.withColumn("level", level)
+    times = handed.select("dry", reached.alias("reached")).agg(
+        F.max(F.when(F.col("reached") <= F.col("dry"), F.col("reached"))).alias("ends"),
+        F.max("dry").alias("last")).head()
+    level = times["last"] if times["ends"] is None else times["ends"]
+    return (ranked.withColumn("level", F.lit(level).cast("double"))
             .withColumn("target", F.least((passes * F.col("source_size")).cast("double"),
                                           F.col("level") * F.col("weight")))
             .select("session_id", "weight", "source_size", "level", "target"))
 
 
+def _ranges(sessions: DataFrame, *order: str) -> DataFrame:
+    """One row per session, laid out in ranges of an order, whose numbers are ``_rng``."""
+    return cut(sessions.repartitionByRange(*[F.col(c) for c in order])
+               .withColumn("_rng", F.spark_partition_id()))
+
+
 def mix_sessions(segments: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
                  passes: int = PASSES, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """Queue the segments of all sessions fairly and cut the mix at the word budget.
@@ -78,8 +85,7 @@ def mix_sessions(segments: DataFrame, weights: Sequence[int] = WEIGHTS, share: f
     gives its target to the word.  ``place`` numbers the mix from 1.
 
     Hot sessions: running totals are prefix scans over hash ranges of a session, so no
-    session is ever one task; the only global windows are over one row per session and per
-    range.  Null text and texts without words have size 0 and are never taken; null sessions
+    session is ever one task; the only global windows are over one row per range.  Null text and texts without words have size 0 and are never taken; null sessions
     form one session, sorted last; rows repeated with equal id and text follow each other in
     an order of no consequence.  Reruns give the same mix.
     """
