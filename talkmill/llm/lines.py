@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import at_most
-from talkmill.session import cut
+from talkmill.session import cut, discard
 
 MIN_SEGMENTS = 10
 FANOUT = 2
@@ -24,19 +24,22 @@ SHIPPED_KEYS = 200_000
 class LineRuns:
     """How many segments hold each line, as immutable sorted runs in a shared folder.
 
-    A run holds ``h1, h2`` (128-bit hash of a line's key), sorted, and ``n``, the segments
-    of its batches that hold the line.  A new batch is counted, merge-joined with the runs
-    for earlier counts, and anti-joined with the settled keys (those found in ``minimum``
-    segments already); what is left becomes a run of level 0.  ``fanout`` runs of a level
-    are compacted into one of the next, which drops keys settled meanwhile, so a key is
-    rewritten once a level.  ``runs`` and ``settled`` name the folders that make up the
-    state; a batch that failed half way has not changed them.
+    A run holds ``h1, h2`` (128-bit hash of a line's key) and ``n``, the segments of its
+    batches that hold the line, as a table of ``buckets`` by hash, each sorted.  So a new
+    batch, counted and dealt the same way, is merge-joined with the runs bucket by bucket,
+    and no run is shuffled again.  The batch is anti-joined with the settled keys (those
+    found in ``minimum`` segments already); what is left becomes a run of level 0.
+    ``fanout`` runs of a level are compacted into one of the next, which drops keys settled
+    meanwhile, so a key is rewritten once a level.  ``runs`` and ``settled`` name the folders
+    that make up the state; a batch that failed half way has not changed them, and a later
+    session goes on with them if it names as many buckets.
     """
 
-    def __init__(self, spark, folder: str, minimum: int = MIN_SEGMENTS, fanout: int = FANOUT
-                 ) -> None:
+    def __init__(self, spark, folder: str, minimum: int = MIN_SEGMENTS, fanout: int = FANOUT,
+                 buckets: int | None = None) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.minimum, self.fanout = minimum, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []
         self.settled: list[str] = []
 
@@ -46,8 +49,7 @@ class LineRuns:
                     .join(self.settled_keys(), ["h1", "h2"], "left_anti"))
         held = fresh
         for _, run in self.runs:
-            held = held.unionByName(self._read(run).join(
-                fresh.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+            held = held.unionByName(self.met(run, fresh))
         total = held.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
         now = self._write(total.where(F.col("n") >= self.minimum))
         self.settled = [*self.settled, now]
@@ -55,6 +57,11 @@ class LineRuns:
         self.runs = [*self.runs, (0, self._write(left))]
         self._compact()
 
+    def met(self, run: str, fresh: DataFrame) -> DataFrame:
+        """The rows of a run whose keys a batch has."""
+        return self._read(run).join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"],
+                                    "left_semi")
+
     def settled_keys(self) -> DataFrame:
         """``h1, h2`` of all lines found in ``minimum`` segments or more."""
         keys = self.spark.createDataFrame([], "h1 bigint, h2 bigint")
@@ -72,15 +79,32 @@ class LineRuns:
                       .join(self.settled_keys(), ["h1", "h2"], "left_anti"))
             new = self._write(merged)
             self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, new)]
+            for _, run in full:
+                self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+                discard(self.spark, f"{self.folder}/{run}")
             level += 1
 
     def _write(self, run: DataFrame) -> str:
-        name = f"{self.folder}/run-{uuid.uuid4().hex}"
-        run.sortWithinPartitions("h1", "h2").write.parquet(name)
+        name = f"line_run_{uuid.uuid4().hex}"
+        (run.repartition(self.buckets, "h1", "h2").write.format("parquet")
+         .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+         .option("path", f"{self.folder}/{name}").saveAsTable(name))
         return name
 
     def _read(self, run: str) -> DataFrame:
-        return self.spark.read.schema("h1 bigint, h2 bigint, n bigint").parquet(run)
+        if not self.spark.catalog.tableExists(run):
+            self.spark.sql(
+                f"CREATE TABLE {run} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY "
+                f"(h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS "
+                f"LOCATION '{self.folder}/{run}'")
+        return self.spark.table(run)
+
+    def discard(self) -> None:
+        """Forget all runs and delete their files."""
+        for run in [*self.settled, *[r for _, r in self.runs]]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.runs, self.settled = [], []
+        discard(self.spark, self.folder)
 
 
 def line_keys(data: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -120,8 +144,8 @@ def drop_repeated_lines(segments: DataFrame, folder: str, minimum: int = MIN_SEG
 
     Reads ``sequence_id`` and ``text``.  Returns one row per row read: ``sequence_id,
     n_lines, n_dropped, text`` (the lines that stay, joined by a line feed).  ``folder`` is
-    new, on storage that all executors share, and holds the line runs; the segments are
-    added to them in ``batches`` by hash of the id, as they would arrive.
+    new, on storage that all executors share, and holds the line runs until all are counted;
+    the segments are added to them in ``batches`` by hash of the id, as they would arrive.
 
     A line of any number of segments is counted map-side.  If at most ``shipped`` keys are
     settled (checked), every task gets them and segments do not move; beyond that, lines are
@@ -135,7 +159,8 @@ def drop_repeated_lines(segments: DataFrame, folder: str, minimum: int = MIN_SEG
     keys = cut(distinct_line_keys(segments, batches))
     for number in range(batches):
         runs.add(keys.where(F.col("batch") == number).select("h1", "h2"))
-    settled = runs.settled_keys()
+    settled = cut(runs.settled_keys())
+    runs.discard()
     kind = segments.schema["sequence_id"].dataType.simpleString()
     schema = f"sequence_id {kind}, n_lines bigint, n_dropped bigint, text binary"
     texts = segments.select("sequence_id", F.col("text").cast("binary").alias("text"))

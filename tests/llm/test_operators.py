@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -253,8 +254,28 @@ def test_runs_are_levelled(spark, tmp_path):
         runs.add(spark.createDataFrame([(1, 1), (number, 7)], "h1 bigint, h2 bigint"))
     assert [level for level, _ in runs.runs] == [2]
     assert [tuple(r) for r in runs.settled_keys().collect()] == [(1, 1)]
-    held = {tuple(r) for r in spark.read.parquet(runs.runs[0][1]).collect()}
+    held = {tuple(r) for r in spark.table(runs.runs[0][1]).collect()}
     assert held == {(n, 7, 1) for n in range(4)}
+    # Another session finds the runs by their folders.
+    spark.sql(f"DROP TABLE {runs.runs[0][1]}")
+    assert {tuple(r) for r in runs._read(runs.runs[0][1]).collect()} == held
+    runs.discard()
+    assert not os.path.exists(tmp_path / "runs")
+
+
+def test_a_batch_meets_runs_bucket_by_bucket(spark, tmp_path):
+    """Only the batch is shuffled: the runs lie as the merge join wants them."""
+    from talkmill.llm.lines import LineRuns
+
+    runs = LineRuns(spark, str(tmp_path / "runs"), fanout=9)
+    keys = spark.range(5000).select("id", (F.col("id") * 7).alias("h2")).withColumnRenamed("id", "h1")
+    runs.add(keys)
+    batch = keys.where("h1 % 3 = 0")
+    met = runs.met(runs.runs[0][1], batch)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1, plan
+    assert met.count() == 1667
+    runs.discard()
 
 
 # -- repeated bytes --------------------------------------------------------------------
