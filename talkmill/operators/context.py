@@ -59,6 +59,22 @@ def per_language(terms: DataFrame, lines: DataFrame, language: str, name: str) -
         | (tag == F.col("source_language")))))).drop("_spoken")
 
 
+def placed_terms(terms: DataFrame, lines: DataFrame, language: str, name: str) -> DataFrame:
+    """``name, place, source, target, romanized``: the terms of every spoken language, with
+    their places from 0, longest first and then in the given order."""
+    sized = terms.withColumn("_t", _rank(F.struct(*[F.col(c) for c in (
+        "source", "target", "romanized", "source_language", "part", "idx")])))
+    placed = per_language(sized, lines, language, name).select(
+        name, "_t", "source", "target", "romanized", F.col("_t.n").alias("_n"))
+    # A language may hold most terms, and most terms one length, so places are numbered like
+    # any hot key's rows, along the length and then the given order.
+    placed = placed.withColumn("_n", F.col("_n") * (1 << 40) + F.least(
+        F.col("_t.part") * (1 << 32) + F.col("_t.idx"), F.lit((1 << 40) - 1)))
+    placed, blk = split_hot(placed, [name], "_n")
+    ranked = scan(placed, [name], ["_t"], blk, place=Scan("number"))
+    return ranked.select(name, (F.col("place") - 1).alias("place"), "source", "target", "romanized")
+
+
 def attach_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: str,
                  language: str, limit: int = AUTOMATON_TERMS) -> DataFrame:
     """Add ``terms``: the applicable glossary terms that occur in ``haystack``, longest
@@ -155,20 +171,11 @@ def _join_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: st
     shuffled; the terms that a line may hold come back to it once, and are checked there
     against its whole text.
     """
-    sized = terms.withColumn("_t", _rank(F.struct(*[F.col(c) for c in (
-        "source", "target", "romanized", "source_language", "part", "idx")])))
-    placed = per_language(sized, lines, language, "_lang").select(
-        "_lang", "_t", "source", "target", "romanized", F.col("_t.n").alias("_n"))
-    # A language may hold most terms, and most terms one length, so places are numbered like
-    # any hot key's rows, along the length and then the given order.
-    placed = placed.withColumn("_n", F.col("_n") * (1 << 40) + F.least(
-        F.col("_t.part") * (1 << 32) + F.col("_t.idx"), F.lit((1 << 40) - 1)))
-    placed, blk = split_hot(placed, ["_lang"], "_n")
-    ranked = scan(placed, ["_lang"], ["_t"], blk, place=Scan("number"))
+    ranked = placed_terms(terms, lines, language, "_lang")
     power = lambda n: F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("int")
     ranked = ranked.withColumn("_start", F.xxhash64(
         F.left("source", power(F.char_length("source")))))
-    lengths = sized.agg(F.collect_set(power(F.char_length("source")))).scalar()
+    lengths = terms.agg(F.collect_set(power(F.char_length("source")))).scalar()
     text = F.col(haystack)
     pieces = F.array_distinct(F.flatten(F.transform("_lengths", lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - n + 1)),
@@ -177,7 +184,7 @@ def _join_terms(lines: DataFrame, terms: DataFrame, key: list[str], haystack: st
               .select(*key, F.coalesce(language, F.lit("")).alias("_lang"), haystack)
               .withColumn("_lengths", lengths)
               .select(*key, "_lang", F.explode(pieces).alias("_start")))
-    term = F.struct((F.col("place") - 1).alias("place"), "source", "target", "romanized")
+    term = F.struct("place", "source", "target", "romanized")
     maybe = offers.join(ranked.select("_lang", "_start", term.alias("_term")), ["_lang", "_start"]
                         ).groupBy(*key).agg(F.collect_list("_term").alias("_maybe"))
     empty = F.array().cast("array<struct<place:bigint,source:string,target:string,"

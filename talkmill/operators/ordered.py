@@ -30,6 +30,8 @@ ROWS_PER_FOLD = 200_000
 #: Split points per hot key, and the number of split points that may be broadcast.
 MAX_BLOCKS = 4096
 BROADCAST_CUTS = 1_000_000
+#: Split points that a row is compared with at a time.
+COARSE = 64
 
 BLOCK = "_blk"
 
@@ -55,9 +57,15 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str,
         F.array_distinct(F.percentile_approx(order, shares, 10_000)).alias("_cuts")))
     if found["keys"] * pieces <= BROADCAST_CUTS:
         cuts = F.broadcast(cuts)
-    blocks = df.join(cuts, key, "left").withColumn(
-        BLOCK, F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0)))
-    return blocks.drop("_cuts"), BLOCK
+    # Every 64th cut point first, then those between two of them.
+    coarse = F.filter("_cuts", lambda c, i: i % COARSE == COARSE - 1)
+    cuts = cuts.withColumn("_coarse", coarse)
+    passed = F.size(F.filter("_coarse", lambda c: c < F.col(order))) * COARSE
+    near = F.slice("_cuts", passed + 1, F.lit(COARSE))
+    blocks = df.join(cuts, key, "left").withColumn(BLOCK, F.when(
+        F.col("_cuts").isNull(), 0).otherwise(
+        passed + F.size(F.filter(near, lambda c: c < F.col(order)))))
+    return blocks.drop("_cuts", "_coarse"), BLOCK
 
 
 @dataclass(frozen=True)

@@ -12,9 +12,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.operators.ordered import Scan, scan, split_hot
+from talkmill.operators.ordered import ROWS_PER_FOLD, Scan, scan, split_hot
 
 PIECES_PER_TURN = 1 << 20
+#: About the lines of a turn, for blocks that folds can take.
+LINES_PER_TURN = 16
 
 
 class Timed(NamedTuple):
@@ -48,7 +50,8 @@ def _pieces(text: Column) -> Column:
 
 def raw_segments(spark: SparkSession, sf_dir: str) -> Timed:
     """Recognised lines of every conversation, without times."""
-    turns, blk = split_hot(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
+    turns, blk = split_hot(table(spark, sf_dir, "conversations"), ["conv_id"], "turn",
+                           ROWS_PER_FOLD // LINES_PER_TURN)
     keep = [blk] if blk else []
     c, t, j = F.col("conv_id"), F.col("turn"), F.col("j").cast("bigint")
     lines = turns.select("conv_id", "turn", "role", *keep,

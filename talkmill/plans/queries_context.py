@@ -114,6 +114,17 @@ def applicable(spark, sf_dir):
         F.array_join(F.transform("t", lambda t: t["source"]), "|").alias("sources"))
 
 
+@query("c02_term_places", f"""
+WITH {PLACED_TERMS}
+SELECT language, place, source, target, coalesce(romanized, '') AS romanized FROM ranked""")
+def term_places(spark, sf_dir):
+    """The same, a row per term: no row and no task holds a language's whole glossary."""
+    lines, _ = _lines(spark, sf_dir)
+    placed = C.placed_terms(all_terms(spark, sf_dir), lines, "language", "language")
+    return placed.select("language", F.col("place").cast("bigint"), "source", "target",
+                         F.coalesce("romanized", F.lit("")).alias("romanized"))
+
+
 _RELEVANT = PLACED_TERMS + """
 , hits AS (SELECT s.session_id, s.seq, string_agg(r.place || ':' || r.source, '|' ORDER BY r.place)
     AS found, count(*) AS n

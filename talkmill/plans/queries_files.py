@@ -58,14 +58,13 @@ def media_scan(spark, sf_dir):
 
 
 @query("a05_media_files", f"""
-WITH {_FILES}, t AS (SELECT *, CASE WHEN length > 0 THEN
+WITH {_FILES}, t AS (SELECT *, CASE WHEN length BETWEEN 1 AND {MAX_BYTES} THEN
     ['wav', 'mp3', 'isobmff', 'matroska', 'flac', 'ogg', NULL][doc_id % 7 + 1] END AS container,
   ['wav', 'mp3', 'isobmff', 'matroska', 'flac', NULL, 'ogg', 'matroska'][doc_id % 8 + 1] AS expected
   FROM files)
 SELECT stem || suffix AS path, length::BIGINT AS length, coalesce(container, '') AS container,
-  CASE WHEN expected IS NULL THEN 'unsupported_type'
-    WHEN container IS DISTINCT FROM expected THEN 'content_mismatch'
-    WHEN length > {MAX_BYTES} THEN 'too_large' ELSE 'ok' END AS error FROM t""")
+  CASE WHEN expected IS NULL THEN 'unsupported_type' WHEN length > {MAX_BYTES} THEN 'too_large'
+    WHEN container IS DISTINCT FROM expected THEN 'content_mismatch' ELSE 'ok' END AS error FROM t""")
 def media_audit(spark, sf_dir):
     """Every written file, empty ones too, judged by twelve bytes."""
     root = media_folder(spark, sf_dir)

@@ -145,7 +145,7 @@ cues AS (SELECT *, round(start_s * 1000)::BIGINT AS a, round(CASE WHEN end_s > n
 
 
 def cues(spark, sf_dir, dual=False):
-    """Words longer than a line are left out of the checked text by a rule on both sides."""
+    """Subtitle cues of all translations."""
     t, blk = translations(spark, sf_dir)
     return W.subtitle_cues(t, KEY, ["seq"], blk, dual)
 

@@ -103,12 +103,17 @@ def audit_verdict(name: Column, size: Column, head: Column, max_bytes: int) -> C
 def audit_media(spark: SparkSession, root: str, max_bytes: int = 2048 << 20) -> DataFrame:
     """Audit a media folder: container type by content against the extension.
 
-    Twelve bytes of every file are read, whatever its size; a file of zero bytes has a row
-    like any other, and no container.
+    Twelve bytes of a file are read at most; a file of zero bytes has a row like any other,
+    and no container.  A file over the limit is refused by its name and size alone.
     """
+    small = F.col("length") <= max_bytes
+    head = F.when(small, F.col("head"))
+    known = F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)).isin(list(dims.MEDIA_TYPES))
+    refused = F.when(known, "too_large").otherwise("unsupported_type")
     return media_files(spark, root).select(
-        "path", "length", container_type(F.col("head")).alias("container"),
-        audit_verdict(F.col("path"), F.col("length"), F.col("head"), max_bytes).alias("error"))
+        "path", "length", container_type(head).alias("container"),
+        F.when(small, audit_verdict(F.col("path"), F.col("length"), head, max_bytes))
+        .otherwise(refused).alias("error"))
 
 
 REPORT_SCHEMA = "title string, environment map<string,string>, results array<map<string,string>>"
