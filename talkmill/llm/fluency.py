@@ -26,9 +26,11 @@ SURPRISE = 6.0
 HELD_OUT = 4
 #: Entries of the model that go to every task; a larger model is joined by gram.
 LOCAL_ENTRIES = 6_000_000
-#: Grams of one shard of such a join, and grams counted or looked up at once in a task.
+#: Grams of one shard of such a join; bytes of text looked up at once in a task, and distinct
+#: grams that it counts before some leave it.
 SHARD_GRAMS = 1_000_000
-GRAMS_AT_ONCE = 1_000_000
+GRAMS_AT_ONCE = 1 << 18
+COUNTED_AT_ONCE = 2_000_000
 #: Trusted names that may be broadcast, and values of a language in one sort.
 BROADCAST_NAMES = 1_000_000
 BROADCAST_LANGUAGES = 100_000
@@ -158,10 +160,10 @@ def _count_grams(order: int):
                     held.setdefault(lang, []).append(found)
                     many += len(found[0])
                     # Counts of a task's texts are combined before any leave it.
-                    if many > 4 * GRAMS_AT_ONCE:
+                    if many > COUNTED_AT_ONCE:
                         held = {k: [_combined(v)] for k, v in held.items()}
                         many = sum(len(v[0][0]) for v in held.values())
-                        if many > 2 * GRAMS_AT_ONCE:
+                        if many > COUNTED_AT_ONCE // 2:
                             yield from _tallied(held)
                             held, many = {}, 0
         yield from _tallied({k: [_combined(v)] for k, v in held.items()})
@@ -451,6 +453,7 @@ def _score(local, order: int, whole: bool, shards: int):
         for part in parts:
             texts = part.column(4).to_pylist()
             langs = part.column(3).to_pylist()
+            part = part.drop_columns(["text"])
             for at, stop in _slices(texts):
                 some = part.slice(at, stop - at)
                 spoken = [t if lang is not None else b"" for t, lang in
